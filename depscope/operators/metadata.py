@@ -67,8 +67,9 @@ def previous_values(meta: DataFrame, updates: DataFrame) -> DataFrame:
 
 def get_metadata(meta: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
     """A row per path and asked-for key; the value of a missing one is null."""
-    asked = paths.select("path").distinct().select("path", full_key(F.explode(F.array(*map(F.lit, keys)))).alias("key"))
-    kept = meta.where(F.col("key").isin(*[KEY_PREFIX + k.removeprefix(KEY_PREFIX) for k in keys]))
+    full = [KEY_PREFIX + k.removeprefix(KEY_PREFIX) for k in keys]
+    asked = paths.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, full))).alias("key"))
+    kept = meta.where(F.col("key").isin(*full))
     return asked.join(latest(kept).select("path", "key", "value"), ["path", "key"], "left")
 
 
