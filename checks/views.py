@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from depscope import scratch
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -220,16 +222,26 @@ VIEWS = {
 }
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table. Its SQL runs over the given tables under their own names.
+    """A derived table. Its SQL runs once per session over the whole given tables.
 
-    Edge ends and mount points have other names in SQL, where `from` and `at` are keywords.
+    It is stored, so that operators meet columns of a table, as they do in use,
+    and not the expressions a test table is made of. Edge ends and mount points
+    have other names in SQL, where `from` and `at` are keywords.
     """
-    text = VIEWS[name]
-    used = [t for t in TABLES if t in text]
-    for t in used:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(text).withColumnRenamed("mount_at", "at")
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        text = VIEWS[name]
+        for t in TABLES:
+            if t in text:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        folder = scratch.new_folder(spark, name)
+        scratch.store(spark.sql(text).withColumnRenamed("mount_at", "at"), folder)
+        _stored[key] = folder
+    return spark.read.parquet(_stored[key])
 
 
 def edge_view(spark: SparkSession, sf_dir: str, name: str = "fx_edges") -> DataFrame:

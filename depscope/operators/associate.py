@@ -8,12 +8,12 @@ from depscope.functions.globs import matches_glob
 from depscope.functions.paths import file_name, format_external, parent_prefix
 from depscope.schemas import EDGE_COLUMNS
 
-# Names of test files. A name is tried against them in this order,
-# and a `test_` name with another extension has no source.
-TEST_SUFFIXES_FIRST = (("_test.go", ".go"), ("_test.rs", ".rs"), ("_test.cpp", ".cpp"), ("_test.rb", ".rb"))
-TEST_PREFIX = "test_"
-TEST_PREFIX_EXTENSIONS = (".py", ".c")
-TEST_SUFFIXES_LAST = ((".test.ts", ".ts"), (".spec.ts", ".ts"), ("Test.java", ".java"))
+# Names of test files, as pattern and replacement. A name is tried
+# against them in this order, and a `test_` name with another extension has no source.
+TEST_ENDING = (r"_test\.(go|rs|cpp|rb)$", ".$1")
+TEST_PREFIX, TEST_PREFIXED = "test_", r"^test_(.*\.(?:py|c))$"
+TEST_OR_SPEC = (r"\.(?:test|spec)\.ts$", ".ts")
+TEST_CLASS = (r"Test\.java$", ".java")
 # Test names of a source file by extension, as (prefix, suffix).
 TESTS_OF_SOURCE = {
     ".go": (("", "_test.go"),), ".py": (("test_", ".py"),), ".ts": (("", ".test.ts"), ("", ".spec.ts")),
@@ -28,17 +28,13 @@ def _swap_suffix(name: Column, old: str, new: str) -> Column:
 
 def source_of_test(name: Column) -> Column:
     """The source file name a test file name stands for, else null."""
-    after_prefix = F.substring(name, F.lit(len(TEST_PREFIX) + 1), F.length(name))
-    has_source = F.lit(False)
-    for ext in TEST_PREFIX_EXTENSIONS:
-        has_source = has_source | name.endswith(ext)
-    cases = [(name.endswith(old), _swap_suffix(name, old, new)) for old, new in TEST_SUFFIXES_FIRST]
-    cases.append((name.startswith(TEST_PREFIX), F.when(has_source, after_prefix)))
-    cases += [(name.endswith(old), _swap_suffix(name, old, new)) for old, new in TEST_SUFFIXES_LAST]
-    result = F.when(*cases[0])
-    for condition, value in cases[1:]:
-        result = result.when(condition, value)
-    return result
+    prefixed = F.nullif(F.regexp_extract(name, TEST_PREFIXED, 1), F.lit(""))
+    return (
+        F.when(name.rlike(TEST_ENDING[0]), F.regexp_replace(name, *TEST_ENDING))
+        .when(name.startswith(TEST_PREFIX), prefixed)
+        .when(name.rlike(TEST_OR_SPEC[0]), F.regexp_replace(name, *TEST_OR_SPEC))
+        .when(name.rlike(TEST_CLASS[0]), F.regexp_replace(name, *TEST_CLASS))
+    )
 
 
 def tests_of_source(name: Column) -> Column:

@@ -76,12 +76,13 @@ def get_metadata(meta: DataFrame, paths: DataFrame, keys: list[str]) -> DataFram
 def list_metadata(meta: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(path, key) of the prefixed keys, for all files or for some."""
     kept = meta.where(F.col("key").startswith(KEY_PREFIX)).select("path", "key").distinct()
-    return kept if paths is None else kept.join(paths.select("path"), "path", "left_semi")
+    return kept if paths is None else kept.join(paths.select("path").distinct(), "path", "left_semi")
 
 
 def remove_metadata(meta: DataFrame, removals: DataFrame) -> DataFrame:
     """The table without the given (path, key) pairs."""
-    return meta.join(_normalized(removals).select("path", "key"), ["path", "key"], "left_anti")
+    gone = _normalized(removals).select("path", "key").distinct()
+    return meta.join(gone, ["path", "key"], "left_anti")
 
 
 def metadata_map(meta: DataFrame) -> DataFrame:

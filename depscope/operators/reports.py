@@ -17,7 +17,7 @@ GENERATED_PATHS = ("*.pb.go", "*.gen.go", "*.generated.*")
 def untested_files(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Source files without a `tests` edge; test files themselves are left out."""
     sources = files.where(source_of_test(file_name(F.col("path"))).isNull()).select("path")
-    tested = edges.where(F.col("rel") == "tests").select(F.col("from").alias("path"))
+    tested = edges.where(F.col("rel") == "tests").select(F.col("from").alias("path")).distinct()
     return sources.join(tested, "path", "left_anti")
 
 
@@ -47,7 +47,8 @@ def most_connected(edges: DataFrame, k: int = 1) -> DataFrame:
 
 def orphans(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Files at neither end of any edge."""
-    ends = edges.select(F.explode(F.array("from", "to")).alias("path"))
+    # Distinct before the join: a hub is one row per map task, and the join reuses its shuffle.
+    ends = edges.select(F.explode(F.array("from", "to")).alias("path")).distinct()
     return files.select("path").join(ends, "path", "left_anti")
 
 

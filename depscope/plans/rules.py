@@ -35,7 +35,7 @@ UNTESTED_CRITICAL = Rule(
     "untested-critical",
     """
     SELECT e.`to` AS file, COUNT(*) AS dependents FROM edges e
-    LEFT ANTI JOIN (SELECT `from` FROM edges WHERE rel = 'tested_by') t ON e.`to` = t.`from`
+    LEFT ANTI JOIN (SELECT DISTINCT `from` FROM edges WHERE rel = 'tested_by') t ON e.`to` = t.`from`
     WHERE e.rel = 'imports'
     GROUP BY e.`to` HAVING COUNT(*) > 5 ORDER BY dependents DESC
     """,

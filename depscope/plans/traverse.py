@@ -26,8 +26,8 @@ from depscope.schemas import WALK
 from depscope.sources.layout import EdgeLayout
 
 DEFAULT_DEPTH = 5
-# Edge tables up to this many rows are walked several hops per job.
-DEEP_STEP_EDGES = 2_000_000
+# Edge tables up to this many stored bytes are walked several hops per job.
+DEEP_STEP_BYTES = 32 * 1024 * 1024
 DEEP_STEP_HOPS = 8
 
 
@@ -114,7 +114,7 @@ def _deep_step(frontier, hops, depth, count, external):
 
 def walk(
     edges: DataFrame | EdgeLayout,
-    starts: DataFrame,
+    root: str | DataFrame,
     max_depth: int = DEFAULT_DEPTH,
     direction: str = "reverse",
     relations: list[str] | None = None,
@@ -122,12 +122,13 @@ def walk(
     start_can_return: bool = False,
     hops_per_job: int | None = None,
 ) -> Walk:
-    """Breadth-first walk from every name in `starts.root`, each on its own.
+    """Breadth-first walk from a name, or from every name in `root.root`, each on its own.
 
     `relation` is the smallest relation of the edges that lead to a name from the
     depth before. A start is never part of its own result unless asked for.
     """
-    spark = starts.sparkSession
+    spark = SparkSession.active() if isinstance(edges, EdgeLayout) else edges.sparkSession
+    starts = spark.sql("SELECT :root AS root", {"root": root}) if isinstance(root, str) else root
     layout = edges if isinstance(edges, EdgeLayout) else None
     if layout is not None and (external or layout.key != lookup_column(direction)):
         edges, layout = layout.read(spark), None
@@ -143,19 +144,20 @@ def walk(
     else:
         kept = edges if relations is None else edges.where(F.col("rel").isin(*relations))
         hops = scratch.store(_hop_columns(kept, direction, external), f"{run}/hops")
-        per_job = hops_per_job or (DEEP_STEP_HOPS if max_depth > 1 and hops.count() <= DEEP_STEP_EDGES else 1)
+        small = scratch.stored_bytes(spark, f"{run}/hops") <= DEEP_STEP_BYTES
+        # Walks from a table of names carry many rows: they always take wide steps.
+        per_job = hops_per_job or (DEEP_STEP_HOPS if small and isinstance(root, str) else 1)
+    if start_can_return:
+        per_job = 1
 
     found = f"{run}/found"
-    (
-        starts.select("root").distinct()
-        .select("root", F.col("root").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth"))
-        .write.partitionBy("depth").parquet(f"{found}/step=0")
+    seeds = starts.select(
+        "root", F.col("root").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")
     )
-    if start_can_return:
-        per_job = 1
-    depth, step, total = 0, 0, 0
-    known = _reader(spark, found)
-    newest = known(0)
+    if not isinstance(root, str):
+        seeds = scratch.store(seeds.distinct(), f"{run}/seeds")
+    newest, before = seeds, None if start_can_return else seeds
+    depth, step, total, at_limit = 0, 0, 0, False
     while depth < max_depth:
         count = min(per_job, max_depth - depth)
         frontier = newest.where(F.col("depth") == depth)
@@ -163,47 +165,28 @@ def walk(
             _wide_step(frontier, hops, layout, external) if count == 1
             else _deep_step(frontier, hops, depth, count, external)
         )
-        before = known(None)
-        if start_can_return:
-            before = before.where(F.col("depth") > 0)
-        step += 1
-        grown.join(before.select("root", "path"), ["root", "path"], "left_anti").write.partitionBy("depth").parquet(
-            f"{found}/step={step}"
-        )
-        newest, depth = known(step), depth + count
-        added = newest.count()
+        if before is not None:
+            grown = grown.join(before.select("root", "path"), ["root", "path"], "left_anti")
+        step, depth = step + 1, depth + count
+        target = f"{found}/step={step}"
+        grown.write.partitionBy("depth").parquet(target)
+        newest = spark.read.schema(WALK).parquet(target)
+        added, at_end = newest.agg(F.count("*"), F.count_if(F.col("depth") == depth)).first()
         total += added
-        if not added or (count > 1 and newest.where(F.col("depth") == depth).isEmpty()):
+        at_limit = depth == max_depth and at_end > 0
+        if not at_end:
             break
-    at_limit = depth == max_depth and max_depth > 0 and not newest.where(F.col("depth") == max_depth).isEmpty()
-    rows = known(None).where(F.col("depth") > 0)
+        reached = spark.read.schema(WALK).parquet(found).select(*WALK.names)
+        before = reached if start_can_return else seeds.unionByName(reached)
+    if layout is None:
+        scratch.discard(spark, f"{run}/hops")
+    rows = spark.read.schema(WALK).parquet(found).select(*WALK.names) if step else spark.createDataFrame([], WALK)
     return Walk(rows, total, at_limit)
 
 
-def _reader(spark: SparkSession, found: str):
-    """Read one step of a walk, or all of them."""
-
-    def read(step: int | None) -> DataFrame:
-        reader = spark.read.schema(WALK)
-        if step is None:
-            return reader.parquet(found).select(*WALK.names)
-        return reader.parquet(f"{found}/step={step}")
-
-    return read
-
-
-def _one_start(spark: SparkSession, start: str) -> DataFrame:
-    return spark.createDataFrame([(start,)], "root string")
-
-
-def _edges_session(edges) -> SparkSession:
-    return SparkSession.active() if isinstance(edges, EdgeLayout) else edges.sparkSession
-
-
 def impact(edges, start: str, max_depth: int = DEFAULT_DEPTH, external: bool = False, **options) -> DataFrame:
     """Everything that depends on a name, directly or not: (path, relation, depth)."""
-    done = walk(edges, _one_start(_edges_session(edges), start), max_depth, external=external, **options)
-    return done.rows.drop("root")
+    return walk(edges, start, max_depth, external=external, **options).rows.drop("root")
 
 
 def impact_many(edges, starts: DataFrame, max_depth: int = DEFAULT_DEPTH, external: bool = False, **options) -> DataFrame:
@@ -213,14 +196,12 @@ def impact_many(edges, starts: DataFrame, max_depth: int = DEFAULT_DEPTH, extern
 
 def related_multi(edges, path: str, relations: list[str] | None = None, max_depth: int = DEFAULT_DEPTH, **options) -> DataFrame:
     """Names a path leads to over the given relations: (path, relation, depth)."""
-    start = _one_start(_edges_session(edges), path)
-    return walk(edges, start, max_depth, "forward", relations, **options).rows.drop("root")
+    return walk(edges, path, max_depth, "forward", relations, **options).rows.drop("root")
 
 
 def transitive_chain(edges, path: str, max_depth: int = DEFAULT_DEPTH, **options) -> DataFrame:
     """The dependency chain of a path as (to, depth); a cycle brings the path itself back."""
-    start = _one_start(_edges_session(edges), path)
-    done = walk(edges, start, max_depth, "forward", start_can_return=True, **options)
+    done = walk(edges, path, max_depth, "forward", start_can_return=True, **options)
     return done.rows.select(F.col("path").alias("to"), "depth")
 
 
@@ -231,6 +212,5 @@ def as_json(rows: DataFrame) -> DataFrame:
 
 def impact_summary(edges, start: str, max_depth: int = DEFAULT_DEPTH, external: bool = False) -> DataFrame:
     """One row: number of dependents and whether the walk stopped at its depth limit."""
-    spark = _edges_session(edges)
-    done = walk(edges, _one_start(spark, start), max_depth, external=external)
-    return spark.createDataFrame([(start, done.total, done.max_depth_reached)], "start string, total bigint, max_depth_reached boolean")
+    done = walk(edges, start, max_depth, external=external)
+    return done.rows.sparkSession.createDataFrame([(start, done.total, done.max_depth_reached)], "start string, total bigint, max_depth_reached boolean")

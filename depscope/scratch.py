@@ -33,6 +33,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of a stored table on disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Remove a folder this module named, once nothing reads it any more."""
     if not folder.startswith(shared_root(spark) + "/"):

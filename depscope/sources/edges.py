@@ -27,7 +27,9 @@ def write_edges(edges: DataFrame, path: str, max_edges_per_file: int | None = No
 
 def new_edges(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming edges, each once, that are not in an existing table."""
-    return incoming.select(*EDGE_COLUMNS).dropDuplicates().join(existing, EDGE_COLUMNS, "left_anti")
+    return incoming.select(*EDGE_COLUMNS).dropDuplicates().join(
+        existing.select(*EDGE_COLUMNS).distinct(), EDGE_COLUMNS, "left_anti"
+    )
 
 
 def _or_empty(spark: SparkSession, read) -> DataFrame:

@@ -51,12 +51,15 @@ def throttle(
             ).cast("bigint").alias("_span"),
         )
     )
+    segment = F.expr("(_t - _lo) div _span")
     cut = timed.join(spans, list(keys), "left").select(
-        *columns, "_t", F.coalesce(F.expr("(_t - _lo) div _span"), F.lit(-1)).cast("bigint").alias("_segment")
+        *columns, "_t", F.coalesce(segment, F.lit(-1)).cast("bigint").alias("_segment")
     )
     group = [*keys, "_segment"]
 
-    tables = _sorted(cut.where(F.col("_segment") >= 0).select(*group, "_t"), group, ["_t"])
+    # Times of the hot keys only.
+    hot = timed.select(*keys, "_t").join(spans, list(keys)).select(*keys, segment.alias("_segment"), "_t")
+    tables = _sorted(hot, group, ["_t"])
     tables = tables.mapInPandas(_segment_tables(group, window), _schema(cut, group, ["entry", "exit"]))
     # Per hot key: a few rows per segment, whatever the number of its events.
     entries = tables.groupBy(*keys).applyInPandas(_chain(keys, window), _schema(cut, group, ["_last"]))
@@ -162,25 +165,22 @@ class SegmentTable:
 
 
 def _segment_tables(group, window):
-    def frame(key, table):
-        rows = table.rows()
-        out = pd.DataFrame(rows, columns=["entry", "exit"])
-        for name, value in zip(group, key):
-            out[name] = value
-        return out[[*group, "entry", "exit"]]
+    columns = [*group, "entry", "exit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, table = None, None
         for batch in batches:
-            times = batch["_t"].to_numpy()
+            times, rows = batch["_t"].to_numpy(), []
             for key, start, end in _runs(batch, group):
                 if key != current:
                     if table is not None:
-                        yield frame(current, table)
+                        rows += [(*current, *row) for row in table.rows()]
                     current, table = key, SegmentTable(window)
                 table.add(times[start:end])
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
         if table is not None:
-            yield frame(current, table)
+            yield pd.DataFrame([(*current, *row) for row in table.rows()], columns=columns)
 
     return run
 
@@ -188,14 +188,15 @@ def _segment_tables(group, window):
 def _chain(keys, window):
     def run(tables: pd.DataFrame) -> pd.DataFrame:
         tables = tables.sort_values(["_segment", "entry"])
-        last, rows = None, []
-        for segment, table in tables.groupby("_segment", sort=True):
-            rows.append((segment, last))
-            at = 0 if last is None else int(np.searchsorted(table["entry"].to_numpy(), last + window))
-            if at < len(table):
-                last = int(table["exit"].iat[at])
-        out = pd.DataFrame(rows, columns=["_segment", "_last"])
-        out["_last"] = out["_last"].astype("Int64")
+        segments, entries, exits = (tables[c].to_numpy() for c in ("_segment", "entry", "exit"))
+        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
+        last, incoming = None, []
+        for start, end in zip(starts, [*starts[1:], len(tables)]):
+            incoming.append(last)
+            at = start if last is None else start + int(np.searchsorted(entries[start:end], last + window))
+            if at < end:
+                last = int(exits[at])
+        out = pd.DataFrame({"_segment": segments[starts], "_last": pd.array(incoming, dtype="Int64")})
         for name in keys:
             out[name] = tables[name].iat[0]
         return out[[*keys, "_segment", "_last"]]

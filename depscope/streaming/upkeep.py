@@ -60,7 +60,7 @@ class EdgeStore:
 
     def edges_of(self, paths: DataFrame, before: int | None = None) -> DataFrame:
         """The edges that leave some files; few files make a small side of the join."""
-        return self._live(self.versions(before).join(paths.select("path"), "path", "left_semi"), before)
+        return self._live(self.versions(before).join(paths.select("path").distinct(), "path", "left_semi"), before)
 
     def changes(self) -> DataFrame:
         return self._read("changes", _CHANGES, None)
