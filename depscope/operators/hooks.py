@@ -91,7 +91,7 @@ def dispatch_hooks(rows: DataFrame, registry: HookRegistry, event: str) -> DataF
                     if hook.languages and row["language"] not in hook.languages:
                         continue
                     out += [{"hook": hook.name, "priority": priority, **result} for result in hook.run(row)]
-            yield pd.DataFrame(out, columns=HOOK_RESULT.names)
+            yield pd.DataFrame(out, columns=HOOK_RESULT.names, dtype=object)
 
     return tagged.mapInPandas(run, HOOK_RESULT)
 

@@ -116,7 +116,7 @@ def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "dis
             for folder in batch["name"]:
                 rows = _list_folder(root, folder, rules)
                 if rows:
-                    frame = pd.DataFrame(rows, columns=_ENTRY.names)
+                    frame = pd.DataFrame(rows, columns=_ENTRY.names).astype({"name": object})
                     frame["mtime"] = pd.to_datetime(frame["mtime"])
                     yield frame
 
@@ -141,6 +141,9 @@ def read_contents(listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 *
         T.StructField("mtime", T.TimestampType()), T.StructField("data", T.BinaryType()),
     ])
 
+    def frame(rows):
+        return pd.DataFrame(rows, columns=schema.names).astype({"path": object})
+
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _file_system(root)
         for batch in batches:
@@ -159,10 +162,10 @@ def read_contents(listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 *
                 rows.append((path, length, mtime, data))
                 size += len(data)
                 if size >= batch_bytes:
-                    yield pd.DataFrame(rows, columns=schema.names)
+                    yield frame(rows)
                     rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=schema.names)
+                yield frame(rows)
 
     return listing.repartition("path").mapInPandas(load, schema)
 

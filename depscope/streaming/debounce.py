@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def debounce_trailing(events: DataFrame, keys: Sequence[str], gap_ms: int, ts: str = "ts") -> DataFrame:
-    """Bursts of a table: (keys, first_ts, last_ts, n_events). A gap of `gap_ms` or more ends one.
+    """Bursts of a table: (keys, first_ts, last_ts, n_events). A quiet time longer than `gap_ms` ends one.
 
     Events of a key in one slot of the length of the gap always belong together.
     They are merged before the shuffle, so the window below sees at most one row
@@ -20,7 +20,7 @@ def debounce_trailing(events: DataFrame, keys: Sequence[str], gap_ms: int, ts: s
         F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n")
     )
     in_order = Window.partitionBy(*keys).orderBy("_slot")
-    starts = F.coalesce((F.col("_lo") - F.lag("_hi").over(in_order) >= gap).cast("int"), F.lit(1))
+    starts = F.coalesce((F.col("_lo") - F.lag("_hi").over(in_order) > gap).cast("int"), F.lit(1))
     burst = F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     return (
         slots.withColumn("_starts", starts).withColumn("_burst", burst).groupBy(*keys, "_burst")

@@ -178,9 +178,9 @@ def _segment_tables(group, window):
                     current, table = key, SegmentTable(window)
                 table.add(times[start:end])
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
         if table is not None:
-            yield pd.DataFrame([(*current, *row) for row in table.rows()], columns=columns)
+            yield pd.DataFrame([(*current, *row) for row in table.rows()], columns=columns, dtype=object)
 
     return run
 
@@ -198,7 +198,7 @@ def _chain(keys, window):
                 last = int(exits[at])
         out = pd.DataFrame({"_segment": segments[starts], "_last": pd.array(incoming, dtype="Int64")})
         for name in keys:
-            out[name] = tables[name].iat[0]
+            out[name] = pd.Series([tables[name].iat[0]] * len(out), dtype=tables[name].dtype)
         return out[[*keys, "_segment", "_last"]]
 
     return run
