@@ -85,14 +85,12 @@ def _labels(role: str, status, reason: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), status.alias("status"), reason.alias("reason"))
 
 
-def classification(path: Column, language: Column, text: Column) -> Column:
-    """Struct (role, status, reason); the first step that applies decides."""
-    lower = F.lower(path)
+def classification(lower: Column, language: Column, text: Column) -> Column:
+    """Struct (role, status, reason) from a lower-cased path; the first step that applies decides."""
     in_source = lower.contains("/src/") & ~_contains(lower, ("/test", "/example"))
     library_status = F.when(in_source, "stable").otherwise("beta")
-    named = F.lit(None).cast("string")
-    for language_key, name in LANGUAGE_NAMES.items():
-        named = F.when(language == language_key, name).otherwise(named)
+    names = F.create_map(*[F.lit(text) for pair in LANGUAGE_NAMES.items() for text in pair])
+    named = F.try_element_at(names, language)
 
     def reason(words: str) -> Column:
         return F.concat(F.lit(words + " "), named)
@@ -115,10 +113,11 @@ def classification(path: Column, language: Column, text: Column) -> Column:
 def classify_files(files: DataFrame) -> DataFrame:
     """(path, role, status, reason) of every file in a known language."""
     known = files.select(
-        "path", "content", language_of(F.col("path"), CLASSIFIED_LANGUAGES, ignore_case=True).alias("_language")
+        "path", "content", F.lower("path").alias("_lower"),
+        language_of(F.col("path"), CLASSIFIED_LANGUAGES, ignore_case=True).alias("_language"),
     ).where("_language is not null")
     # Null content stands for a file that could not be read.
-    labels = F.when(F.col("content").isNotNull(), classification(F.col("path"), F.col("_language"), F.col("content")))
+    labels = F.when(F.col("content").isNotNull(), classification(F.col("_lower"), F.col("_language"), F.col("content")))
     return known.select("path", labels.alias("c")).select("path", "c.role", "c.status", "c.reason")
 
 

@@ -39,11 +39,9 @@ RUBY_RELATIVE = r"""(?m)^[ \t]*require_relative[ \t]+['"]([^'"\n]+)['"]"""
 def language_of(path: Column, languages: dict[str, str] = IMPORT_LANGUAGES, ignore_case: bool = False) -> Column:
     """Language by file extension, null if there is none."""
     ext = F.lower(extension(path)) if ignore_case else extension(path)
-    result = None
-    for language in dict.fromkeys(languages.values()):
-        known = ext.isin(*[e for e, name in languages.items() if name == language])
-        result = F.when(known, language) if result is None else result.when(known, language)
-    return result
+    # A constant map: the extension is taken once, however many languages there are.
+    table = F.create_map(*[F.lit(text) for pair in languages.items() for text in pair])
+    return F.try_element_at(table, ext)
 
 
 def _all(text: Column, pattern: str) -> Column:

@@ -40,8 +40,8 @@ def in_graph(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def _spellings(path):
     """A path as given, then without leading `/home/`, `./` and `/`."""
-    trimmed = [F.regexp_replace(path, f"^(?:{lead})+", "") for lead in ("/home/", r"\./", "/")]
-    return F.array(path, *trimmed)
+    without = lambda lead, regex: F.when(path.startswith(lead), F.regexp_replace(path, regex, "")).otherwise(path)
+    return F.array(path, without("/home/", "^(?:/home/)+"), without("./", r"^(?:\./)+"), F.ltrim(path, F.lit("/")))
 
 
 def related_with_fallback(

@@ -28,7 +28,8 @@ from depscope.sources.layout import EdgeLayout
 DEFAULT_DEPTH = 5
 # Edge tables up to this many stored bytes are walked several hops per job.
 DEEP_STEP_BYTES = 32 * 1024 * 1024
-DEEP_STEP_HOPS = 8
+# Planning time grows faster than the number of hops in one text.
+DEEP_STEP_HOPS = 6
 
 
 @dataclass(frozen=True)
@@ -144,9 +145,9 @@ def walk(
     else:
         kept = edges if relations is None else edges.where(F.col("rel").isin(*relations))
         hops = scratch.store(_hop_columns(kept, direction, external), f"{run}/hops")
-        small = scratch.stored_bytes(spark, f"{run}/hops") <= DEEP_STEP_BYTES
         # Walks from a table of names carry many rows: they always take wide steps.
-        per_job = hops_per_job or (DEEP_STEP_HOPS if small and isinstance(root, str) else 1)
+        small = isinstance(root, str) and scratch.stored_bytes(spark, f"{run}/hops") <= DEEP_STEP_BYTES
+        per_job = hops_per_job or (DEEP_STEP_HOPS if small else 1)
     if start_can_return:
         per_job = 1
 

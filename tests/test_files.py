@@ -62,7 +62,7 @@ CASES = [
 def test_classification(spark):
     files = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(CASES)], "i int, path string, content string")
     labels = files.select("i", classify.classification(
-        F.col("path"), extract.language_of(F.col("path"), extract.CLASSIFIED_LANGUAGES, True), F.col("content")
+        F.lower("path"), extract.language_of(F.col("path"), extract.CLASSIFIED_LANGUAGES, True), F.col("content")
     ).alias("c")).select("i", "c.*").collect()
     for row in labels:
         assert (row["role"], row["status"]) == CASES[row["i"]][2:], CASES[row["i"]]
