@@ -113,20 +113,14 @@ _register(
 )
 _register(
     "extension_edges",
-    lambda s, d: associate.extension_edges(_files(s, d), "repo1/scripts/**", "**/lib/*", "documented_by").unionByName(
-        associate.extension_edges(
-            _files(s, d).select(F.regexp_replace("path", r"/mod_\d*?(\d\d\d?)\.", "/m$1.").alias("path")).distinct(),
-            "**/src/*.[gp][oy]", "**/examples/**", "documented_by",
-        )
+    lambda s, d: associate.extension_edges(
+        _files(s, d).select(F.regexp_replace("path", r"/mod_\d*?(\d\d?)\.", "/m$1.").alias("path")).distinct(),
+        "repo1/**", "repo2/**/*.py", "documented_by",
     ),
-    f"""{FILES}, short AS (SELECT DISTINCT regexp_replace(path, '/mod_\\d*?(\\d\\d\\d?)\\.', '/m\\1.') AS path FROM fx_files),
-    stems AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM short)
-    SELECT a.path AS "from", b.path AS "to", 'documented_by' AS rel FROM stems a JOIN stems b ON a.stem = b.stem
-    WHERE regexp_matches(a.path, '^(.*/)?src/.*\\.[gp][oy]$') AND regexp_matches(b.path, '^(.*/)?examples/.*$')
-    UNION ALL SELECT a.path, b.path, 'documented_by' FROM
-      (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM fx_files WHERE path LIKE 'repo1/scripts/%') a
-      JOIN (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM fx_files WHERE path LIKE '%/lib/%') b
-      ON a.stem = b.stem""",
+    f"""{FILES}, short AS (SELECT DISTINCT regexp_replace(path, '/mod_\\d*?(\\d\\d?)\\.', '/m\\1.') AS path FROM fx_files),
+    placed AS (SELECT path, regexp_replace(path[7:], '\\.[^./]*$', '') AS place FROM short)
+    SELECT a.path AS "from", b.path AS "to", 'documented_by' AS rel FROM placed a JOIN placed b ON a.place = b.place
+    WHERE a.path LIKE 'repo1/%' AND b.path LIKE 'repo2/%.py'""",
 )
 
 # -- classification ----------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depscope.functions.globs import matches_glob
@@ -88,12 +90,23 @@ def flag_external(edges: DataFrame, mounts: DataFrame) -> DataFrame:
     return joined.select("from", target.alias("to"), "rel")
 
 
+def _placed(files: DataFrame, pattern: str, name: str) -> DataFrame:
+    fixed = itertools.takewhile(lambda part: not set(part) & set("*?["), pattern.split("/")[:-1])
+    base = "".join(part + "/" for part in fixed)
+    below = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
+    return files.where(matches_glob(F.col("path"), pattern)).select(
+        F.col("path").alias(name), F.regexp_replace(below, r"\.[^./]*$", "").alias("_place")
+    )
+
+
 def extension_edges(files: DataFrame, pattern_from: str, pattern_to: str, rel: str) -> DataFrame:
-    """Edges between files of two globs that have the same stem, such as a page and the module it documents."""
-    stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
-    left = files.where(matches_glob(F.col("path"), pattern_from)).select(F.col("path").alias("from"), stem.alias("_stem"))
-    right = files.where(matches_glob(F.col("path"), pattern_to)).select(F.col("path").alias("to"), stem.alias("_stem"))
-    return left.join(right, "_stem").where(F.col("from") != F.col("to")).select("from", "to", F.lit(rel).alias("rel"))
+    """Edges between files of two globs that lie at the same place below them, such as a page and what it documents.
+
+    The place is the path below the fixed folders of the glob, without its
+    extension: `docs/**` and `src/**` pair `docs/a/b.md` with `src/a/b.go`.
+    """
+    left = _placed(files, pattern_from, "from")
+    return left.join(_placed(files, pattern_to, "to"), "_place").where(F.col("from") != F.col("to")).select("from", "to", F.lit(rel).alias("rel"))
 
 
 # Relations and their inverse.

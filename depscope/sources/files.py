@@ -125,17 +125,26 @@ def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "dis
     while True:
         folders.select("name").mapInPandas(expand, _ENTRY).write.parquet(f"{run}/level={level}")
         below = found.option("basePath", run).parquet(run).where((F.col("level") == level) & F.col("is_dir"))
-        if below.isEmpty():
+        count = below.count()
+        if not count:
             break
-        folders, level = below.repartition("name"), level + 1
+        # A given number: adaptive execution would merge rows this small into one task.
+        folders, level = below.repartition(min(count, 4 * spark.sparkContext.defaultParallelism), "name"), level + 1
     return (
         found.option("basePath", run).parquet(run).where(~F.col("is_dir"))
         .select(F.col("name").alias("path"), "length", "mtime")
     )
 
 
-def read_contents(listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Add the bytes of each listed file; files that cannot be read are left out."""
+def read_contents(
+    listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 * 1024, task_bytes: int = 128 * 1024 * 1024
+) -> DataFrame:
+    """Add the bytes of each listed file; files that cannot be read are left out.
+
+    The number of tasks follows from the listed sizes, as the listing itself is small.
+    """
+    files, size = listing.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(files, max(size // task_bytes + 1, listing.sparkSession.sparkContext.defaultParallelism)))
     schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("length", T.LongType()),
         T.StructField("mtime", T.TimestampType()), T.StructField("data", T.BinaryType()),
@@ -167,7 +176,7 @@ def read_contents(listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 *
             if rows:
                 yield frame(rows)
 
-    return listing.repartition("path").mapInPandas(load, schema)
+    return listing.repartition(tasks, "path").mapInPandas(load, schema)
 
 
 def scan_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover") -> DataFrame:

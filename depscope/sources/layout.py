@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from depscope import scratch
 from depscope.schemas import EDGE_COLUMNS
 
 
@@ -43,8 +44,13 @@ def write_layout(edges: DataFrame, path: str, key: str, buckets: int | None = No
 
 
 def lookup(layout: EdgeLayout, spark: SparkSession, names: DataFrame, column: str = "path") -> DataFrame:
-    """Edges whose key is one of the given names, reading only the folders needed."""
+    """Edges whose key is one of the given names, reading only the folders needed.
+
+    The names are stored first: their size on disk lets Spark broadcast them if they
+    are few, and their filter makes it prune folders by them. Both are off otherwise.
+    """
     wanted = names.select(F.col(column).alias("_name")).distinct().withColumn("_bucket", layout.bucket_of(F.col("_name")))
+    wanted = scratch.materialize(wanted, "names").where(F.col("_bucket") >= 0)
     edges = layout.read(spark)
     return edges.join(
         wanted, (edges["bucket"] == wanted["_bucket"]) & (edges[layout.key] == wanted["_name"]), "left_semi"

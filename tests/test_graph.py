@@ -136,7 +136,8 @@ def test_layout_lookup_prunes_folders(spark, edges, rows):
     wanted = spark.createDataFrame([("t3",)], "path string")
     found = lookup(layout, spark, wanted)
     assert len(found.collect()) == 10
-    assert "dynamicpruning" in found._jdf.queryExecution().toString() or "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan
 
 
 def test_flag_external(spark, edges, rows):
@@ -154,3 +155,9 @@ def test_rendered_relations_of_a_hub_are_paged(edges):
     entries = [entry for row in hub for entry in row["text"].split("|")]
     assert len(hub) > 1 and sorted(entries) == sorted(f"imports:t{i}" for i in range(50))
     assert texts.where("path = 'a'").first()["text"] == "external:r:x|imports:b"
+
+
+def test_extension_edges(spark, rows):
+    files = spark.createDataFrame([("docs/a/b.md",), ("docs/b.md",), ("src/a/b.go",), ("src/x/b.go",)], "path string")
+    found = associate.extension_edges(files, "docs/**/*.md", "src/**/*.go", "documented_by")
+    assert rows(found) == [("docs/a/b.md", "src/a/b.go", "documented_by")]
