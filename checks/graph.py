@@ -136,7 +136,7 @@ def _upsert(s, d):
 
 
 def _layout_lookup(s, d):
-    layout = write_layout(edge_view(s, d), scratch.new_folder(s, "layout"), "to")
+    layout = write_layout(edge_view(s, d), scratch.new_folder(s, "layout"), "to", 16)
     wanted = table(s, d, "supplier").select(F.concat(F.lit("p:"), "s_suppkey").alias("path"))
     return lookup(layout, s, wanted)
 
@@ -187,7 +187,7 @@ _register(
 )
 _register(
     "impact_on_layout",
-    lambda s, d: traverse.impact(write_layout(edge_view(s, d, "fx_ring"), scratch.new_folder(s, "layout"), "to"), "r:1", 3),
+    lambda s, d: traverse.impact(write_layout(edge_view(s, d, "fx_ring"), scratch.new_folder(s, "layout"), "to", 16), "r:1", 3),
     f"SELECT path, relation, depth FROM ({_walk_oracle(RING, 'fx_ring', _ONE, 3)})",
 )
 _register(

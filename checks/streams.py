@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from checks.views import edge_view, table, view, with_views
 from depscope import scratch
 from depscope.schemas import EDGE_COLUMNS
+from depscope.session import prepare_streaming
 from depscope.streaming import blobs, debounce, events, firing, stateful, throttle, upkeep
 
 EVENTS = with_views("fx_events", recursive=True)
@@ -42,11 +43,18 @@ def _event_stream(s, d):
 def _run(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all its input and read what it wrote."""
     spark = stream.sparkSession
+    prepare_streaming(spark)
     folder = scratch.new_folder(spark, label)
-    (
-        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
+    # State keeps the number of partitions it starts with, so it follows the cores at hand.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        (
+            stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

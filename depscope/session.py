@@ -23,3 +23,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def prepare_streaming(spark: SparkSession) -> None:
+    """Give a session that was built elsewhere the settings that streaming operators need."""
+    for key, value in SETTINGS.items():
+        if ".streaming." in key:
+            spark.conf.set(key, value)
