@@ -7,44 +7,67 @@ compares with the broadcast threshold.
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session without one gets its own."""
+    """The folder named by spark.checkpoint.dir, else one below the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="depscope-")
-    return _local_roots[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def stored_bytes(spark: SparkSession, folder: str) -> int:
     """Size of a stored table on disk."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    store, path = _at(spark, folder)
+    return store.getContentSummary(path).getLength()
 
 
 def discard(spark: SparkSession, folder: str) -> None:
     """Remove a folder this module named, once nothing reads it any more."""
     if not folder.startswith(shared_root(spark) + "/"):
         raise ValueError(f"{folder} is not inside the shared checkpoint folder")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _at(spark, folder)
+    store.delete(path, True)
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if folder in made:
+        made.remove(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every folder this application still has here; frames read from them end with this."""
+    for folder in list(_made.get(spark.sparkContext.applicationId, [])):
+        discard(spark, folder)
+
+
+@contextlib.contextmanager
+def kept_for(spark: SparkSession) -> Iterator[SparkSession]:
+    """Within the block results may rest in the shared folder; what was added there goes when it ends."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    try:
+        yield spark
+    finally:
+        for folder in [x for x in made if x not in before]:
+            discard(spark, folder)
 
 
 def store(df: DataFrame, folder: str) -> DataFrame:
