@@ -36,7 +36,7 @@ _RUNS = tuple(regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", _OTHER + "*"))
 _SPACE_RUN = regex.compile(_WHITE + "*")
 # The pattern never looks more than this many characters beyond the start of a match and past its end.
 _AHEAD = 4
-CHUNK, LONG_WORD, MEMO = 1 << 16, 256, 1 << 18
+CHUNK, LONG_WORD, MEMO = 1 << 16, 256, 1 << 19
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -110,14 +110,20 @@ class Vocabulary:
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Merge lowest ranks first; for words of a few dozen bytes."""
-        get, none = self.ranks.get, len(self.merged)
-        while len(parts) > 1:
-            found = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        get, merged, none = self.ranks.get, self.merged, len(self.merged)
+        found = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while found:
             rank = min(found)
             if rank == none:
                 break
             i = found.index(rank)
-            parts[i : i + 2] = [self.merged[rank]]
+            parts[i] = merged[rank]
+            del parts[i + 1], found[i]
+            # Only the pairs beside the new token change.
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), none)
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), none)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:

@@ -3,7 +3,8 @@
 Ten heuristic labellers vote good, bad or abstain on every text. How often each pattern of votes
 occurs is counted over all documents. Expectation-maximisation on these counts estimates, per
 labeller and class, how it votes (with a prior that it is better than chance), and so the chance
-that a text with a given pattern is good. These posterior labels train a linear scorer on hashed
+that a text with a given pattern is good. Bad texts are several classes, one per kind, because a
+labeller of symbols says nothing of stutter. These posterior labels train a linear scorer on hashed
 class n-grams of the bytes and on word repetition: every task trains on its own documents and the
 weights are averaged by the number of documents. The scorer then judges every text.
 
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame, functions as F
 from depscope.llm.common import fresh
 from depscope.scratch import materialize
 
-# Names of the labellers, in the order of their votes.
+# Names of the labellers, in the order of their votes, and the kinds of bad text they are meant to see.
 LABELLERS = ("symbols", "symbol_words", "upper", "marks", "shouting", "bars", "stutter", "distinct", "letters", "top_word")
+KINDS = (("symbols", "symbol_words", "letters"), ("upper", "marks", "shouting"), ("bars", "symbols"), ("stutter", "distinct", "top_word"))
 PRIOR_GOOD, PRIOR_STRENGTH, ROUNDS = 0.85, 10.0, 60
 
 # Hashed features: n-grams of this many byte classes, folded into 2 ** FEATURE_BITS weights.
 GRAM, FEATURE_BITS = 4, 14
-BATCH, EPOCHS, RATE, DECAY = 256, 2, 0.5, 1e-5
+BATCH, EPOCHS, RATE, DECAY = 256, 6, 0.5, 1e-5
 
 _CLASSES = np.full(256, 6, dtype=np.uint8)  # 6: other punctuation
 _CLASSES[list(range(97, 123))] = 0
@@ -54,18 +56,18 @@ _MARKED = tuple("#*$%&|<>!")
 
 @dataclass(frozen=True)
 class Model:
-    """What EM found about the labellers, and the scorer's weights (the last is the bias)."""
+    """What EM found about the labellers (class 0 is good), and the scorer's weights (the last is the bias)."""
 
-    good: float
-    votes_if_good: tuple[tuple[float, ...], ...]
-    votes_if_bad: tuple[tuple[float, ...], ...]
+    shares: tuple[float, ...]
+    tables: tuple[tuple[tuple[float, ...], ...], ...]
     weights: bytes
 
     def accuracy(self, labeller: str) -> float:
         """How often the labeller is right when it votes."""
         i = LABELLERS.index(labeller)
-        (bad_g, _, good_g), (bad_b, _, good_b) = self.votes_if_good[i], self.votes_if_bad[i]
-        right, wrong = self.good * good_g + (1 - self.good) * bad_b, self.good * bad_g + (1 - self.good) * good_b
+        said = [(share, table[i]) for share, table in zip(self.shares, self.tables, strict=True)]
+        right = said[0][0] * said[0][1][2] + sum(share * row[0] for share, row in said[1:])
+        wrong = said[0][0] * said[0][1][0] + sum(share * row[2] for share, row in said[1:])
         return right / (right + wrong)
 
 
@@ -98,31 +100,44 @@ def votes(text: str | None) -> bytes:
     ])
 
 
-def estimate(patterns: dict[bytes, int]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share of good, votes if good, votes if bad) by EM; votes are (labeller, vote) tables of chances."""
-    k = len(LABELLERS)
-    start_good, start_bad = np.tile([0.05, 0.15, 0.8], (k, 1)), np.tile([0.4, 0.2, 0.4], (k, 1))
-    good, if_good, if_bad = PRIOR_GOOD, start_good.copy(), start_bad.copy()
+def _start() -> tuple[np.ndarray, np.ndarray]:
+    """Shares and vote chances by class to start from, which are the prior too."""
+    # Bad, abstained, good: to abstain says nothing of a text, so it counts as 1 in every class.
+    fine, poor = (0.06, 1.0, 0.94), (0.85, 1.0, 0.15)
+    tables = [[fine] * len(LABELLERS), *[[poor if name in kind else fine for name in LABELLERS] for kind in KINDS]]
+    return np.array([PRIOR_GOOD, *[(1 - PRIOR_GOOD) / len(KINDS)] * len(KINDS)]), np.array(tables)
+
+
+def estimate(patterns: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each class, chance of each vote by class and labeller) by EM; class 0 is good."""
+    prior_shares, prior_tables = shares, tables = _start()
     if not patterns:
-        return good, if_good, if_bad
+        return shares, tables
     order = sorted(patterns)
     v = np.array([list(p) for p in order])
     weight = np.array([patterns[p] for p in order], dtype=np.float64)
     seen = np.eye(3)[v]
+    seen[:, :, 1] = 0
     for _ in range(ROUNDS):
-        posterior = chance_good(v, good, if_good, if_bad)
-        wg, wb = weight * posterior, weight * (1 - posterior)
-        good = (wg.sum() + PRIOR_STRENGTH * PRIOR_GOOD) / (weight.sum() + PRIOR_STRENGTH)
-        if_good = (np.einsum("p,pkv->kv", wg, seen) + PRIOR_STRENGTH * start_good) / (wg.sum() + PRIOR_STRENGTH)
-        if_bad = (np.einsum("p,pkv->kv", wb, seen) + PRIOR_STRENGTH * start_bad) / (wb.sum() + PRIOR_STRENGTH)
-    return float(good), if_good, if_bad
+        held = _posterior(v, shares, tables) * weight[:, None]
+        total = held.sum(axis=0)
+        shares = (total + PRIOR_STRENGTH * prior_shares) / (weight.sum() + PRIOR_STRENGTH)
+        tables = np.einsum("pc,pkv->ckv", held, seen) + PRIOR_STRENGTH * prior_tables
+        tables /= tables[:, :, ::2].sum(axis=2, keepdims=True)
+        tables[:, :, 1] = 1
+    return shares, tables
 
 
-def chance_good(v: np.ndarray, good: float, if_good: np.ndarray, if_bad: np.ndarray) -> np.ndarray:
-    """Posterior of patterns (rows of votes)."""
+def _posterior(v: np.ndarray, shares: np.ndarray, tables: np.ndarray) -> np.ndarray:
     each = np.arange(v.shape[1])
-    odds = np.log(good / (1 - good)) + (np.log(if_good)[each, v] - np.log(if_bad)[each, v]).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    logs = np.log(shares) + np.log(tables)[:, each, v].sum(axis=2).T
+    chance = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return chance / chance.sum(axis=1, keepdims=True)
+
+
+def chance_good(v: np.ndarray, shares: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Posterior of patterns (rows of votes)."""
+    return _posterior(v, shares, tables)[:, 0]
 
 
 def feature_row(text: str | None) -> np.ndarray | None:
@@ -142,10 +157,10 @@ def feature_row(text: str | None) -> np.ndarray | None:
         found = np.bincount(((gram * np.uint32(2654435761)) >> np.uint32(32 - FEATURE_BITS)).astype(np.int64), minlength=size)
         out[:size] = np.sqrt(found / m)
     n = len(words)
-    # Three slots of their own for repetition; hashed n-grams that fall there share them.
-    out[0] += sum(map(eq, words, words[1:])) / n
-    out[1] += (1 - len(set(words)) / n) if n >= 20 else 0
-    out[2] += max(Counter(words).values()) / n if n >= 20 else 0
+    # Three slots for repetition, weighted like several n-grams; hashed ones that fall there share them.
+    out[0] += 3 * sum(map(eq, words, words[1:])) / n
+    out[1] += 3 * (1 - len(set(words)) / n) if n >= 20 else 0
+    out[2] += 3 * max(Counter(words).values()) / n if n >= 20 else 0
     out[size] = 1.0
     return out
 
@@ -178,7 +193,7 @@ def count_patterns(docs: DataFrame, text: str) -> dict[bytes, int]:
     return {bytes(r["votes"]): r["n"] for r in rows}
 
 
-def train(docs: DataFrame, text: str, good: float, if_good: np.ndarray, if_bad: np.ndarray) -> np.ndarray:
+def train(docs: DataFrame, text: str, shares: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Weights of a logistic scorer of the posterior labels, averaged over the tasks' own ones."""
     size = (1 << FEATURE_BITS) + 1
 
@@ -188,7 +203,7 @@ def train(docs: DataFrame, text: str, good: float, if_good: np.ndarray, if_bad:
             column = batch.column(0)
             for at, x in _batches(column):
                 v = np.array([list(votes(column[i].as_py())) for i in at])
-                y = chance_good(v, good, if_good, if_bad)
+                y = chance_good(v, shares, tables)
                 n += len(at)
                 for _ in range(EPOCHS):
                     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -217,10 +232,9 @@ def train(docs: DataFrame, text: str, good: float, if_good: np.ndarray, if_bad:
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of a table of documents: two passes over the whole texts."""
-    good, if_good, if_bad = estimate(count_patterns(docs, text))
-    weights = train(docs, text, good, if_good, if_bad)
-    table = lambda t: tuple(tuple(map(float, row)) for row in t)
-    return Model(good, table(if_good), table(if_bad), weights.tobytes())
+    shares, tables = estimate(count_patterns(docs, text))
+    weights = train(docs, text, shares, tables)
+    return Model(tuple(map(float, shares)), tuple(tuple(tuple(map(float, row)) for row in t) for t in tables), weights.tobytes())
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
