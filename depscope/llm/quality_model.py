@@ -5,11 +5,13 @@ occurs is counted over all documents. Expectation-maximisation on these counts e
 labeller and class, how it votes (with a prior that it is better than chance), and so the chance
 that a text with a given pattern is good. Bad texts are several classes, one per kind, because a
 labeller of symbols says nothing of stutter. These posterior labels train a linear scorer on hashed
-class n-grams of the bytes and on word repetition: every task trains on its own documents and the
-weights are averaged by the number of documents. The scorer then judges every text.
+class n-grams of the bytes and on word repetition. It is fitted on a uniform sample of documents,
+TRAIN_ROWS as expected (all, if there are fewer): their features are dealt evenly over TRAIN_TASKS
+tasks, whatever the order of the table, and the tasks' weights are averaged. The scorer then judges
+every text, by its whole length.
 
 Driver data: one count per vote pattern that occurs (at most 3 ** 10, whatever the input) and one
-weight vector per task, added up in a tree.
+weight vector per training task.
 
 Defined results: null text is empty; texts without words are kept, as nothing speaks against them;
 an empty table gives a scorer that keeps all.
@@ -36,7 +38,9 @@ PRIOR_GOOD, PRIOR_STRENGTH, ROUNDS = 0.85, 10.0, 60
 
 # Hashed features: n-grams of this many byte classes, folded into 2 ** FEATURE_BITS weights.
 GRAM, FEATURE_BITS = 4, 14
-BATCH, EPOCHS, RATE, DECAY = 256, 6, 0.5, 1e-5
+# The sample the scorer is fitted on, and the tasks that share it; passes over it, or as many steps at least.
+TRAIN_ROWS, TRAIN_TASKS = 20_000, 4
+BATCH, PASSES, STEPS, RATE, DECAY, SEED = 256, 4, 200, 0.5, 1e-5, 11
 
 _CLASSES = np.full(256, 6, dtype=np.uint8)  # 6: other punctuation
 _CLASSES[list(range(97, 123))] = 0
@@ -193,47 +197,53 @@ def count_patterns(docs: DataFrame, text: str) -> dict[bytes, int]:
     return {bytes(r["votes"]): r["n"] for r in rows}
 
 
-def train(docs: DataFrame, text: str, shares: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer of the posterior labels, averaged over the tasks' own ones."""
+def train(docs: DataFrame, text: str, share: float, shares: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Weights of a logistic scorer of the posterior labels, fitted on a share of the documents."""
     size = (1 << FEATURE_BITS) + 1
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, grad2, n = np.zeros(size), np.full(size, 1e-6), 0
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            for at, x in _batches(column):
-                v = np.array([list(votes(column[i].as_py())) for i in at])
-                y = chance_good(v, shares, tables)
-                n += len(at)
-                for _ in range(EPOCHS):
-                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                    g = (x.T @ (p - y)) / len(at) + DECAY * w
-                    grad2 += g * g
-                    w -= RATE * g / np.sqrt(grad2)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([(w * n).tobytes()], pa.binary())], names=["part", "n", "w"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(size), 0
-        for batch in batches:
-            n += sum(batch.column("n").to_pylist())
-            for w in batch.column("w"):
-                total += np.frombuffer(w.as_py(), dtype=np.float64)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "w"])
-
-    schema = "part int, n long, w binary"
-    fitted = materialize(docs.select(text).mapInArrow(fit, schema), "weights")
-    # Added up in a few tasks first; the driver gets one vector from each.
-    parts = fitted.repartition(8).mapInArrow(add, schema).collect()
+            rows = []
+            for value in batch.column(0):
+                row = feature_row(value.as_py())
+                if row is not None:
+                    at = np.nonzero(row)[0]
+                    v = np.array([list(votes(value.as_py()))])
+                    rows.append((at.astype(np.int32).tobytes(), row[at].tobytes(), float(chance_good(v, shares, tables)[0])))
+            at, value, y = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary()), pa.array(y, pa.float64())], names=["at", "value", "y"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A bounded number of rows: a task's part of the sample.
+        rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), y.as_py()) for b in batches for a, v, y in zip(*b.columns, strict=True)]
+        if not rows:
+            return
+        w, grad2, order = np.zeros(size, np.float32), np.full(size, 1e-6, np.float32), np.random.default_rng(SEED)
+        for _ in range(max(PASSES, -(-STEPS * BATCH // max(len(rows), BATCH)))):
+            mixed = order.permutation(len(rows))
+            for start in range(0, len(rows), BATCH):
+                chosen = [rows[i] for i in mixed[start : start + BATCH]]
+                x, y = np.zeros((len(chosen), size), np.float32), np.array([r[2] for r in chosen], np.float32)
+                for i, (at, value, _) in enumerate(chosen):
+                    x[i, at] = value
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                g = x.T @ (p - y) / np.float32(len(chosen)) + np.float32(DECAY) * w
+                grad2 += g * g
+                w -= np.float32(RATE) * g / np.sqrt(grad2)
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary())], names=["n", "w"])
+
+    sample = docs.select(text) if share >= 1 else docs.where(F.rand(SEED) < share).select(text)
+    described = materialize(sample.mapInArrow(describe, "at binary, value binary, y double"), "sample")
+    parts = described.repartition(TRAIN_TASKS).mapInArrow(learn, "n long, w binary").collect()
     n = sum(r["n"] for r in parts)
-    return sum((np.frombuffer(r["w"], dtype=np.float64) for r in parts), np.zeros(size)) / max(n, 1)
+    return sum((r["n"] * np.frombuffer(r["w"], dtype=np.float64) for r in parts), np.zeros(size)) / max(n, 1)
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model of a table of documents: two passes over the whole texts."""
-    shares, tables = estimate(count_patterns(docs, text))
-    weights = train(docs, text, shares, tables)
+    """The model of a table of documents: votes of all of them, and a scorer fitted on a sample."""
+    patterns = count_patterns(docs, text)
+    shares, tables = estimate(patterns)
+    weights = train(docs, text, TRAIN_ROWS / max(sum(patterns.values()), 1), shares, tables)
     return Model(tuple(map(float, shares)), tuple(tuple(tuple(map(float, row)) for row in t) for t in tables), weights.tobytes())
 
 

@@ -5,9 +5,9 @@ group of n linked documents is n rows, never n * n pairs. Each round counts the
 link per shard, lets every document ask for the shard where most of its links' weight lies, and
 grants requests under quotas: what a shard may take is what it has free plus what leaves it.
 Requests of a (from, to) pair are granted in the order of a hash of the document, up to the quota,
-so no ranking of all movers is needed. The last step lays the documents out by (shard, link,
-document) and cuts that line into even pieces, which makes counts differ by one at most and moves
-only documents next to a cut.
+so no ranking of all movers is needed. Documents without links take no part; they fill what the
+linked ones leave free, in one line over the shards, together with linked ones that exceed a shard.
+So counts differ by one at most, and a group is split only if it does not fit.
 
 Driver data: one table of shards * shards * HASH_STEPS counts a round, whatever the input.
 
@@ -26,7 +26,7 @@ from depscope.scratch import materialize
 HASH_STEPS = 256
 
 
-def _quotas(asked: dict[tuple[int, int], list[int]], load: list[int], total: int, shards: int) -> dict[tuple[int, int], int]:
+def _quotas(asked: dict[tuple[int, int], list[int]], load: list[int], cap: int) -> dict[tuple[int, int], int]:
     """For each (from, to): how many hash steps are granted.
 
     Room is handed out pair by pair, largest request first; a swap between two shards changes
@@ -34,7 +34,6 @@ def _quotas(asked: dict[tuple[int, int], list[int]], load: list[int], total: int
     """
     granted = {pair: 0 for pair in asked}
     moved = {pair: 0 for pair in asked}
-    cap = -(-total // shards)
     load = list(load)
 
     def grant(pair, most):
@@ -60,13 +59,11 @@ def _quotas(asked: dict[tuple[int, int], list[int]], load: list[int], total: int
     return granted
 
 
-def propagate(links: DataFrame, documents: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
-    """(node, shard): shards after the rounds. `links` has (node, link), `documents` has (node)."""
-    start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
-    # Members of one link start together where its hash says, so that rounds only mend what quotas broke.
-    first = links.groupBy("node").agg(F.pmod(F.min(F.xxhash64("link")), F.lit(shards)).cast("int").alias("from_link"))
-    labels = materialize(
-        documents.join(first, "node", "left").select("node", F.coalesce("from_link", start).alias("shard")), "shards")
+def propagate(links: DataFrame, shards: int, cap: int, rounds: int = 4) -> DataFrame:
+    """(node, shard) of the nodes of links (node, link): shards after the rounds, which fill none beyond `cap`."""
+    # A node starts where the hash of one of its links says, with others of that link.
+    first = F.pmod(F.min(F.xxhash64("link")), F.lit(shards)).cast("int")
+    labels = materialize(links.groupBy("node").agg(first.alias("shard")), "shards")
     step = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(HASH_STEPS)).cast("int")
     for _ in range(rounds):
         held = links.join(labels, "node")
@@ -86,7 +83,7 @@ def propagate(links: DataFrame, documents: DataFrame, shards: int, rounds: int =
         asked: dict[tuple[int, int], list[int]] = {}
         for row in asks.groupBy("shard", "wish", "step").count().collect():
             asked.setdefault((row["shard"], row["wish"]), [0] * HASH_STEPS)[row["step"]] = row["count"]
-        granted = _quotas(asked, load, sum(load), shards)
+        granted = _quotas(asked, load, cap)
         if not any(granted.values()):
             break
         may = F.create_map(*[F.lit(x) for (a, b), n in granted.items() for x in (a * shards + b, n)])
@@ -103,19 +100,28 @@ def even_shards(nodes: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame
     """
     size = nodes.groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("link IS NOT NULL AND members > 1")
     links = materialize(nodes.join(size, "link").select("node", "link"), "links")
-    labels = propagate(links, nodes.select("node"), shards, rounds)
-    linked = links.select("node", F.lit(1).alias("linked")).distinct()
-    laid = nodes.join(labels.withColumnRenamed("shard", "near"), "node").join(linked, "node", "left")
-    # Linked documents lie in the middle of their shard, so that the even cuts fall among the others.
-    side = F.coalesce("linked", F.lit(2) * F.pmod(F.xxhash64("node"), F.lit(2))).cast("int")
-    line = ranked(laid.withColumn("side", side), [], ["near", "side", "link", "node"], "line", "place").drop("near", "side", "linked")
-    n = nodes.count()
-    small, more = divmod(n, shards)  # the first `more` shards hold one document more
-    edge = more * (small + 1)
-    place, wide = F.col("place"), small + 1
-    shard = F.when(place < edge, F.floor(place / wide)).otherwise(more + F.floor((place - edge) / max(small, 1))).cast("int")
-    begin = F.when(F.col("shard") <= more, F.col("shard") * wide).otherwise(edge + (F.col("shard") - more) * small)
-    return line.withColumn("shard", shard).withColumn("slot", (place - begin).cast("long")).drop("place")
+    small, more = divmod(nodes.count(), shards)  # the first `more` shards hold one document more
+    caps = [small + (s < more) for s in range(shards)]
+    labels = propagate(links, shards, small + 1, rounds)
+    laid = nodes.join(labels.withColumnRenamed("shard", "near"), "node", "left")
+
+    inner = ranked(laid.where("near IS NOT NULL"), ["near"], ["link", "node"], "linked", "place")
+    room = F.get(F.array(*[F.lit(c) for c in caps]), F.col("near"))
+    held = {r["near"]: r["count"] for r in inner.groupBy("near").count().collect()}
+    kept = [min(held.get(s, 0), caps[s]) for s in range(shards)]
+    stay = inner.where(F.col("place") < room).select(*nodes.columns, F.col("near").alias("shard"), F.col("place").alias("slot"))
+
+    over = inner.where(F.col("place") >= room).select(*nodes.columns, F.lit(0).alias("turn"))
+    pool = over.union(laid.where("near IS NULL").select(*nodes.columns, F.lit(1)))
+    line = ranked(pool, [], ["turn", "link", "node"], "others", "place")
+    shard, slot, begin = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
+    for s in range(shards):
+        end = begin + caps[s] - kept[s]
+        mine = (F.col("place") >= begin) & (F.col("place") < end)
+        shard = F.when(mine, s).otherwise(shard)
+        slot = F.when(mine, F.col("place") - begin + kept[s]).otherwise(slot)
+        begin = end
+    return stay.union(line.select(*nodes.columns, shard.alias("shard"), slot.alias("slot")))
 
 
 def cut_links(placed: DataFrame) -> DataFrame:
