@@ -182,7 +182,7 @@ _IMPACT = _walk_oracle(RING, "fx_ring", _ONE, 5)
 
 _register("impact", lambda s, d: traverse.impact(edge_view(s, d, "fx_ring"), "r:1", 5), f"SELECT path, relation, depth FROM ({_IMPACT})")
 _register(
-    "impact_wide_steps", lambda s, d: traverse.impact(edge_view(s, d, "fx_ring"), "r:1", 5, hops_per_job=1),
+    "impact_wide_steps", lambda s, d: traverse.walk(edge_view(s, d, "fx_ring"), "r:1", 5).rows.drop("root"),
     f"SELECT path, relation, depth FROM ({_IMPACT})",
 )
 _register(
@@ -240,24 +240,28 @@ _register(
     "render_impact",
     lambda s, d: reports.render_impact(traverse.impact_many(
         edge_view(s, d), table(s, d, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("path")), 2
-    )).drop("pages"),
-    f"""{EDGES} SELECT dst AS path, 0 AS page, string_agg(concat('external:', src), '|' ORDER BY src) AS text
+    )),
+    f"""{EDGES} SELECT dst AS path, string_agg(concat('external:', src), '|' ORDER BY src) AS text
     FROM fx_edges WHERE dst LIKE 'c:%' GROUP BY dst""",
 )
 _register(
     "render_relations", lambda s, d: reports.render_relations(edge_view(s, d)),
-    f"""{EDGES} SELECT src AS path, 1 AS pages, 0 AS page, string_agg(concat(rel, ':', dst), '|' ORDER BY concat(rel, ':', dst)) AS text
+    f"""{EDGES} SELECT src AS path, string_agg(concat(rel, ':', dst), '|' ORDER BY concat(rel, ':', dst)) AS text
     FROM fx_edges GROUP BY src""",
 )
 
+_register(
+    "relation_entries", lambda s, d: reports.relation_entries(edge_view(s, d)),
+    f"{EDGES} SELECT DISTINCT src AS path, concat(rel, ':', dst) AS entry FROM fx_edges",
+)
+
 # -- rules -------------------------------------------------------------------
 COUNT_BY_RELATION = rules.Rule("count-by-relation", "SELECT rel, COUNT(*) AS n FROM edges GROUP BY rel")
 BROKEN = rules.Rule("broken", "SELECT nothing FROM edges")
 
 
 def _stale(s, d):
-    rules.register(file_registry=view(s, d, "fx_registry"))
-    return rules.check_rule(s, rules.STALE_FILES).rows
+    return rules.check_rule(s, rules.STALE_FILES, file_registry=view(s, d, "fx_registry")).rows
 
 
 def _untested(s, d):
@@ -266,13 +270,11 @@ def _untested(s, d):
     tested = table(s, d, "part").where("p_size < 10").select(
         F.concat(F.lit("p:"), "p_partkey").alias("from"), F.lit("t").alias("to"), F.lit("tested_by").alias("rel")
     )
-    rules.register(edges=imports.unionByName(tested))
-    return rules.query(s, rules.UNTESTED_CRITICAL)
+    return rules.query(s, rules.UNTESTED_CRITICAL, edges=imports.unionByName(tested))
 
 
 def _check_all(s, d):
-    rules.register(edges=edge_view(s, d))
-    done = rules.check_all(s, [COUNT_BY_RELATION, BROKEN])
+    done = rules.check_all(s, [COUNT_BY_RELATION, BROKEN], edges=edge_view(s, d))
     return done.select("rule", "ok", F.array_join("row", ",").alias("row"), F.col("error").isNotNull().alias("failed"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from checks.views import edge_view, table, view, with_views
 from depscope import scratch
+from depscope.functions.paths import file_name
+from depscope.operators import associate
 from depscope.schemas import EDGE_COLUMNS
 from depscope.session import prepare_streaming
 from depscope.streaming import blobs, debounce, events, firing, stateful, throttle, upkeep
@@ -45,16 +47,10 @@ def _run(stream: DataFrame, label: str) -> DataFrame:
     spark = stream.sparkSession
     prepare_streaming(spark)
     folder = scratch.new_folder(spark, label)
-    # State keeps the number of partitions it starts with, so it follows the cores at hand.
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        (
-            stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        )
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    (
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -163,14 +159,13 @@ _register(
 
 
 def _fire_stream(s, d):
-    shared = [t for t in TRIGGERS if t.debounce_ms == 2 * HOUR_MS]
-    fired = firing.fire_triggers_stream(_event_stream(s, d), shared, "10 minutes")
+    fired = firing.fire_triggers_stream(_event_stream(s, d), TRIGGERS, "10 minutes")
     return _run(fired, "fire").select("trigger", "path", "action", "command", "async_exec", "timeout_seconds")
 
 
 _register(
     "fire_triggers_stream", _fire_stream,
-    f"""{EVENTS}, {_MATCHED}, {_fired('matched', '"trigger", path')} {_ACTIONS} WHERE hours = 2 AND {_RELEASED}""",
+    f"""{EVENTS}, {_MATCHED}, {_fired('matched', '"trigger", path')} {_ACTIONS} WHERE {_RELEASED}""",
 )
 
 
@@ -195,38 +190,62 @@ _register(
 
 # -- keeping a graph current -------------------------------------------------
 def _maintained(s, d):
-    """Two batches over all files: all are written, then each seventh is deleted and each fifth changed."""
+    """Two batches over all files: all are written, then each seventh is deleted and each fifth source changed."""
     files = view(s, d, "fx_files")
     key = F.regexp_extract("path", r"mod_(\d+)", 1).cast("bigint")
+    source = associate.source_of_test(file_name(F.col("path"))).isNull()
     store = upkeep.EdgeStore(s, scratch.new_folder(s, "store"))
     first = files.select("path", F.lit("create").alias("event_type"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
-    second = files.where((key % 7 == 0) | (key % 5 == 0)).select(
+    second = files.where((key % 7 == 0) | ((key % 5 == 0) & source)).select(
         "path", F.when(key % 7 == 0, "delete").otherwise("write").alias("event_type"), F.timestamp_seconds(F.lit(1700000100)).alias("ts")
     )
-    changed = files.where(key % 5 == 0).withColumn("content", F.regexp_replace("content", "json|fmt|stdio|std", "swapped"))
-    load = lambda source: lambda wanted: source.join(wanted, "path", "left_semi")
-    upkeep.apply_batch(store, first, 0, load(files), max_depth=None)
+    changed = files.withColumn("content", F.when((key % 5 == 0) & source, F.regexp_replace("content", "json|fmt|stdio|std", "swapped")).otherwise(F.col("content")))
+    load = lambda texts: lambda wanted: texts.join(wanted, "path", "left_semi")
+    upkeep.apply_batch(store, first, 0, load(files))
     for _ in range(2):  # The second run of a batch changes nothing.
-        upkeep.apply_batch(store, second, 1, load(changed), max_depth=None)
+        upkeep.apply_batch(store, second, 1, load(changed))
+    return store, lambda batch, rows: upkeep.apply_batch(store, rows, batch, load(changed)), second, changed.where(key % 7 != 0)
+
+
+def _compacted(s, d):
+    """The same, compacted; then the newest batch comes again, and a new query counts its batches from 0."""
+    store, apply, second, present = _maintained(s, d)
+    store.compact()
+    apply(1, second)
+    store.begin()
+    key = F.regexp_extract("path", r"mod_(\d+)", 1).cast("bigint")
+    apply(0, present.where(key % 11 == 0).select("path", F.lit("write").alias("event_type"), F.timestamp_seconds(F.lit(1700000200)).alias("ts")))
     return store
 
 
-from checks.files import _IMPORTS, _WITH_EXT  # noqa: E402
+from checks.files import _IMPORTS, _SOURCE_OF, _TESTED_BY, _TESTS, _WITH_EXT  # noqa: E402
 
 _STATES = f"""{_WITH_EXT.replace('known AS', 'known_all AS')}, keyed AS (
-  SELECT path, content, ext, CAST(regexp_extract(path, 'mod_(\\d+)', 1) AS BIGINT) AS k FROM known_all
+  SELECT path, content, ext, CAST(regexp_extract(path, 'mod_(\\d+)', 1) AS BIGINT) AS k, regexp_extract(path, '([^/]*)$', 1) AS name FROM known_all
 ), known AS (
-  SELECT path, ext, content FROM keyed WHERE k % 7 <> 0 AND k % 5 <> 0
-  UNION ALL SELECT path, ext, regexp_replace(content, 'json|fmt|stdio|std', 'swapped', 'g') FROM keyed WHERE k % 7 <> 0 AND k % 5 = 0
+  SELECT path, ext, k % 5 = 0 AND {_SOURCE_OF} IS NULL AS written,
+    CASE WHEN k % 5 = 0 AND {_SOURCE_OF} IS NULL THEN regexp_replace(content, 'json|fmt|stdio|std', 'swapped', 'g') ELSE content END AS content
+  FROM keyed WHERE k % 7 <> 0
+), named AS (
+  SELECT path, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS name FROM known
+), named_all AS (
+  SELECT path, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS name FROM known_all
 )"""
-_register(
-    "maintained_edges", lambda s, d: _maintained(s, d).edges(),
-    f"{_STATES}, now AS ({_IMPORTS}) SELECT DISTINCT * FROM now",
-)
+_NOW = " UNION ALL ".join([_IMPORTS, *[x.replace("fx_files", "known") for x in (_TESTED_BY, _TESTS)]])
+_BEFORE = " UNION ALL ".join([_IMPORTS.replace("FROM known", "FROM known_all"), *[x.replace("FROM named", "FROM named_all").replace("fx_files", "known_all") for x in (_TESTED_BY, _TESTS)]])
+_register("maintained_edges", lambda s, d: _maintained(s, d)[0].edges(), f"{_STATES}, now AS ({_NOW}) SELECT DISTINCT * FROM now")
+_register("maintained_compacted", lambda s, d: _compacted(s, d).edges(), f"{_STATES}, now AS ({_NOW}) SELECT DISTINCT * FROM now")
 _register(
     "maintained_changes",
-    lambda s, d: _maintained(s, d).changes().where("batch = 1").select(*EDGE_COLUMNS, "change"),
-    f"""{_STATES}, now AS ({_IMPORTS}), before AS ({_IMPORTS.replace('FROM known', 'FROM known_all')})
+    lambda s, d: _maintained(s, d)[0].changes().where("batch = 1").select(*EDGE_COLUMNS, "change"),
+    f"""{_STATES}, now AS ({_NOW}), before AS ({_BEFORE})
     SELECT *, 'added' AS change FROM (SELECT DISTINCT * FROM now EXCEPT SELECT DISTINCT * FROM before)
     UNION ALL SELECT *, 'removed' FROM (SELECT DISTINCT * FROM before EXCEPT SELECT DISTINCT * FROM now)""",
 )
+_register(
+    # What depends on a changed source: the tests that stand beside it.
+    "maintained_impact",
+    lambda s, d: _maintained(s, d)[0].impacted().where("batch = 1").select("path", "relation", "depth"),
+    f"""{_STATES}, tested AS ({_TESTED_BY.replace('fx_files', 'known')})
+    SELECT "from" AS path, 'tested_by' AS relation, 1 AS depth FROM tested WHERE "to" IN (SELECT path FROM known WHERE written)""",
+)

@@ -48,30 +48,37 @@ def tests_of_source(name: Column) -> Column:
     return result
 
 
-def tested_by(files: DataFrame) -> DataFrame:
-    """Edges from each test file to its source in the same folder, where that exists."""
+def tested_by(files: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Edges from each test file to its source in the same folder, where that exists among the files or the given ones."""
     name = file_name(F.col("path"))
     candidates = files.select(
         F.col("path").alias("from"),
         F.concat(parent_prefix(F.col("path")), source_of_test(name)).alias("to"),
         F.lit("tested_by").alias("rel"),
     ).where(F.col("to").isNotNull())
-    return candidates.join(files.select(F.col("path").alias("to")), "to", "left_semi").select(*EDGE_COLUMNS)
+    return candidates.join((among or files).select(F.col("path").alias("to")), "to", "left_semi").select(*EDGE_COLUMNS)
 
 
-def tests(files: DataFrame) -> DataFrame:
-    """Edges from each source file to its tests in the same folder, where they exist."""
+def tests(files: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Edges from each source file to its tests in the same folder, where they exist among the files or the given ones."""
     name = file_name(F.col("path"))
     candidates = files.select(
         F.col("path").alias("from"), F.explode(tests_of_source(name)).alias("_test")
     ).select(
         "from", F.concat(parent_prefix(F.col("from")), F.col("_test")).alias("to"), F.lit("tests").alias("rel")
     )
-    return candidates.join(files.select(F.col("path").alias("to")), "to", "left_semi").select(*EDGE_COLUMNS)
+    return candidates.join((among or files).select(F.col("path").alias("to")), "to", "left_semi").select(*EDGE_COLUMNS)
 
 
-def test_associations(files: DataFrame) -> DataFrame:
-    return tested_by(files).unionByName(tests(files))
+def test_associations(files: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    return tested_by(files, among).unionByName(tests(files, among))
+
+
+def partners(paths: DataFrame) -> DataFrame:
+    """(path) of every file name whose test edges depend on whether one of these files exists."""
+    name, folder = file_name(F.col("path")), parent_prefix(F.col("path"))
+    named = F.array_compact(F.concat(F.array(source_of_test(name)), F.coalesce(tests_of_source(name), F.array().cast("array<string>"))))
+    return paths.select(folder.alias("_folder"), F.explode(named).alias("_name")).select(F.concat("_folder", "_name").alias("path")).distinct()
 
 
 def repo_prefixes(mounts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Import statements of source files as edges.
 
-One projection per file: the language picks a set of expressions, each of which
+One projection per file: comments go, then the language picks a set of expressions, each of which
 yields an array of targets from the whole text. Nothing is shuffled.
 """
 
@@ -23,19 +23,41 @@ CLASSIFIED_LANGUAGES = {**IMPORT_LANGUAGES, "h": "c"}
 GO_BLOCK = r"(?m)^[ \t]*import[ \t]*\(([^)]*)\)"
 GO_QUOTED = r'"([^"\n]+)"'
 GO_SINGLE = r'(?m)^[ \t]*import[ \t]+(?:[\w.]+[ \t]+)?"([^"\n]+)"'
-PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+(\S+)[ \t]+import\b"
-PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+([^#;\n]+)"
-JS_IMPORT = r"""(?m)^[ \t]*import\b\s*(?:[^'"();]*\bfrom\s*)?['"]([^'"\n]+)['"]"""
+PYTHON_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+(\S+)[ \t]+import\b"
+PYTHON_IMPORT = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^#;\n]+)"
+# Only names in braces may stand on several lines.
+JS_IMPORT = r"""(?m)^[ \t]*import\b\s*(?:[^'"();\n]*(?:\{[^{}'"();]*\}[^'"();\n]*)?\s*\bfrom\s*)?['"]([^'"\n]+)['"]"""
 JS_REQUIRE = r"""\brequire\([ \t]*['"]([^'"\n]+)['"][ \t]*\)"""
 RUST_USE = r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?use[ \t]+([A-Za-z_]\w*)"
 RUST_EXTERN = r"(?m)^[ \t]*(?:pub[ \t]+)?extern[ \t]+crate[ \t]+(\w+)"
 JAVA_IMPORT = r"(?m)^[ \t]*import[ \t]+([^;\n]+);"
-C_QUOTED = r'(?m)^[ \t]*#include[ \t]*"([^"\n]+)"'
-C_SYSTEM = r"(?m)^[ \t]*#include[ \t]*<([^>\n]+)>"
+C_QUOTED = r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"\n]+)"'
+C_SYSTEM = r"(?m)^[ \t]*#[ \t]*include[ \t]*<([^>\n]+)>"
 RUBY_REQUIRE = r"""(?m)^[ \t]*require[ \t]+['"]([^'"\n]+)['"]"""
 RUBY_RELATIVE = r"""(?m)^[ \t]*require_relative[ \t]+['"]([^'"\n]+)['"]"""
 
 
+# Texts without comments: strings stand first and stay, so that a comment mark inside one does not count.
+_STRINGS = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`"""
+_SLASHES = r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
+_HASH = r"#[^\n]*+"
+_TRIPLE = r'''"""(?:[^"]|"(?!""))*+"""|''' + r"""'''(?:[^']|'(?!''))*+'''"""
+_RUST_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+
+
+def without_comments(language: Column, text: Column) -> Column:
+    """The text without comments, docstrings and line continuations; other strings stay."""
+    kept = lambda strings, gone: F.regexp_replace(text, f"({strings})|{gone}", "$1")
+    plain = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+    python = F.regexp_replace(F.regexp_replace(text, f"{_TRIPLE}|({plain})|{_HASH}", "$1"), r"\\\r?\n", " ")
+    return (
+        F.when(language == "python", python)
+        .when(language == "rust", kept(_RUST_STRING, _SLASHES))
+        .when(language == "ruby", kept(plain, _HASH))
+        .otherwise(kept(_STRINGS, _SLASHES))
+    )
+
+
 def language_of(path: Column, languages: dict[str, str] = IMPORT_LANGUAGES, ignore_case: bool = False) -> Column:
     """Language by file extension, null if there is none."""
     ext = F.lower(extension(path)) if ignore_case else extension(path)
@@ -107,7 +129,8 @@ def import_targets(language: Column, text: Column, ruby_relative: bool = False)
 def extract_imports(files: DataFrame, ruby_relative: bool = False) -> DataFrame:
     """One `imports` edge per imported name of each file."""
     known = files.select("path", "content", language_of(F.col("path")).alias("_language")).where("_language is not null")
-    return known.select(
+    bare = known.withColumn("content", without_comments(F.col("_language"), F.col("content")))
+    return bare.select(
         F.col("path").alias("from"),
         F.explode(import_targets(F.col("_language"), F.col("content"), ruby_relative)).alias("to"),
         F.lit("imports").alias("rel"),

@@ -98,18 +98,18 @@ def top_dependencies(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def graph_stats(edges: DataFrame, k: int = 10) -> DataFrame:
     """One row: edge, source and target counts, and the top targets as an array."""
-    totals = edges.agg(
-        F.count("*").alias("total_edges"),
-        F.count_distinct("from").alias("unique_files"),
-        F.count_distinct("to").alias("unique_dependencies"),
-    )
+    # One count per target gives the total, the distinct targets and the top at once.
+    targets = edges.groupBy("to").agg(F.count("*").alias("cnt"))
+    totals = targets.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_edges"), F.count("to").alias("unique_dependencies"))
+    files = edges.select("from").distinct().agg(F.count("from").alias("unique_files")).scalar()
     # The list holds at most k entries and is read as a scalar.
-    top = top_dependencies(edges, k).agg(
+    top = targets.orderBy(F.desc("cnt"), "to").limit(k).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), "to", "cnt"))),
             lambda e: F.struct(e["to"].alias("to"), e["cnt"].alias("cnt")),
         ).alias("top")
     ).scalar()
+    totals = totals.select("total_edges", files.alias("unique_files"), "unique_dependencies")
     return totals.select("*", top.alias("top_dependencies"))
 
 

@@ -45,17 +45,23 @@ def _normalized(rows: DataFrame) -> DataFrame:
 
 
 def latest(meta: DataFrame) -> DataFrame:
-    """One row per (path, key): the one with the highest version."""
-    best = F.max(F.struct("version", "value")).alias("best")
+    """One row per (path, key): the one with the highest version; of equal ones the largest value."""
+    return _newest(meta.withColumn("_given", F.lit(0)))
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The highest (version, given) of each pair: at equal versions what is given later wins, whatever its value."""
+    best = F.max(F.struct("version", "_given", "value")).alias("best")
     return (
-        meta.groupBy("path", "key").agg(best)
+        rows.groupBy("path", "key").agg(best)
         .select("path", "key", F.col("best.value").alias("value"), F.col("best.version").alias("version"))
     )
 
 
 def set_metadata(meta: DataFrame, updates: DataFrame) -> DataFrame:
-    """The table after a batch of updates; the last write of a pair wins."""
-    return latest(meta.select(*METADATA.names).unionByName(_normalized(updates).select(*METADATA.names)))
+    """The table after a batch of updates; an update wins over what is there at the same version."""
+    there = meta.select(*METADATA.names).withColumn("_given", F.lit(0))
+    return _newest(there.unionByName(_normalized(updates).select(*METADATA.names).withColumn("_given", F.lit(1))))
 
 
 def previous_values(meta: DataFrame, updates: DataFrame) -> DataFrame:

@@ -23,11 +23,12 @@ def untested_files(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def module_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Files, edges and test coverage per top folder. Edges count for the module they start in."""
-    tested = edges.where(F.col("rel") == "tests").select(F.col("from").alias("path")).distinct().withColumn("_tested", F.lit(1))
-    out = edges.groupBy(F.col("from").alias("path")).agg(F.count("*").alias("_edges"))
+    out = edges.groupBy(F.col("from").alias("path")).agg(
+        F.count("*").alias("_edges"), F.max(F.when(F.col("rel") == "tests", 1)).alias("_tested")
+    )
     return (
         files.select("path", first_segment(F.col("path")).alias("module"))
-        .join(tested, "path", "left").join(out, "path", "left")
+        .join(out, "path", "left")
         .groupBy("module").agg(
             F.count("*").alias("files"),
             F.coalesce(F.sum("_edges"), F.lit(0)).cast("bigint").alias("edges_count"),
@@ -86,30 +87,15 @@ def loc_metrics(files: DataFrame) -> DataFrame:
     return files.select("path", (breaks + open_end).alias("loc"))
 
 
-def _paged(rows: DataFrame, entry: Column, separator: str, page_size: int) -> DataFrame:
-    """Entries of each path joined in order, as one text per page.
-
-    A path with up to `page_size` entries has one page. The entries of a larger
-    one are spread over pages by hash, so that no text grows with a hub.
-    """
-    pages = rows.groupBy("path").agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
-    page = F.pmod(F.xxhash64("entry"), F.col("pages")).cast("int")
-    return (
-        rows.select("path", entry.alias("entry")).join(pages, "path")
-        .groupBy("path", "pages", page.alias("page"))
-        .agg(F.array_join(F.array_sort(F.collect_list("entry")), separator).alias("text"))
-    )
-
-
-def render_relations(edges: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """`rel:target|rel:target` texts of each file; external targets stand as they are."""
+def relation_entries(edges: DataFrame) -> DataFrame:
+    """(path, entry): `rel:target` of each relation of a file, once; external targets stand as they are."""
     rows = edges.select(F.col("from").alias("path"), "to", "rel").distinct()
     entry = F.when(is_external(F.col("to")), F.col("to")).otherwise(F.concat("rel", F.lit(":"), "to"))
-    return _paged(rows, entry, "|", page_size)
+    return rows.select("path", entry.alias("entry")).distinct()
 
 
-def render_impact(dependents: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """`direct:a|indirect:b` texts of each root from `impact_many` rows.
+def impact_entries(dependents: DataFrame) -> DataFrame:
+    """(path, entry): `direct:a` or `indirect:b` of each root from `impact_many` rows.
 
     A dependent under another top folder than the root counts as external.
     """
@@ -118,4 +104,19 @@ def render_impact(dependents: DataFrame, page_size: int = 10_000) -> DataFrame:
         F.when(first_segment(F.col("name")) != first_segment(F.col("path")), "external")
         .when(F.col("depth") == 1, "direct").otherwise("indirect")
     )
-    return _paged(rows, F.concat(kind, F.lit(":"), F.col("name")), "|", page_size)
+    return rows.select("path", F.concat(kind, F.lit(":"), F.col("name")).alias("entry")).distinct()
+
+
+def one_text(entries: DataFrame, separator: str = "|") -> DataFrame:
+    """(path, text): the entries of each path in order, joined. The text of a hub is one value, as long as the hub is large."""
+    return entries.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("entry")), separator).alias("text"))
+
+
+def render_relations(edges: DataFrame) -> DataFrame:
+    """`rel:target|rel:target` texts of each file; `relation_entries` has them as rows."""
+    return one_text(relation_entries(edges))
+
+
+def render_impact(dependents: DataFrame) -> DataFrame:
+    """`direct:a|indirect:b` texts of each root; `impact_entries` has them as rows."""
+    return one_text(impact_entries(dependents))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depscope import scratch
 from depscope.schemas import RULE
+from depscope.sources.tables import query_inventory
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class Rule:
     args: dict = field(default_factory=dict)
 
 
+# Names and descriptions of the shipped rules.
 STALE_FILES = Rule(
     "stale-files",
     """
@@ -71,7 +73,7 @@ def find_rule(rules: Sequence[Rule], name: str) -> Rule:
 
 
 def register(**tables: DataFrame) -> None:
-    """Make tables visible to rules under their names."""
+    """Make tables visible to all rules of the session under their names."""
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
 
@@ -80,15 +82,15 @@ def _message(error: PySparkException) -> str:
     return (error.getMessage() or str(error)).strip()
 
 
-def query(spark: SparkSession, rule: Rule) -> DataFrame:
-    """The rule as a frame; nothing runs yet and faults are raised."""
-    return spark.sql(rule.query, rule.args)
+def query(spark: SparkSession, rule: Rule, **tables: DataFrame) -> DataFrame:
+    """The rule as a frame; nothing runs yet and faults are raised. Given tables are known to this rule only."""
+    return query_inventory(spark, rule.query, rule.args, **tables)
 
 
-def check_rule(spark: SparkSession, rule: Rule) -> RuleResult:
+def check_rule(spark: SparkSession, rule: Rule, **tables: DataFrame) -> RuleResult:
     """Run a rule. Its rows are stored, so that a fault while it runs is caught here too."""
     try:
-        planned = query(spark, rule)
+        planned = query(spark, rule, **tables)
     except PySparkException as error:
         return RuleResult(rule.name, rule.description, None, 0, f"SQL parse error: {_message(error)}")
     try:
@@ -98,11 +100,11 @@ def check_rule(spark: SparkSession, rule: Rule) -> RuleResult:
         return RuleResult(rule.name, rule.description, None, 0, f"Query execution error: {_message(error)}")
 
 
-def check_all(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+def check_all(spark: SparkSession, rules: Sequence[Rule], **tables: DataFrame) -> DataFrame:
     """Rows of all rules as (rule, ok, row, error); a rule that fails has one row with its error."""
     result = spark.createDataFrame([], "rule string, ok boolean, row array<string>, error string")
     for rule in rules:
-        done = check_rule(spark, rule)
+        done = check_rule(spark, rule, **tables)
         if done.error is not None:
             part = spark.createDataFrame([(rule.name, False, None, done.error)], result.schema)
         else:

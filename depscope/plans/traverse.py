@@ -1,17 +1,15 @@
 """Walks over an edge table, level by level.
 
-A walk keeps one table in the shared checkpoint folder, with a folder per depth.
+A walk keeps one table in the shared checkpoint folder, with a folder per step.
 Each step joins the newest depth with the edges, keeps one row per name with the
 smallest relation, and drops the names found before. No step holds a plan that
 grows with the number of steps, and a lost executor repeats one step at most.
 
-Two kinds of step give the same rows:
-
-* A wide step takes one hop. The newest depth is a filtered read, so Spark can
-  broadcast it when its files are small enough and prune the folders of an edge
-  layout; otherwise it is a shuffled join whose hot keys are split at run time.
-* A deep step takes several hops in one job, for edge tables small enough that
-  the cost of a walk is the number of its jobs.
+The newest depth is a stored table, so Spark can broadcast it when its files are
+small enough, and prune the folders of an edge layout by it; otherwise the step is
+a shuffled join whose hot keys are split at run time. Edges are read where they
+lie, three columns a level, and never copied. An edge table that is walked often,
+or that is costly to derive, should be stored first, best as a layout.
 """
 
 from __future__ import annotations
@@ -26,10 +24,6 @@ from depscope.schemas import WALK
 from depscope.sources.layout import EdgeLayout
 
 DEFAULT_DEPTH = 5
-# Edge tables up to this many stored bytes are walked several hops per job.
-DEEP_STEP_BYTES = 32 * 1024 * 1024
-# Planning time grows faster than the number of hops in one text.
-DEEP_STEP_HOPS = 6
 
 
 @dataclass(frozen=True)
@@ -61,13 +55,12 @@ def _hop_columns(edges: DataFrame, direction: str, external: bool) -> DataFrame:
     return hops.select(F.explode(names).alias("at"), "next", "rel")
 
 
-# The steps are SQL text: one parse and one analysis for all hops of a job.
 _EXACT_NAME = "path"
 # With external targets a path is looked up as it is and as `repo:rest`.
 _EXTERNAL_NAMES = "explode(array(concat('=', path), concat(':', regexp_replace(path, '^([^/]*)/', '$1:'))))"
 
 
-def _wide_step(frontier, hops, layout, external):
+def _step(frontier, hops, layout, external):
     names = _EXTERNAL_NAMES if external else _EXACT_NAME
     on = "h.at = f.at"
     if layout is not None:
@@ -84,35 +77,6 @@ def _wide_step(frontier, hops, layout, external):
     )
 
 
-def _deep_step(frontier, hops, depth, count, external):
-    """Rows up to `count` hops past the frontier, with their smallest depth and relation.
-
-    Every hop turns a row into itself and its neighbours and then keeps the
-    smallest (depth, relation) of each name, so the plan grows by one join per
-    hop. A name found again at a larger depth never wins over its first one.
-    Older rows keep their own join key: they spread like any others and match
-    nothing. The hop count is a column, so all hops share their generated code.
-    """
-    names = _EXTERNAL_NAMES if external else _EXACT_NAME
-    parts = ["s0 AS (SELECT root, path, depth AS hop, struct(depth, relation) AS best FROM {frontier})"]
-    for i in range(count):
-        parts.append(f"""
-        n{i} AS (SELECT *, {names} AS at FROM s{i}),
-        g{i} AS (
-            SELECT root, hop + 1 AS hop, explode(array(
-                struct(path, best),
-                struct(h.next AS path, struct(hop + 1 AS depth, h.rel AS relation) AS best)
-            )) AS r
-            FROM n{i} LEFT JOIN {{hops}} h ON n{i}.at = h.at AND best.depth = hop
-        ),
-        s{i + 1} AS (
-            SELECT root, r.path AS path, hop, min(r.best) AS best
-            FROM g{i} WHERE r.path IS NOT NULL GROUP BY root, r.path, hop
-        )""")
-    text = "WITH " + ",".join(parts) + f" SELECT root, path, best.relation, best.depth FROM s{count} WHERE best.depth > {depth}"
-    return frontier.sparkSession.sql(text, frontier=frontier, hops=hops)
-
-
 def walk(
     edges: DataFrame | EdgeLayout,
     root: str | DataFrame,
@@ -121,10 +85,10 @@ def walk(
     relations: list[str] | None = None,
     external: bool = False,
     start_can_return: bool = False,
-    hops_per_job: int | None = None,
 ) -> Walk:
     """Breadth-first walk from a name, or from every name in `root.root`, each on its own.
 
+    A table with a column `path` too starts each root's walk at all of its paths at once.
     `relation` is the smallest relation of the edges that lead to a name from the
     depth before. A start is never part of its own result unless asked for.
     """
@@ -141,47 +105,32 @@ def walk(
         hops = hops.select(F.col(layout.key).alias("at"), F.col(other).alias("next"), "rel", "bucket")
         if relations is not None:
             hops = hops.where(F.col("rel").isin(*relations))
-        per_job = hops_per_job or 1
     else:
         kept = edges if relations is None else edges.where(F.col("rel").isin(*relations))
-        hops = scratch.store(_hop_columns(kept, direction, external), f"{run}/hops")
-        # Walks from a table of names carry many rows: they always take wide steps.
-        small = isinstance(root, str) and scratch.stored_bytes(spark, f"{run}/hops") <= DEEP_STEP_BYTES
-        per_job = hops_per_job or (DEEP_STEP_HOPS if small else 1)
-    if start_can_return:
-        per_job = 1
+        hops = _hop_columns(kept, direction, external)
 
     found = f"{run}/found"
     seeds = starts.select(
-        "root", F.col("root").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")
+        "root", F.col("path" if "path" in starts.columns else "root").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")
     )
-    if not isinstance(root, str):
-        seeds = scratch.store(seeds.distinct(), f"{run}/seeds")
+    # Stored like every later depth, so that the first step prunes and broadcasts by its size too.
+    seeds = scratch.store(seeds.distinct(), f"{run}/seeds")
     newest, before = seeds, None if start_can_return else seeds
-    depth, step, total, at_limit = 0, 0, 0, False
+    depth, total, at_limit = 0, 0, False
     while depth < max_depth:
-        count = min(per_job, max_depth - depth)
-        frontier = newest.where(F.col("depth") == depth)
-        grown = (
-            _wide_step(frontier, hops, layout, external) if count == 1
-            else _deep_step(frontier, hops, depth, count, external)
-        )
+        grown = _step(newest.where(F.col("depth") == depth), hops, layout, external)
         if before is not None:
             grown = grown.join(before.select("root", "path"), ["root", "path"], "left_anti")
-        step, depth = step + 1, depth + count
-        target = f"{found}/step={step}"
-        grown.write.partitionBy("depth").parquet(target)
-        newest = spark.read.schema(WALK).parquet(target)
-        added, at_end = newest.agg(F.count("*"), F.count_if(F.col("depth") == depth)).first()
+        depth += 1
+        newest = scratch.store(grown.select(*WALK.names), f"{found}/step={depth}")
+        added = newest.count()
         total += added
-        at_limit = depth == max_depth and at_end > 0
-        if not at_end:
+        at_limit = depth == max_depth and added > 0
+        if not added:
             break
         reached = spark.read.schema(WALK).parquet(found).select(*WALK.names)
         before = reached if start_can_return else seeds.unionByName(reached)
-    if layout is None:
-        scratch.discard(spark, f"{run}/hops")
-    rows = spark.read.schema(WALK).parquet(found).select(*WALK.names) if step else spark.createDataFrame([], WALK)
+    rows = spark.read.schema(WALK).parquet(found).select(*WALK.names) if depth else spark.createDataFrame([], WALK)
     return Walk(rows, total, at_limit)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,7 +42,20 @@ def read_blob_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_inventory(spark: SparkSession, sql: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
-    """User SQL over named inventory tables, joins across them included."""
+    """User SQL over named inventory tables, joins across them included.
+
+    The names hold in this text only: the frames get names of their own while it is
+    analysed, so users of one session do not overwrite each other's views. The text
+    becomes a subquery, so an order it asks for holds only with a limit.
+    """
+    if not tables:
+        return spark.sql(sql, args or {})
+    views = {name: f"_{name}_{uuid.uuid4().hex}" for name in tables}
     for name, table in tables.items():
-        table.createOrReplaceTempView(name)
-    return spark.sql(sql, args or {})
+        table.createOrReplaceTempView(views[name])
+    try:
+        named = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql}\n)", args or {})
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)

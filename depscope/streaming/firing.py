@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from depscope.streaming.events import Trigger, action_rows, match_triggers
 from depscope.streaming.stateful import throttle_stream
@@ -14,23 +13,15 @@ from depscope.streaming.throttle import throttle
 _KEY = ["trigger", "path"]
 
 
-def _by_window(matched: DataFrame, triggers: Sequence[Trigger], fire) -> DataFrame:
-    """Each trigger has its own window; triggers with the same one share a pass."""
-    windows = sorted({t.debounce_ms for t in triggers})
-    parts = [fire(matched.where(F.col("debounce_ms") == w), w) for w in windows]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def fire_triggers(events: DataFrame, triggers: Sequence[Trigger], order: str = "event_id") -> DataFrame:
-    """Actions of a table of events (path, event_type, ts): matched, then throttled per trigger and path."""
-    matched = match_triggers(events, triggers)
-    return action_rows(_by_window(matched, triggers, lambda rows, w: throttle(rows, _KEY, w, order)))
+    """Actions of a table of events (path, event_type, ts): matched, then throttled per trigger and path.
+
+    All triggers share one pass; each row carries its trigger's window.
+    """
+    return action_rows(throttle(match_triggers(events, triggers), _KEY, "debounce_ms", order))
 
 
 def fire_triggers_stream(events: DataFrame, triggers: Sequence[Trigger], watermark: str, order: str = "event_id") -> DataFrame:
-    """The same actions of a stream. All triggers must share one window."""
-    windows = {t.debounce_ms for t in triggers}
-    if len(windows) != 1:
-        raise ValueError("one streaming query takes triggers of one window; start one query per window")
+    """The same actions of a stream, with the window of each trigger."""
     matched = match_triggers(events, triggers).drop("on_success", "on_failure")
-    return action_rows(throttle_stream(matched, _KEY, windows.pop(), watermark, order))
+    return action_rows(throttle_stream(matched, _KEY, "debounce_ms", watermark, order))

@@ -21,7 +21,7 @@ class ThrottleProcessor(StatefulProcessor):
 
     def __init__(self, keys, columns, held, window_ms, order):
         self.keys, self.columns, self.held = keys, columns, held
-        self.window, self.order = window_ms * 1000, order
+        self.window_ms, self.order = window_ms, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -56,7 +56,9 @@ class ThrottleProcessor(StatefulProcessor):
         if ready.empty:
             return
         last = self.last.get()[0] if self.last.exists() else None
-        fired, last = firing_times(ready["event_micros"].to_numpy(dtype=np.int64), last, self.window)
+        window = int(ready[self.window_ms].iat[0]) if isinstance(self.window_ms, str) else self.window_ms
+        times = ready["event_micros"].to_numpy(dtype=np.int64)
+        fired, last = firing_times(times, last, window * 1000) if window > 0 else (list(range(len(times))), None)
         if last is not None:
             self.last.update((last,))
         out = ready.iloc[fired].copy()
@@ -73,10 +75,11 @@ def _plain(value):
 
 
 def throttle_stream(
-    events: DataFrame, keys: Sequence[str], window_ms: int, watermark: str, order: str = "event_id", ts: str = "ts"
+    events: DataFrame, keys: Sequence[str], window_ms: int | str, watermark: str, order: str = "event_id", ts: str = "ts"
 ) -> DataFrame:
     """The events of a stream that fire, in append mode; events later than the watermark are dropped.
 
+    The window is a number, or a column that has one value per key.
     `ts` comes back in microseconds since the epoch turned into a timestamp. Needs
     the RocksDB state store.
     """

@@ -21,6 +21,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # A key with more events than this is cut into segments of about this many.
@@ -30,43 +32,51 @@ MIN_WINDOWS = 16
 
 
 def throttle(
-    events: DataFrame, keys: Sequence[str], window_ms: int, order: str = "event_id", ts: str = "ts",
+    events: DataFrame, keys: Sequence[str], window_ms: int | str, order: str = "event_id", ts: str = "ts",
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """The events that fire. Events of one key at one time are taken in `order`."""
-    if window_ms <= 0:
-        return events
-    window = window_ms * 1000
+    """The events that fire. Events of one key at one time are taken in `order`.
+
+    The window is a number, or a column that has one value per key. Null keys are keys like others;
+    an event without a time never fires; a window of 0 or less lets every event with a time fire.
+    """
     columns = events.columns
-    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    width = F.col(window_ms) if isinstance(window_ms, str) else F.lit(window_ms)
+    # One text stands for all keys, so that a null equals a null and no number changes its type on the way.
+    timed = events.where(F.col(ts).isNotNull()).select(
+        *columns, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), (width.cast("bigint") * 1000).alias("_w"),
+        F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"),
+    )
+    open_ = timed.where(F.coalesce("_w", F.lit(0)) <= 0).select(*columns)
+    timed = timed.where(F.col("_w") > 0)
 
     # Only keys above the threshold are joined back: at most rows / segment_rows of them.
     spans = (
-        timed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        timed.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.max("_w").alias("_wide"))
         .where(F.col("_n") > segment_rows)
         .select(
-            *keys, "_lo",
+            "_key", "_lo",
             F.greatest(
-                F.lit(window * MIN_WINDOWS), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / segment_rows))
+                F.col("_wide") * MIN_WINDOWS, F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / segment_rows))
             ).cast("bigint").alias("_span"),
         )
     )
     segment = F.expr("(_t - _lo) div _span")
-    cut = timed.join(spans, list(keys), "left").select(
-        *columns, "_t", F.coalesce(segment, F.lit(-1)).cast("bigint").alias("_segment")
+    cut = timed.join(spans, "_key", "left").select(
+        *columns, "_t", "_w", "_key", F.coalesce(segment, F.lit(-1)).cast("bigint").alias("_segment")
     )
-    group = [*keys, "_segment"]
+    group = ["_key", "_segment"]
 
     # Times of the hot keys only.
-    hot = timed.select(*keys, "_t").join(spans, list(keys)).select(*keys, segment.alias("_segment"), "_t")
+    hot = timed.select("_key", "_t", "_w").join(spans, "_key").select("_key", segment.alias("_segment"), "_t", "_w")
     tables = _sorted(hot, group, ["_t"])
-    tables = tables.mapInPandas(_segment_tables(group, window), _schema(cut, group, ["entry", "exit"]))
+    tables = tables.mapInPandas(_segment_tables(group), _schema(cut, group, ["_w", "entry", "exit"]))
     # Per hot key: a few rows per segment, whatever the number of its events.
-    entries = tables.groupBy(*keys).applyInPandas(_chain(keys, window), _schema(cut, group, ["_last"]))
+    entries = tables.groupBy("_key").applyInPandas(_chain, _schema(cut, group, ["_last"]))
 
     ready = cut.join(entries, group, "left")
     fired = _sorted(ready, group, ["_t", order])
-    return fired.mapInPandas(_fire(group, window), T.StructType([*_fields(cut, columns)])).select(*columns)
+    return fired.mapInArrow(_fire(columns), T.StructType(_fields(cut, columns))).unionByName(open_)
 
 
 def _fields(df: DataFrame, names) -> list[T.StructField]:
@@ -106,18 +116,26 @@ def firing_times(times: np.ndarray, last: int | None, window: int) -> tuple[list
     return fired, last
 
 
-def _fire(group, window):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fire(columns):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = None, None
         for batch in batches:
-            times, entered, kept = batch["_t"].to_numpy(), batch["_last"], []
-            for key, start, end in _runs(batch, group):
+            if not batch.num_rows:
+                continue
+            times, widths, entered = (batch.column(c) for c in ("_t", "_w", "_last"))
+            times, kept = times.to_numpy(), []
+            changed = np.zeros(batch.num_rows, dtype=bool)
+            for name in ("_key", "_segment"):
+                values = batch.column(name)
+                changed[1:] |= pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(changed).tolist()]
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                key = (batch.column("_key")[start].as_py(), batch.column("_segment")[start].as_py())
                 if key != current:
-                    current = key
-                    last = None if pd.isna(entered.iat[start]) else int(entered.iat[start])
-                fired, last = firing_times(times[start:end], last, window)
+                    current, last = key, entered[start].as_py()
+                fired, last = firing_times(times[start:end], last, widths[start].as_py())
                 kept += [start + i for i in fired]
-            yield batch.iloc[kept].drop(columns=["_t", "_segment", "_last"])
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
 
     return run
 
@@ -164,8 +182,8 @@ class SegmentTable:
         return [p for p, after in zip(pairs, pairs[1:] + [(None, None)]) if p[1] != after[1]]
 
 
-def _segment_tables(group, window):
-    columns = [*group, "entry", "exit"]
+def _segment_tables(group):
+    columns = [*group, "_w", "entry", "exit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, table = None, None
@@ -174,31 +192,27 @@ def _segment_tables(group, window):
             for key, start, end in _runs(batch, group):
                 if key != current:
                     if table is not None:
-                        rows += [(*current, *row) for row in table.rows()]
-                    current, table = key, SegmentTable(window)
+                        rows += [(*current, table.window, *row) for row in table.rows()]
+                    current, table = key, SegmentTable(int(batch["_w"].iat[start]))
                 table.add(times[start:end])
             if rows:
                 yield pd.DataFrame(rows, columns=columns, dtype=object)
         if table is not None:
-            yield pd.DataFrame([(*current, *row) for row in table.rows()], columns=columns, dtype=object)
+            yield pd.DataFrame([(*current, table.window, *row) for row in table.rows()], columns=columns, dtype=object)
 
     return run
 
 
-def _chain(keys, window):
-    def run(tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values(["_segment", "entry"])
-        segments, entries, exits = (tables[c].to_numpy() for c in ("_segment", "entry", "exit"))
-        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
-        last, incoming = None, []
-        for start, end in zip(starts, [*starts[1:], len(tables)]):
-            incoming.append(last)
-            at = start if last is None else start + int(np.searchsorted(entries[start:end], last + window))
-            if at < end:
-                last = int(exits[at])
-        out = pd.DataFrame({"_segment": segments[starts], "_last": pd.array(incoming, dtype="Int64")})
-        for name in keys:
-            out[name] = pd.Series([tables[name].iat[0]] * len(out), dtype=tables[name].dtype)
-        return out[[*keys, "_segment", "_last"]]
-
-    return run
+def _chain(tables: pd.DataFrame) -> pd.DataFrame:
+    """The firing time that comes into each segment of one key."""
+    tables = tables.sort_values(["_segment", "entry"])
+    window = int(tables["_w"].iat[0])
+    segments, entries, exits = (tables[c].to_numpy() for c in ("_segment", "entry", "exit"))
+    starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
+    last, incoming = None, []
+    for start, end in zip(starts, [*starts[1:], len(tables)]):
+        incoming.append(last)
+        at = start if last is None else start + int(np.searchsorted(entries[start:end], last + window))
+        if at < end:
+            last = int(exits[at])
+    return pd.DataFrame({"_key": tables["_key"].iat[0], "_segment": segments[starts], "_last": pd.array(incoming, dtype="Int64")})

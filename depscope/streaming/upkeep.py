@@ -1,9 +1,19 @@
 """Keeping an edge table current as files change.
 
 The store is append-only. Every batch of file events writes one folder per table,
-named by its batch id: writing it again replaces it, so a repeated batch changes
-nothing. The current edges are those of the newest batch of each file; a deleted
-file has none. `compact` folds old batches into a base when there are many.
+named by the store's generation and the batch id: writing it again replaces it, so
+a repeated batch changes nothing. The current edges of a file are those of the
+newest (generation, batch) that touched it; a deleted file has none.
+
+A file's edges are kept in two parts that change at different times: its imports,
+when its text changes, and its test edges, when it or a file that it may test or be
+tested by appears or goes.
+
+`compact` writes the current state as the base of a new generation and then marks
+that generation, which is one atomic step; readers see the old state until then. A
+batch that is repeated after it adds to the new generation and never touches the
+base. A stream that starts without its old checkpoint counts its batches from 0, so
+it starts a generation too. Changes, metadata and impact are history and stay.
 """
 
 from __future__ import annotations
@@ -12,73 +22,113 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from depscope import scratch
+from depscope.operators.associate import flag_external, partners, test_associations
 from depscope.operators.extract import extract_imports
 from depscope.operators.graph import edge_diff
 from depscope.operators.metadata import KEY_PREFIX
-from depscope.plans.traverse import DEFAULT_DEPTH, impact_many
-from depscope.schemas import EDGE, EDGE_COLUMNS, METADATA, WALK
+from depscope.operators.targets import resolved_edges
+from depscope.plans.traverse import DEFAULT_DEPTH, walk
+from depscope.schemas import EDGE, EDGE_COLUMNS, METADATA
 
-_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("deleted", T.BooleanType()), T.StructField("batch", T.LongType())])
-_EDGES = T.StructType([*EDGE.fields, T.StructField("batch", T.LongType())])
-_CHANGES = T.StructType([*EDGE.fields, T.StructField("change", T.StringType()), T.StructField("batch", T.LongType())])
-_IMPACTED = T.StructType([*WALK.fields, T.StructField("batch", T.LongType())])
-_METADATA = T.StructType([*METADATA.fields, T.StructField("batch", T.LongType())])
+_PLACE = [T.StructField("generation", T.IntegerType()), T.StructField("batch", T.LongType())]
+_PART = T.StructField("part", T.StringType())
+_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("deleted", T.BooleanType()), _PART, *_PLACE])
+_EDGES = T.StructType([*EDGE.fields, _PART, *_PLACE])
+_CHANGES = T.StructType([*EDGE.fields, T.StructField("change", T.StringType()), *_PLACE])
+_IMPACTED = T.StructType([T.StructField("path", T.StringType()), T.StructField("relation", T.StringType()), T.StructField("depth", T.IntegerType()), *_PLACE])
+_METADATA = T.StructType([*METADATA.fields, *_PLACE])
+IMPORTS, TESTS = "imports", "tests"
+_BASE = -1
 
 
 class EdgeStore:
-    """An edge table below a folder that every executor can reach."""
+    """An edge table below a folder that every executor can reach. One writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self, table: str, schema: T.StructType, before: int | None) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
-        return rows if before is None else rows.where(F.col("batch") < before)
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _marks(self) -> list[str]:
+        store, path = self._at("generations")
+        return [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+
+    def generation(self) -> int:
+        return max((int(m.removesuffix("-base")) for m in self._marks()), default=0)
+
+    def _first(self) -> int:
+        """The newest generation with a base: nothing older counts for the current edges."""
+        return max((int(m.removesuffix("-base")) for m in self._marks() if m.endswith("-base")), default=0)
 
-    def write(self, table: str, rows: DataFrame, batch: int) -> DataFrame:
-        target = f"{self.folder}/{table}/batch={batch}"
+    def _mark(self, name: str) -> None:
+        store, path = self._at(f"generations/{name}")
+        store.create(path, False).close()
+
+    def begin(self) -> None:
+        """Start a generation, for a writer that counts its batches anew."""
+        self._mark(str(self.generation() + 1))
+
+    def _read(self, table: str, schema: T.StructType, before: int | None = None, whole: bool = True) -> DataFrame:
+        store, path = self._at(table)
+        if not store.exists(path):
+            return self.spark.createDataFrame([], schema)
+        now = self.generation()
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}").where(F.col("generation") <= now)
+        if not whole:
+            rows = rows.where(F.col("generation") >= self._first())
+        return rows if before is None else rows.where((F.col("generation") < now) | (F.col("batch") < before))
+
+    def write(self, table: str, rows: DataFrame, batch: int, generation: int | None = None) -> DataFrame:
+        now = self.generation() if generation is None else generation
+        target = f"{self.folder}/{table}/generation={now}/batch={batch}"
         rows.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(rows.schema).parquet(target)
 
     def versions(self, before: int | None = None) -> DataFrame:
-        """Newest batch of each file, and whether it was deleted then."""
+        """Newest (generation, batch) of each part of each file, and whether the file was deleted then."""
+        newest = F.max(F.struct("generation", "batch", "deleted")).alias("v")
         return (
-            self._read("files", _FILES, before).groupBy("path").agg(F.max(F.struct("batch", "deleted")).alias("v"))
-            .select("path", "v.batch", "v.deleted")
+            self._read("files", _FILES, before, False).groupBy("path", "part").agg(newest)
+            .select("path", "part", "v.generation", "v.batch", "v.deleted")
         )
 
+    def paths(self, before: int | None = None) -> DataFrame:
+        """The files there are."""
+        return self.versions(before).where((F.col("part") == IMPORTS) & ~F.col("deleted")).select("path")
+
     def _live(self, versions: DataFrame, before: int | None) -> DataFrame:
-        live = versions.where(~F.col("deleted")).select(F.col("path").alias("from"), "batch")
-        return self._read("edges", _EDGES, before).join(live, ["from", "batch"], "left_semi").select(*EDGE_COLUMNS)
+        live = versions.where(~F.col("deleted")).select(F.col("path").alias("from"), "part", "generation", "batch")
+        rows = self._read("edges", _EDGES, before, False)
+        return rows.join(live, ["from", "part", "generation", "batch"], "left_semi").select(*EDGE_COLUMNS, "part")
 
     def edges(self, before: int | None = None) -> DataFrame:
-        """The current edges, or those before a batch."""
-        return self._live(self.versions(before), before)
+        """The current edges, or those before a batch of this generation."""
+        return self._live(self.versions(before), before).select(*EDGE_COLUMNS)
 
-    def edges_of(self, paths: DataFrame, before: int | None = None) -> DataFrame:
-        """The edges that leave some files; few files make a small side of the join."""
-        return self._live(self.versions(before).join(paths.select("path").distinct(), "path", "left_semi"), before)
+    def edges_of(self, touched: DataFrame, before: int | None = None) -> DataFrame:
+        """The edges of some (path, part)."""
+        wanted = touched.select("path", "part").distinct()
+        return self._live(self.versions(before).join(wanted, ["path", "part"], "left_semi"), before).select(*EDGE_COLUMNS)
 
     def changes(self) -> DataFrame:
-        return self._read("changes", _CHANGES, None)
+        return self._read("changes", _CHANGES)
 
     def impacted(self) -> DataFrame:
-        return self._read("impacted", _IMPACTED, None)
+        return self._read("impacted", _IMPACTED)
 
     def metadata(self) -> DataFrame:
-        return self._read("metadata", _METADATA, None)
+        return self._read("metadata", _METADATA)
 
-    def compact(self, folder: str) -> EdgeStore:
-        """A new store that holds only the newest batch of each file."""
-        target = EdgeStore(self.spark, folder)
-        live = self.versions()
-        newest = live.agg(F.max("batch")).first()[0] or 0
-        target.write("files", live.where(~F.col("deleted")).select("path", "deleted"), newest)
-        target.write("edges", self.edges(), newest)
-        return target
+    def compact(self) -> EdgeStore:
+        """Fold the current state into the base of a new generation."""
+        versions, after = self.versions(), self.generation() + 1
+        self.write("files", versions.where(~F.col("deleted")).select("path", "deleted", "part"), _BASE, after)
+        self.write("edges", self._live(versions, None), _BASE, after)
+        self._mark(f"{after}-base")
+        return self
 
 
 def net_changes(events: DataFrame) -> DataFrame:
@@ -88,35 +138,61 @@ def net_changes(events: DataFrame) -> DataFrame:
     )
 
 
+def impact_of(edges: DataFrame, files: DataFrame, changed: DataFrame, max_depth: int) -> DataFrame:
+    """(path, relation, depth) of files that depend on a changed one: one walk from all of them, nearest depth each.
+
+    Targets that mean a file count as that file.
+    """
+    known = edges.unionByName(resolved_edges(edges, files))
+    starts = changed.select(F.lit("changed").alias("root"), "path")
+    return walk(scratch.materialize(known, "known"), starts, max_depth).rows.select("path", "relation", "depth")
+
+
 def apply_batch(
     store: EdgeStore, events: DataFrame, batch: int, load_files: Callable[[DataFrame], DataFrame],
-    max_depth: int | None = DEFAULT_DEPTH,
+    max_depth: int = DEFAULT_DEPTH, mounts: DataFrame | None = None,
 ) -> None:
     """Bring the store up to date with one batch of events (path, event_type, ts).
 
     `load_files` turns changed paths into (path, content) rows. Outgoing edges of
-    a deleted file go; edges of other files that name it stay.
+    a deleted file go; imports of other files that name it stay.
     """
+    flagged = lambda edges: edges if mounts is None else flag_external(edges, mounts)
     changed = store.write("touched", net_changes(events), batch)
-    present = changed.where(~F.col("deleted"))
-    edges = store.write("edges", extract_imports(load_files(present.select("path"))).distinct(), batch)
-    store.write("files", changed.select("path", "deleted"), batch)
-    old = store.edges_of(changed, before=batch)
-    store.write("changes", edge_diff(old, edges), batch)
-    store.write("metadata", present.select(
-        "path", F.lit(KEY_PREFIX + "last_modified").alias("key"), F.col("ts").cast("string").alias("value"),
-        F.lit(batch).cast("bigint").alias("version"),
-    ), batch)
-    if max_depth is not None:
-        store.write("impacted", impact_many(store.edges(), changed, max_depth), batch)
+    gone, present = changed.where("deleted").select("path"), changed.where("NOT deleted").select("path")
+    there = store.paths(before=batch).join(gone, "path", "left_anti").union(present).distinct()
+    there = store.write("present", there, batch)
+    # Whose test edges may differ now: the files of the batch and those paired with one of them by name.
+    paired = present.union(partners(changed).join(there, "path", "left_semi")).distinct()
+    paired = store.write("paired", paired, batch)
+
+    imports = flagged(extract_imports(load_files(present))).distinct().withColumn("part", F.lit(IMPORTS))
+    tests = flagged(test_associations(paired, there)).distinct().withColumn("part", F.lit(TESTS))
+    edges = store.write("edges", imports.unionByName(tests), batch)
+    versions = (
+        changed.select("path", "deleted", F.lit(IMPORTS).alias("part"))
+        .union(gone.select("path", F.lit(True), F.lit(TESTS))).union(paired.select("path", F.lit(False), F.lit(TESTS)))
+    )
+    versions = store.write("files", versions, batch)
+    store.write("changes", edge_diff(store.edges_of(versions, before=batch), edges.select(*EDGE_COLUMNS)), batch)
+
+    impacted = store.write("impacted", impact_of(store.edges(), there, changed, max_depth), batch)
+    said = lambda rows, key, value: rows.select(
+        "path", F.lit(KEY_PREFIX + key).alias("key"), value.alias("value"),
+        F.lit((store.generation() << 32) + batch).cast("bigint").alias("version"))
+    kind = F.concat(F.when(F.col("depth") == 1, "direct").otherwise("indirect"), F.lit(":"), F.col("depth"))
+    store.write("metadata", said(changed.where("NOT deleted"), "last_modified", F.col("ts").cast("string")).union(said(impacted, "impact", kind)), batch)
 
 
 def maintain_graph(
     events: DataFrame, store: EdgeStore, load_files: Callable[[DataFrame], DataFrame], checkpoint: str,
-    max_depth: int | None = DEFAULT_DEPTH, **trigger,
+    max_depth: int = DEFAULT_DEPTH, mounts: DataFrame | None = None, **trigger,
 ):
     """Start a streaming query that keeps the store current."""
-    update = lambda rows, batch: apply_batch(store, rows, batch, load_files, max_depth)
+    path = store.spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    if not path.getFileSystem(store.spark._jsc.hadoopConfiguration()).exists(path):
+        store.begin()
+    update = lambda rows, batch: apply_batch(store, rows, batch, load_files, max_depth, mounts)
     return (
         events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()

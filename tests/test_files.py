@@ -28,6 +28,21 @@ SNIPPETS = [
 ]
 
 
+@pytest.mark.parametrize("path, text, expected", [
+    ("a.go", 'import (\n  "fmt" // see (x)\n  /* "no" */ "os"\n  u "a.b/c"\n)\nvar s = "// import"\n// import "gone"\n', ["std:fmt", "std:os", "pkg:a.b/c"]),
+    ("a.py", 'import os, \\\n  sys\nx = 1; import w\ntry: import q\n"""\nimport gone\n"""\ns = "# no" # import gone\nfrom a.b import c\n', ["pkg:a.b", "pkg:os", "pkg:sys", "pkg:w", "pkg:q"]),
+    ("a.c", '#  include <x.h>\n# include "y.h"\n// #include <gone.h>\n/*\n#include "gone.h"\n*/\n', ["local:y.h", "sys:x.h"]),
+    ("a.ts", "import x\nlet s = 'from'\nimport {\n  a,\n  b as c,\n} from './m'\nimport d, * as e from \"p\"\n// import z from 'gone'\nimport 'side'\nimport type { T } from 't'\n", ["local:./m", "pkg:p", "pkg:side", "pkg:t"]),
+    ("a.rs", "// use gone::x;\nuse std::io;\nfn f<'a>(x: &'a str) {}\n/* use gone; */ pub use serde::de;\n", ["pkg:std", "pkg:serde"]),
+    ("a.rb", "# require 'gone'\nrequire 'json'\nx = '# no'\n", ["pkg:json"]),
+    ("a.java", "/* import gone.X; */\nimport java.util.List; // c\n", ["pkg:java.util.List"]),
+    ("b.c", '"' + "x" * 200_000 + "\n/*" + "*" * 100_000 + "\n", []),
+])
+def test_comments_strings_and_continued_lines(spark, path, text, expected):
+    got = extract.extract_imports(spark.createDataFrame([(path, text)], "path string, content string"))
+    assert sorted(r["to"] for r in got.collect()) == sorted(expected)
+
+
 def test_extract_imports(spark):
     files = spark.createDataFrame([s[:2] for s in SNIPPETS], "path string, content string")
     found = {}

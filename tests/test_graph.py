@@ -11,9 +11,8 @@ from depscope.sources.layout import lookup, write_layout
 CHAIN = [("a", "b"), ("b", "c"), ("c", "d")]
 
 
-@pytest.mark.parametrize("hops", [1, None, 2])
-def test_impact_cases(edges, rows, hops):
-    run = lambda e, *args, **kw: rows(traverse.impact(e, *args, hops_per_job=hops, **kw))
+def test_impact_cases(edges, rows):
+    run = lambda e, *args, **kw: rows(traverse.impact(e, *args, **kw))
     chain = edges(*CHAIN)
     assert run(chain, "c", 10) == [("a", "imports", 2), ("b", "imports", 1)]
     assert run(chain, "c", 1) == [("b", "imports", 1)]
@@ -25,26 +24,40 @@ def test_impact_cases(edges, rows, hops):
     assert run(edges(), "nonexistent", 10) == []
 
 
-@pytest.mark.parametrize("hops", [1, None])
-def test_impact_across_repositories(edges, rows, hops):
-    e = edges(
-        ("auth-service/src/handler.go", "external:shared-lib:pkg/utils.go"),
-        ("payment-service/src/handler.go", "shared-lib/pkg/utils.go"),
-        ("auth-service/src/router.go", "auth-service/src/handler.go"),
-    )
-    start = "shared-lib/pkg/utils.go"
-    assert rows(traverse.impact(e, start, 10, hops_per_job=hops)) == [("payment-service/src/handler.go", "imports", 1)]
-    assert rows(traverse.impact(e, start, 10, external=True, hops_per_job=hops)) == [
-        ("auth-service/src/handler.go", "imports", 1), ("auth-service/src/router.go", "imports", 2),
-        ("payment-service/src/handler.go", "imports", 1),
-    ]
+@pytest.mark.parametrize("seed", range(3))
+def test_impact_across_repositories_equals_plain_search(spark, rows, seed):
+    rng = random.Random(seed)
+    paths = [f"r{i % 4}/d{i % 3}/f{i}.x" for i in range(24)]
+    data, plain = [], []
+    for _ in range(40):
+        src, dst = rng.sample(paths, 2)
+        repo, rest = dst.split("/", 1)
+        data.append((src, f"external:{repo}:{rest}" if rng.random() < 0.5 else dst, "imports"))
+        plain.append((src, dst, "imports"))
+    e = spark.createDataFrame(data, "`from` string, `to` string, rel string")
+    assert rows(traverse.impact(e, paths[0], 5, external=True)) == _brute(plain, paths[0], 5)
+    assert rows(traverse.impact(e, paths[0], 5)) == _brute(data, paths[0], 5)
 
 
-@pytest.mark.parametrize("hops", [1, None])
-def test_external_names_are_suffixes_and_literal(edges, rows, hops):
+def test_external_names_are_suffixes_and_literal(edges, rows):
     e = edges(("a", "local:x.h"), ("b", "external:r:s:x.h"), ("c", "x.h"), ("d", "local:y_h"), ("e", "local:yxh"), ("f", "xx.h"))
-    assert [r[0] for r in rows(traverse.impact(e, "x.h", 1, external=True, hops_per_job=hops))] == ["a", "b", "c"]
-    assert [r[0] for r in rows(traverse.impact(e, "y_h", 1, external=True, hops_per_job=hops))] == ["d"]
+    assert [r[0] for r in rows(traverse.impact(e, "x.h", 1, external=True))] == ["a", "b", "c"]
+    assert [r[0] for r in rows(traverse.impact(e, "y_h", 1, external=True))] == ["d"]
+
+
+def test_walks_write_no_copy_of_the_edges_and_prune_at_every_level(spark, edges, tmp_path, monkeypatch):
+    layout = write_layout(edges(*[(f"n{i + 1}", f"n{i}") for i in range(30)]), str(tmp_path / "layout"), "to", 16)
+    plans, store = [], traverse.scratch.store
+
+    def seen(df, folder):
+        if "/found/" in folder:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, folder)
+
+    monkeypatch.setattr(traverse.scratch, "store", seen)
+    done = traverse.walk(layout, "n0", 4)
+    assert done.total == 4 and len(plans) == 4
+    assert all("dynamicpruning" in p and "PartitionFilters: [isnotnull(bucket" in p for p in plans)
 
 
 def _brute(edges, root, max_depth, forward=False):
@@ -72,8 +85,7 @@ def test_walks_equal_plain_search(spark, rows, seed):
     e = spark.createDataFrame(data, "`from` string, `to` string, rel string")
     for root in ("n0", "n7"):
         expected = _brute(data, root, 6)
-        for hops in (1, 3, None):
-            assert rows(traverse.impact(e, root, 6, hops_per_job=hops)) == expected
+        assert rows(traverse.impact(e, root, 6)) == expected
         assert rows(traverse.related_multi(e, root, None, 6)) == _brute(data, root, 6, forward=True)
     layout = write_layout(e, f"{spark.conf.get('spark.checkpoint.dir')}/layout{seed}", "to", 4)
     assert rows(traverse.impact(layout, "n0", 6)) == _brute(data, "n0", 6)
@@ -84,10 +96,9 @@ def test_walks_equal_plain_search(spark, rows, seed):
 
 def test_depth_limit_is_reported(edges):
     chain = edges(*CHAIN)
-    for hops in (1, None):
-        assert traverse.walk(chain, "d", 2, hops_per_job=hops).max_depth_reached
-        assert traverse.walk(chain, "d", 3, hops_per_job=hops).max_depth_reached
-        assert not traverse.walk(chain, "d", 4, hops_per_job=hops).max_depth_reached
+    assert traverse.walk(chain, "d", 2).max_depth_reached
+    assert traverse.walk(chain, "d", 3).max_depth_reached
+    assert not traverse.walk(chain, "d", 4).max_depth_reached
     assert traverse.impact_summary(chain, "d", 9).first()[:] == ("d", 3, False)
 
 
@@ -148,13 +159,11 @@ def test_flag_external(spark, edges, rows):
     ]
 
 
-def test_rendered_relations_of_a_hub_are_paged(edges):
-    e = edges(*[("hub", f"t{i}") for i in range(50)], ("a", "b"), ("a", "external:r:x"))
-    texts = reports.render_relations(e, page_size=10)
-    hub = texts.where("path = 'hub'").collect()
-    entries = [entry for row in hub for entry in row["text"].split("|")]
-    assert len(hub) > 1 and sorted(entries) == sorted(f"imports:t{i}" for i in range(50))
-    assert texts.where("path = 'a'").first()["text"] == "external:r:x|imports:b"
+def test_rendered_relations_have_one_shape(edges):
+    e = edges(*[("hub", f"t{i:05d}") for i in range(12_000)], ("a", "b"), ("a", "b"), ("a", "external:r:x"))
+    texts = {r["path"]: r["text"] for r in reports.render_relations(e).collect()}
+    assert texts == {"hub": "|".join(f"imports:t{i:05d}" for i in range(12_000)), "a": "external:r:x|imports:b"}
+    assert reports.relation_entries(e).count() == 12_002
 
 
 def test_extension_edges(spark, rows):

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from depscope.streaming import debounce, events, stateful, upkeep
+from depscope.operators import targets
+from depscope.plans import discover
+from depscope.streaming import debounce, events, firing, stateful, upkeep
 from depscope.streaming.throttle import SegmentTable, firing_times, throttle
 
 EVENT = "event_id bigint, path string, event_type string, ts timestamp"
@@ -54,6 +56,27 @@ def test_segment_tables_answer_every_incoming_time():
                 assert (rows[at][1] if at < len(rows) else last) == expected
 
 
+@pytest.mark.parametrize("segment_rows", [5, 10_000])
+def test_throttle_with_null_keys_times_and_windows_by_key(spark, segment_rows):
+    at = lambda k: START + timedelta(milliseconds=k)
+    big = 2**62 + 1
+    rows = [(i, None, 100, at(10 * i)) for i in range(50)] + [(100 + i, big, 250, at(10 * i)) for i in range(50)]
+    rows += [(200 + i, big + 1, 0, at(0)) for i in range(3)] + [(300, 7, 100, None), (301, None, 100, None)]
+    got = throttle(spark.createDataFrame(rows, "event_id bigint, user bigint, width int, ts timestamp"), ["user"], "width", segment_rows=segment_rows)
+    assert got.columns == ["event_id", "user", "width", "ts"]
+    fired = sorted((r.event_id, r.user) for r in got.collect())
+    expected = [(i, None) for i in range(0, 50, 10)] + [(100, big), (125, big)] + [(200 + i, big + 1) for i in range(3)]
+    assert fired == sorted(expected)
+
+
+def test_plan_of_triggers_does_not_grow_with_their_windows(spark):
+    happened = spark.createDataFrame([(1, "a/b.go", "create", START)], EVENT)
+    plans = [
+        firing.fire_triggers(happened, [events.Trigger(f"t{i}", debounce_ms=100 + i) for i in range(n)])._jdf.queryExecution().executedPlan().toString()
+        for n in (1, 6)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
 def test_throttle_without_window_keeps_all(spark):
     data = _random_events(1, 20)
     assert throttle(spark.createDataFrame(data, EVENT), ["path"], 0).count() == 20
@@ -113,29 +136,74 @@ def test_triggers(spark, rows):
     assert [r["command"] for r in actions.collect()] == ["run a/b.go"]
 
 
-def test_upkeep(spark, tmp_path, rows):
-    store = upkeep.EdgeStore(spark, str(tmp_path / "store"))
-    texts = {}
-
-    def load(wanted):
-        return spark.createDataFrame(list(texts.items()) or [("", "")], "path string, content string").join(wanted, "path", "left_semi")
-
+def _keeper(spark, store, texts):
+    """A function that applies a batch of (path, kind) events; files have the texts of that moment."""
     def batch(number, *happened):
+        files = spark.createDataFrame(list(texts.items()) or [("", "")], "path string, content string")
         frame = spark.createDataFrame([(p, k, START + timedelta(seconds=i)) for i, (p, k) in enumerate(happened)], "path string, event_type string, ts timestamp")
-        upkeep.apply_batch(store, frame, number, load)
+        upkeep.apply_batch(store, frame, number, lambda wanted: files.join(wanted, "path", "left_semi"))
+
+    return batch
+
 
-    texts.update({"a.py": "import b\nimport c\n", "d.py": "import b\n"})
-    batch(0, ("a.py", "create"), ("d.py", "create"))
-    assert rows(store.edges().select("from", "to")) == [("a.py", "pkg:b"), ("a.py", "pkg:c"), ("d.py", "pkg:b")]
-    texts.update({"a.py": "import c\nimport e\n"})
+def _discovered(spark, texts):
+    return discover.discover(spark.createDataFrame(list(texts.items()), "path string, content string")).distinct()
+
+
+def test_upkeep_equals_discovery_with_tests_and_impact(spark, tmp_path, rows):
+    store, texts = upkeep.EdgeStore(spark, str(tmp_path / "store")), {}
+    batch = _keeper(spark, store, texts)
+    texts.update({"s/a.py": "import b\nimport c\n", "s/d.py": "import b\n", "s/b.py": "", "s/x.c": '#include "h/y.h"\n', "s/h/y.h": ""})
+    batch(0, *[(p, "create") for p in texts])
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
+    # A test appears: its source gets an edge too, though it did not change.
+    texts["s/test_b.py"] = "import b\n"
     for _ in range(2):
-        batch(1, ("a.py", "write"), ("d.py", "write"), ("d.py", "delete"))
-    assert rows(store.edges().select("from", "to")) == [("a.py", "pkg:c"), ("a.py", "pkg:e")]
+        batch(1, ("s/test_b.py", "create"), ("s/h/y.h", "write"))
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
     assert rows(store.changes().where("batch = 1").select("from", "to", "change")) == [
-        ("a.py", "pkg:b", "removed"), ("a.py", "pkg:e", "added"), ("d.py", "pkg:b", "removed"),
-    ]
-    small = store.compact(str(tmp_path / "compacted"))
-    assert rows(small.edges()) == rows(store.edges())
+        ("s/b.py", "s/test_b.py", "added"), ("s/test_b.py", "pkg:b", "added"), ("s/test_b.py", "s/b.py", "added")]
+    # The source is named by its test edge; the header by the file that includes it.
+    assert rows(store.impacted().where("batch = 1").select("path", "depth")) == [("s/a.py", 2), ("s/b.py", 1), ("s/d.py", 2), ("s/x.c", 1)]
+    assert rows(store.metadata().where("batch = 1 AND key LIKE '%impact'").select("path", "value")) == [
+        ("s/a.py", "indirect:2"), ("s/b.py", "direct:1"), ("s/d.py", "indirect:2"), ("s/x.c", "direct:1")]
+    # The test goes, and the edge of its source with it.
+    del texts["s/test_b.py"], texts["s/d.py"]
+    texts["s/a.py"] = "import c\nimport e\n"
+    batch(2, ("s/a.py", "write"), ("s/d.py", "write"), ("s/d.py", "delete"), ("s/test_b.py", "delete"))
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
+
+
+def test_compaction_survives_repeats_and_new_queries(spark, tmp_path, rows):
+    store, texts = upkeep.EdgeStore(spark, str(tmp_path / "store")), {"a.py": "import x\n", "b.py": "import y\n"}
+    batch = _keeper(spark, store, texts)
+    batch(0, ("a.py", "create"), ("b.py", "create"))
+    texts["a.py"] = "import z\n"
+    batch(1, ("a.py", "write"))
+    expected, history = rows(_discovered(spark, texts)), rows(store.changes().select("from", "to", "change"))
+    store.compact()
+    assert rows(store.edges()) == expected and rows(store.changes().select("from", "to", "change")) == history
+    batch(1, ("a.py", "write"))  # The newest batch comes again.
+    assert rows(store.edges()) == expected and rows(store.changes().select("from", "to", "change")) == history
+    store.begin()  # A query without its checkpoint counts from 0 again.
+    texts["b.py"] = "import w\n"
+    batch(0, ("b.py", "write"))
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
+    # A compaction that did not get to its mark is not seen.
+    store.write("edges", store.edges().limit(0).withColumn("part", F.lit("imports")), -1, store.generation() + 1)
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
+    store.compact()
+    assert rows(store.edges()) == rows(_discovered(spark, texts)) and store.generation() == 3
+
+
+def test_targets_mean_files(spark, rows):
+    files = spark.createDataFrame([("a/b.h",), ("a/c/d.ts",), ("a/m/__init__.py",), ("q.py",)], "path string")
+    e = spark.createDataFrame([
+        ("a/x.c", "local:./b.h", "i"), ("a/c/x.c", "local:../b.h", "i"), ("a/y.ts", "local:./c/d", "i"), ("a/z.py", "pkg:m", "i"), ("a/z.py", "pkg:q", "i"),
+        ("a/x.c", "sys:b.h", "i"), ("a/y.go", "pkg:q", "i"), ("a/x.c", "local:../../b.h", "i"),
+    ], "`from` string, `to` string, rel string")
+    assert rows(targets.resolved_edges(e, files).select("from", "to")) == [
+        ("a/c/x.c", "a/b.h"), ("a/x.c", "a/b.h"), ("a/y.ts", "a/c/d.ts"), ("a/z.py", "a/m/__init__.py"), ("a/z.py", "q.py")]
 
 
 def test_upkeep_stream(spark, tmp_path, rows):
