@@ -187,8 +187,10 @@ def _updates(s, d):
 
 _register(
     "set_metadata", lambda s, d: metadata.set_metadata(_meta(s, d), _updates(s, d)),
-    f"""{_LATEST}, merged AS (SELECT path, key, value, version FROM fx_metadata UNION ALL SELECT path, key, value, version FROM updates),
-    best AS (SELECT path, key, max(row(version, value)) AS b FROM merged GROUP BY path, key) SELECT path, key, b[2] AS value, b[1] AS version FROM best""",
+    f"""{_LATEST}, merged AS (
+      SELECT path, key, value, version, 0 AS given FROM fx_metadata UNION ALL SELECT path, key, value, version, 1 FROM updates
+    ) SELECT path, key, value, version FROM merged
+    QUALIFY row_number() OVER (PARTITION BY path, key ORDER BY version DESC, given DESC, value DESC) = 1""",
 )
 _register(
     "metadata_previous_values", lambda s, d: metadata.previous_values(_meta(s, d), _updates(s, d)),
@@ -285,17 +287,17 @@ _register(
 
 
 # -- hooks -------------------------------------------------------------------
-def _audit(row):
+def _measure(row):
     return [
-        hooks.add_edge(row["path"], "test_target", "tested_by"),
+        hooks.add_edge(row["path"], f"size:{len(row['content']) // 100}", "sized"),
         hooks.set_value(row["path"], "lines", str(row["content"].count("\n"))),
-        hooks.warning(row["path"], "hook 'file_write' executed by plugin 'audit'"),
+        hooks.warning(row["path"], f"{len(row['content'])} characters"),
     ]
 
 
 def _hook_results(s, d):
     registry = hooks.HookRegistry()
-    registry.register("audit", "file_write", _audit, priority=20, languages=["go"])
+    registry.register("measure", "file_write", _measure, priority=20, languages=["go"])
     registry.register("note", "file_write", lambda row: [hooks.warning(row["path"], "noted")], priority=10, languages=["go", "rust"])
     registry.register("reader", "file_read", lambda row: [hooks.warning(row["path"], "read")])
     return hooks.dispatch_hooks(_files(s, d), registry, "file_write")
@@ -304,10 +306,10 @@ def _hook_results(s, d):
 _LINES = "length(content) - length(replace(content, chr(10), ''))"
 _register(
     "dispatch_hooks", _hook_results,
-    f"""{_WITH_EXT} SELECT 'audit' AS hook, 20 AS priority, 'add_edge' AS kind, path, 'test_target' AS target, 'tested_by' AS relation,
+    f"""{_WITH_EXT} SELECT 'measure' AS hook, 20 AS priority, 'add_edge' AS kind, path, concat('size:', length(content) // 100) AS target, 'sized' AS relation,
       NULL AS key, NULL AS value, NULL AS message FROM known WHERE ext = 'go'
-    UNION ALL SELECT 'audit', 20, 'set_xattr', path, NULL, NULL, 'lines', CAST({_LINES} AS VARCHAR), NULL FROM known WHERE ext = 'go'
-    UNION ALL SELECT 'audit', 20, 'warning', path, NULL, NULL, NULL, NULL, 'hook ''file_write'' executed by plugin ''audit''' FROM known WHERE ext = 'go'
+    UNION ALL SELECT 'measure', 20, 'set_xattr', path, NULL, NULL, 'lines', CAST({_LINES} AS VARCHAR), NULL FROM known WHERE ext = 'go'
+    UNION ALL SELECT 'measure', 20, 'warning', path, NULL, NULL, NULL, NULL, concat(length(content), ' characters') FROM known WHERE ext = 'go'
     UNION ALL SELECT 'note', 10, 'warning', path, NULL, NULL, NULL, NULL, 'noted' FROM known WHERE ext IN ('go', 'rs')""",
 )
 _register(

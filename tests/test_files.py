@@ -28,6 +28,12 @@ SNIPPETS = [
 ]
 
 
+def test_an_update_wins_over_an_equal_version(spark, rows):
+    meta = spark.createDataFrame([("a", "user.vfs.x", "zzz", 5), ("b", "user.vfs.x", "old", 6), ("c", "user.vfs.x", "old", 4)], METADATA)
+    updates = spark.createDataFrame([("a", "x", "aaa", 5), ("b", "x", "new", 5), ("c", "x", "new", 5)], METADATA)
+    assert rows(metadata.set_metadata(meta, updates).select("path", "value")) == [("a", "aaa"), ("b", "old"), ("c", "new")]
+
+
 @pytest.mark.parametrize("path, text, expected", [
     ("a.go", 'import (\n  "fmt" // see (x)\n  /* "no" */ "os"\n  u "a.b/c"\n)\nvar s = "// import"\n// import "gone"\n', ["std:fmt", "std:os", "pkg:a.b/c"]),
     ("a.py", 'import os, \\\n  sys\nx = 1; import w\ntry: import q\n"""\nimport gone\n"""\ns = "# no" # import gone\nfrom a.b import c\n', ["pkg:a.b", "pkg:os", "pkg:sys", "pkg:w", "pkg:q"]),
