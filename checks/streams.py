@@ -27,19 +27,26 @@ def _events(s, d):
     return view(s, d, "fx_events")
 
 
+# The path of the event that closes a stream: days after all others, it moves the watermark past them.
+_CLOSING = "src/m-1/f-1.rs"
+
+
 def _event_stream(s, d):
-    """The event table as a stream, with the columns of `fx_events`."""
-    schema = table(s, d, "events").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The event table as a stream, with the columns of `fx_events`, and a closing event."""
+    given = table(s, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    closing = given.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), "ts")
+    folder = scratch.new_folder(s, "event-stream")
+    given.write.parquet(f"{folder}/given")
+    closing.write.parquet(f"{folder}/closing")
+    raw = s.readStream.schema(given.schema).parquet(f"{folder}/*")
     user = F.col("user_id")
-    kind = F.when(F.col("event_type").isin("view", "purchase"), "write").when(F.col("event_type") == "click", "create").when(
+    kind = F.when(F.col("event_type").isin("view", "purchase"), "write").when(F.col("event_type").isin("click", "signup"), "create").when(
         F.col("event_type") == "error", "delete"
     )
     ending = F.when(user % 3 == 0, ".go").when(user % 3 == 1, ".py").otherwise(".rs")
-    return raw.where("event_type <> 'signup'").select(
-        "event_id", F.concat(F.lit("src/m"), user % 10, F.lit("/f"), user, ending).alias("path"), kind.alias("event_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
-    )
+    return raw.select(
+        "event_id", F.concat(F.lit("src/m"), user % 10, F.lit("/f"), user, ending).alias("path"), kind.alias("event_type"), "ts")
 
 
 def _run(stream: DataFrame, label: str) -> DataFrame:
@@ -51,7 +58,7 @@ def _run(stream: DataFrame, label: str) -> DataFrame:
         stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").where(F.col("path") != _CLOSING)
 
 
 # -- events and triggers -----------------------------------------------------
@@ -138,23 +145,18 @@ _register(
 )
 
 # -- streams -----------------------------------------------------------------
-# A stream holds the events of the last ten minutes back until its watermark moves on.
-_RELEASED = "ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM fx_events)"
+# With the closing event a stream gives what its table twin gives.
 _register(
     "throttle_stream",
     lambda s, d: _run(stateful.throttle_stream(_event_stream(s, d), ["path"], 2 * HOUR_MS, "10 minutes"), "throttle").select("event_id", "path"),
-    f"""{EVENTS}, timed AS (SELECT *, 2 AS hours FROM fx_events), {_fired('timed', 'path')}
-    SELECT min(event_id) AS event_id, path FROM fired JOIN fx_events USING (path, ts) WHERE {_RELEASED} GROUP BY path, ts""",
+    _BY_PATH,
 )
 _register(
     "debounce_stream",
     lambda s, d: _run(debounce.debounce_stream(_event_stream(s, d), ["path"], 3 * HOUR_MS, "10 minutes"), "debounce").select(
         "path", "n_events", (F.unix_micros("last_ts") - F.unix_micros("first_ts")).alias("length")
     ),
-    f"""{EVENTS}, steps AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS starts FROM fx_events),
-    bursts AS (SELECT path, ts, sum(starts) OVER (PARTITION BY path ORDER BY ts) AS burst FROM steps),
-    closed AS (SELECT path, count(*) AS n_events, epoch_us(max(ts)) - epoch_us(min(ts)) AS length, max(ts) + INTERVAL 3 HOUR AS ts FROM bursts GROUP BY path, burst)
-    SELECT path, n_events, length FROM closed WHERE {_RELEASED}""",
+    ORACLES["debounce_trailing"],
 )
 
 
@@ -163,10 +165,7 @@ def _fire_stream(s, d):
     return _run(fired, "fire").select("trigger", "path", "action", "command", "async_exec", "timeout_seconds")
 
 
-_register(
-    "fire_triggers_stream", _fire_stream,
-    f"""{EVENTS}, {_MATCHED}, {_fired('matched', '"trigger", path')} {_ACTIONS} WHERE {_RELEASED}""",
-)
+_register("fire_triggers_stream", _fire_stream, ORACLES["fire_triggers"])
 
 
 def _blob_stream(s, d):

@@ -126,9 +126,9 @@ SELECT event_id,
        concat('src/m', {_text('user_id % 10')}, '/f', {_text('user_id')},
          CASE user_id % 3 WHEN 0 THEN '.go' WHEN 1 THEN '.py' ELSE '.rs' END) AS path,
        CASE event_type WHEN 'view' THEN 'write' WHEN 'purchase' THEN 'write'
-         WHEN 'click' THEN 'create' WHEN 'error' THEN 'delete' END AS event_type,
+         WHEN 'click' THEN 'create' WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' END AS event_type,
        ts
-FROM events WHERE event_type <> 'signup'
+FROM events
 """
 
 FX_REGISTRY = f"""
