@@ -13,6 +13,10 @@ follow; and from then on only pairs across components are looked at, because a p
 change nothing. The last round enumerates all of those, in blocks of a list, so what is left out
 is never a link between different components. The result is exact, whatever the group sizes.
 
+Whole sets are read again, from the texts, for the sets of pairs that are left only. A bitmap of
+fixed size (one bit per hash range of the document) spares the other texts; it never grows, and
+where it is full more sets are read than needed.
+
 Shingles are compared by 64-bit hashes. Defined results: null and blank texts have no shingles and
 link with nothing; texts of fewer words than a shingle are one shingle; repeated rows and equal
 texts are one class; a null document is in its class but never names it.
@@ -36,6 +40,8 @@ NUM, DEN = 9, 4
 BUCKET_BITS, SLICES = 18, 64
 # Bits of the suffix filter, and rows of a prefix list that one task compares with as many others.
 PARITY_WORDS, BLOCK = 8, 2048
+# Bits of the map of wanted documents: 4 MB.
+WANTED_BITS = 25
 _MEMO = 1 << 19
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -92,35 +98,31 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _int64(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
 def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key) of every row, and (slice, counts) of the shingle buckets over all of them; one pass over the texts."""
+    """(doc_id, n, key, bits) of every row, and (slice, counts) of the shingle buckets over all of them; one pass over the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _Hashes(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        names = ["slice", "doc_id", "n", "key", "bits"]
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for value in batch.column("text"):
                 h = shingles(value.as_py(), words, hashes)
                 np.add.at(counts, _bucket(h), 1)
                 sizes.append(len(h))
                 keys.append(set_key(h))
-            none = pa.nulls(len(sizes), pa.binary())
+                bits.append(parity(h))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), none],
-                names=["slice", "doc_id", "n", "key", "counts"])
+                [pa.nulls(len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())],
+                names=names)
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(SLICES, -1)]
             null = lambda kind: pa.nulls(SLICES, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), null(pa.int64()), null(pa.int32()), null(pa.int64()), pa.array(parts, pa.binary())],
-                names=["slice", "doc_id", "n", "key", "counts"])
+                [pa.array(range(SLICES), pa.int32()), null(pa.int64()), null(pa.int32()), null(pa.int64()), pa.array(parts, pa.binary())], names=names)
 
-    read = materialize(docs.mapInArrow(work, "slice int, doc_id long, n int, key long, counts binary"), "sets")
-    return read.where("slice IS NULL").select("doc_id", "n", "key"), read.where("slice IS NOT NULL").select("slice", "counts")
+    read = materialize(docs.mapInArrow(work, "slice int, doc_id long, n int, key long, bits binary"), "sets")
+    return read.where("slice IS NULL").drop("slice"), read.where("slice IS NOT NULL").select("slice", F.col("bits").alias("counts"))
 
 
 def bucket_counts(slices: DataFrame) -> np.ndarray:
@@ -184,32 +186,52 @@ def may_link(na, nb, ia, ib):
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Prefix rows of shingles that several sets have, each with the row before it on its list (prev_*)."""
+    """Prefix rows of shingles that several sets have, each with the row before it on its list (prev_*).
+
+    `more` tells whether the list is longer than two rows, so that not all its pairs are neighbours.
+    """
     by = Window.partitionBy("token").orderBy("n", "key")
-    before = lambda c: F.lag(c).over(by)
+    before = lambda c, k=1: F.lag(c, k).over(by)
     out = rows.select(
         "token", "key", "n", "pos", before("key").alias("prev_key"), before("n").alias("prev_n"), before("pos").alias("prev_pos"),
-        F.lead("key").over(by).alias("next_key"))
+        F.lead("key").over(by).alias("next_key"), before("key", 2).isNotNull().alias("two_before"), F.lead("key", 2).over(by).isNotNull().alias("two_after"))
+    more = F.col("two_before") | F.col("two_after") | (F.col("prev_key").isNotNull() & F.col("next_key").isNotNull())
     # Rows of one set from several tasks stand side by side; the first stays.
-    return out.where("(prev_key IS NOT NULL OR next_key IS NOT NULL) AND NOT prev_key <=> key").drop("next_key")
+    out = out.where("(prev_key IS NOT NULL OR next_key IS NOT NULL) AND NOT prev_key <=> key")
+    return out.withColumn("more", more).drop("next_key", "two_before", "two_after")
+
+
+def _wanted_map(chosen: DataFrame) -> np.ndarray:
+    """Bitmap of the hash ranges of the chosen documents, of fixed size."""
+    at = _range_of(F.col("least"))
+    words = chosen.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63))).alias("bit"))
+    out = np.zeros(1 << (WANTED_BITS - 6), dtype=np.int64)
+    # At most one row per word of the map.
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[row["word"]] = row["bits"]
+    return out
+
+
+def _range_of(doc_id):
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(-1).cast("long"))), 64 - WANTED_BITS).cast("int")
 
 
 def set_contents(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """(key, n, hashes, bits) of the sets of chosen rows (doc_id, key); one row per set."""
+    """(key, n, hashes) of the chosen sets (key, least: a document that has it); one row per set."""
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted_map(chosen))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes()
+        memo, wanted = _Hashes(), sent.value
         for batch in batches:
-            got = [(key, shingles(t.as_py(), words, memo)) for t, key in zip(batch.column("text"), batch.column("key").to_pylist(), strict=True)]
-            # A document that comes twice with different texts names one set only.
-            got = [(k, h) for k, h in got if set_key(h) == k]
+            at = batch.column("at").to_numpy()
+            places = np.nonzero((wanted[at >> 6] >> (at & 63)) & 1)[0]
+            got = [shingles(t.as_py(), words, memo) for t in batch.column("text").take(pa.array(places))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int32()),
-                 pa.array([h.tobytes() for _, h in got], pa.binary()), pa.array([parity(h) for _, h in got], pa.binary())],
-                names=["key", "n", "hashes", "bits"])
+                [pa.array([set_key(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int32()), pa.array([h.tobytes() for h in got], pa.binary())],
+                names=["key", "n", "hashes"])
 
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"])).select("key", "text")
-    return texts.mapInArrow(work, "key long, n int, hashes binary, bits binary").dropDuplicates(["key"])
+    read = docs.select(_range_of(F.col("doc_id")).alias("at"), "text").mapInArrow(work, "key long, n int, hashes binary")
+    return read.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -324,54 +346,41 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, PARITY_WORDS) for c in ("bitsa", "bitsb"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            yield batch.filter(pa.array(NUM * apart <= total)).select(["a", "b", "met"])
+            yield batch.filter(pa.array(NUM * apart <= total)).select(["a", "b"])
 
     joined = pairs.join(half("a"), "a").join(half("b"), "b")
-    return joined.select("a", "b", "met", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long, met long")
+    return joined.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, known: DataFrame, slices: DataFrame, words: int) -> DataFrame:
-    """(a, b): links between different sets that connect all that link, directly or over others."""
-    shared = materialize(meetings(prefix_rows(docs, bucket_counts(slices), words)), "meetings")
-    needed = shared.select("key").distinct()
-    chosen = known.groupBy("key").agg(F.min("doc_id").alias("chosen_id")).join(needed, "key")
-    sets = materialize(set_contents(docs, chosen, words), "contents")
+def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int) -> DataFrame:
+    """(a, b): links between different sets that connect all that link, directly or over others.
 
+    `sets` has (key, least, n, bits), one row per set.
+    """
+    shared = materialize(meetings(prefix_rows(docs, bucket_counts(slices), words)), "meetings")
     col = F.col
     chain = shared.where(col("prev_key").isNotNull() & may_link(col("n"), col("prev_n"), col("pos"), col("prev_pos")))
-    chain = chain.select(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    chain = chain.select(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).distinct()
     chain = materialize(_suffix_filter(chain, sets), "chain")
-    # First each set with the neighbour it meets most, then what still joins components.
-    best = chain.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
-    links = materialize(verify(best, sets), "links")
-    tried, found = [best], [links]
-    for last in (False, True):
-        labels = components(_all(found))
-        if not last:
-            ends = lambda side: labels.select(col("key").alias(side), col("component").alias(f"c{side}"))
-            left = chain.join(_all(tried), ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-            pairs = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            pairs = cross_pairs(_across(shared, labels), sets).join(_all(tried), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried.append(pairs)
-        found.append(materialize(verify(pairs, sets), "links"))
-    return _all(found)
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.union(frame)
-    return out
+    links = _verified(docs, chain, sets, words)
+    rest = cross_pairs(_across(shared.where("more"), components(links)), sets)
+    rest = materialize(rest.join(chain, ["a", "b"], "left_anti"), "pairs")
+    return links.union(_verified(docs, rest, sets, words))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    contents = materialize(set_contents(docs, materialize(sets.join(ends, "key", "left_semi").select("key", "least"), "wanted"), words), "contents")
+    return materialize(verify(pairs, contents), "links")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is named by its least document."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     known, slices = read_sets(docs, words)
-    sets = known.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    labels = components(linked_sets(docs, known.where("n > 0"), slices, words))
+    # One row per set, so that copies weigh once from here on.
+    sets = materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "distinct")
+    labels = components(linked_sets(docs, sets, slices, words))
     joined = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = materialize(joined.join(named, "component").select("key", "component_id"), "classes")
