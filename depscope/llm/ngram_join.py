@@ -7,8 +7,8 @@ meet on those, and pairs go on if they pass the length filter, the positional fi
 be shared before and after the meeting point) and the suffix filter (bits of the parity of the sets'
 shingles by hash range differ at most as often as the sets do). Each pair left is verified once.
 
-Groups of copies do not become pairs. Equal sets are one set from the start. Each set is first linked
-with the one before it on the prefix shingle lists where it stands; components of verified links
+Groups of copies do not become pairs. Equal sets are one set from the start. Each set is first paired
+with the first set of every prefix shingle list where it stands; components of verified links
 follow; and from then on only pairs across components are looked at, because a pair inside one can
 change nothing. The last round enumerates all of those, in blocks of a list, so what is left out
 is never a link between different components. The result is exact, whatever the group sizes.
@@ -91,37 +91,57 @@ def prefix_size(n: int) -> int:
     return n - (DEN * n + NUM - DEN - 1) // (NUM - DEN) + 1
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """Bit k: whether an odd number of shingles fall into range k."""
-    bits = PARITY_WORDS * 64
-    counts = np.bincount(((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+def parity(hashes: np.ndarray, words: int = PARITY_WORDS) -> bytes:
+    """Bit k: whether an odd number of shingles fall into hash range k, of 64 * words ranges (a power of two)."""
+    bits = 64 * words
+    at = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_words(n: int) -> int:
+    """Words of the wide parity of n shingles: two to four bits for each, so that it does not fill up."""
+    return max(PARITY_WORDS, 1 << max(0, (n - 1) // 32).bit_length())
+
+
+def fewest_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many shingles only one of two sets has, from their wide parities.
+
+    Two neighbouring ranges are one range of half as many; its parity is theirs combined.
+    """
+    a, b = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (x, y))
+    while len(a) > len(b):
+        a = a[::2] ^ a[1::2]
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int(np.count_nonzero(a != b))
 
 
 def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key, bits) of every row, and (slice, counts) of the shingle buckets over all of them; one pass over the texts."""
+    """(doc_id, n, key, bits, wide) of every row, and (slice, counts) of the shingle buckets over all of them; one pass over the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _Hashes(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["slice", "doc_id", "n", "key", "bits"]
+        names = ["slice", "doc_id", "n", "key", "bits", "wide"]
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, wide = [], [], [], []
             for value in batch.column("text"):
                 h = shingles(value.as_py(), words, hashes)
                 np.add.at(counts, _bucket(h), 1)
                 sizes.append(len(h))
                 keys.append(set_key(h))
                 bits.append(parity(h))
+                wide.append(parity(h, wide_words(len(h))))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())],
+                [pa.nulls(len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()),
+                 pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
                 names=names)
         if counts.any():
             parts = [p.tobytes() for p in counts.reshape(SLICES, -1)]
             null = lambda kind: pa.nulls(SLICES, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), null(pa.int64()), null(pa.int32()), null(pa.int64()), pa.array(parts, pa.binary())], names=names)
+                [pa.array(range(SLICES), pa.int32()), null(pa.int64()), null(pa.int32()), null(pa.int64()), pa.array(parts, pa.binary()), null(pa.binary())], names=names)
 
-    read = materialize(docs.mapInArrow(work, "slice int, doc_id long, n int, key long, bits binary"), "sets")
+    read = materialize(docs.mapInArrow(work, "slice int, doc_id long, n int, key long, bits binary, wide binary"), "sets")
     return read.where("slice IS NULL").drop("slice"), read.where("slice IS NOT NULL").select("slice", F.col("bits").alias("counts"))
 
 
@@ -186,19 +206,21 @@ def may_link(na, nb, ia, ib):
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Prefix rows of shingles that several sets have, each with the row before it on its list (prev_*).
+    """Prefix rows of shingles that several sets have, each with the first row of its list (head_*).
 
-    `more` tells whether the list is longer than two rows, so that not all its pairs are neighbours.
+    Lists are in the order of the sets, the same everywhere, so sets that meet on many lists have few heads.
+    `more` tells whether the list is longer than two rows, so that not all its pairs have its head.
     """
-    by = Window.partitionBy("token").orderBy("n", "key")
-    before = lambda c, k=1: F.lag(c, k).over(by)
+    by = Window.partitionBy("token").orderBy("key")
+    head = lambda c: F.first(c).over(by)
+    near = lambda k: (F.lag("key", k) if k > 0 else F.lead("key", -k)).over(by)
     out = rows.select(
-        "token", "key", "n", "pos", before("key").alias("prev_key"), before("n").alias("prev_n"), before("pos").alias("prev_pos"),
-        F.lead("key").over(by).alias("next_key"), before("key", 2).isNotNull().alias("two_before"), F.lead("key", 2).over(by).isNotNull().alias("two_after"))
-    more = F.col("two_before") | F.col("two_after") | (F.col("prev_key").isNotNull() & F.col("next_key").isNotNull())
+        "token", "key", "n", "pos", head("key").alias("head_key"), head("n").alias("head_n"), head("pos").alias("head_pos"),
+        near(1).alias("before"), near(-1).alias("after"), near(2).isNotNull().alias("two_before"), near(-2).isNotNull().alias("two_after"))
+    more = F.col("two_before") | F.col("two_after") | (F.col("before").isNotNull() & F.col("after").isNotNull())
     # Rows of one set from several tasks stand side by side; the first stays.
-    out = out.where("(prev_key IS NOT NULL OR next_key IS NOT NULL) AND NOT prev_key <=> key")
-    return out.withColumn("more", more).drop("next_key", "two_before", "two_after")
+    out = out.where("(before IS NOT NULL OR after IS NOT NULL) AND NOT before <=> key")
+    return out.withColumn("more", more).drop("before", "after", "two_before", "two_after")
 
 
 def _wanted_map(chosen: DataFrame) -> np.ndarray:
@@ -338,33 +360,33 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose parity bits differ no more often than linked sets may."""
-    half = lambda name: sets.select(F.col("key").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
+    """Pairs (a, b) whose wide parities differ no more often than linked sets may."""
+    half = lambda name: sets.select(F.col("key").alias(name), F.col("n").alias(f"n{name}"), F.col("wide").alias(f"w{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, PARITY_WORDS) for c in ("bitsa", "bitsb"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            yield batch.filter(pa.array(NUM * apart <= total)).select(["a", "b"])
+            apart = [fewest_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True)]
+            yield batch.filter(pa.array(NUM * np.array(apart, dtype=np.int64) <= total)).select(["a", "b"])
 
     joined = pairs.join(half("a"), "a").join(half("b"), "b")
-    return joined.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(work, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int) -> DataFrame:
     """(a, b): links between different sets that connect all that link, directly or over others.
 
-    `sets` has (key, least, n, bits), one row per set.
+    `sets` has (key, least, n, bits, wide), one row per set.
     """
     shared = materialize(meetings(prefix_rows(docs, bucket_counts(slices), words)), "meetings")
     col = F.col
-    chain = shared.where(col("prev_key").isNotNull() & may_link(col("n"), col("prev_n"), col("pos"), col("prev_pos")))
-    chain = chain.select(F.least("key", "prev_key").alias("a"), F.greatest("key", "prev_key").alias("b")).distinct()
-    chain = materialize(_suffix_filter(chain, sets), "chain")
-    links = _verified(docs, chain, sets, words)
-    rest = cross_pairs(_across(shared.where("more"), components(links)), sets)
-    rest = materialize(rest.join(chain, ["a", "b"], "left_anti"), "pairs")
+    star = shared.where((col("head_key") != col("key")) & may_link(col("n"), col("head_n"), col("pos"), col("head_pos")))
+    # The head of a list is its least set.
+    star = star.select(col("head_key").alias("a"), col("key").alias("b")).distinct()
+    star = materialize(_suffix_filter(star, sets), "star")
+    links = _verified(docs, star, sets, words)
+    rest = materialize(cross_pairs(_across(shared.where("more"), components(links)), sets).join(star, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(_suffix_filter(rest, sets), "pairs")
     return links.union(_verified(docs, rest, sets, words))
 
 
@@ -379,7 +401,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     known, slices = read_sets(docs, words)
     # One row per set, so that copies weigh once from here on.
-    sets = materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "distinct")
+    sets = materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "distinct")
     labels = components(linked_sets(docs, sets, slices, words))
     joined = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))

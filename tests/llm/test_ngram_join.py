@@ -103,6 +103,8 @@ def test_filters_never_lose_a_link():
         spread = lambda s: np.array([J._mixed(np.array([t], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] for t in s], dtype=np.uint64)
         bits = [np.frombuffer(J.parity(spread(s)), dtype=np.uint64) for s in (x, y)]
         assert J.NUM * int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(x) + len(y)
+        for i, j in ((8, 8), (8, 32), (64, 16)):
+            assert J.fewest_apart(J.parity(spread(x), i), J.parity(spread(y), j)) <= len(a ^ b)
 
 
 def test_components_of_paths_and_stars(spark):
