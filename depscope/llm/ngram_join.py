@@ -315,14 +315,14 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     cut = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "key", "n", "pos", "component")
-    full = cut.join(sets.select("key", "bits"), "key")
+    full = cut.join(sets.select("key", "bits", "wide"), "key")
     dealt = full.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, n, pos, comp = (t.column(c).to_numpy() for c in ("key", "n", "pos", "component"))
         mine, lo, hi = (t.column(c).to_numpy() for c in ("mine", "lo", "hi"))
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), PARITY_WORDS)
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        n, pos, wide = n.astype(np.int64), pos.astype(np.int64), t.column("wide").to_pylist()
         left = np.nonzero(mine == lo)[0]
         right = left if lo[0] == hi[0] else np.nonzero(mine == hi)[0]
         found_a, found_b = [], []
@@ -333,8 +333,11 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = i[x], right[y]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             fits = NUM * apart <= n[x] + n[y]
-            found_a.append(key[x[fits]])
-            found_b.append(key[y[fits]])
+            x, y = x[fits], y[fits]
+            # The short parities of large sets are full; the wide ones are compared for what is left.
+            sure = np.array([NUM * fewest_apart(wide[i], wide[j]) <= n[i] + n[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
+            found_a.append(key[x[sure]])
+            found_b.append(key[y[sure]])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         for start in range(0, len(pairs), 1 << 16):
@@ -386,7 +389,6 @@ def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int)
     star = materialize(_suffix_filter(star, sets), "star")
     links = _verified(docs, star, sets, words)
     rest = materialize(cross_pairs(_across(shared.where("more"), components(links)), sets).join(star, ["a", "b"], "left_anti"), "pairs")
-    rest = materialize(_suffix_filter(rest, sets), "pairs")
     return links.union(_verified(docs, rest, sets, words))
 
 
