@@ -1,5 +1,7 @@
 """Shards: even counts, gapless slots, links kept together."""
 
+import random
+
 from depscope.llm import sharding as S
 
 
@@ -46,3 +48,42 @@ def test_query_counts_rows(spark):
     got = S.op6_sharding(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and {r.law for r in got} == {"rows"}
     assert {sum(r.shard == s for r in got) for s in range(8)} == {25}
+
+
+def _shard_by_hash(spark, names, shards):
+    rows = spark.createDataFrame([(n,) for n in names], "link string").selectExpr("link", f"pmod(xxhash64(link), {shards}) AS at").collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["at"], []).append(r.link)
+    return out
+
+
+def test_groups_that_hash_alike_are_not_cut(spark):
+    # Three groups of 60 whose names hash to one shard, which holds 100; all fit somewhere.
+    alike = next(v for v in _shard_by_hash(spark, [f"g{i}" for i in range(60)], 4).values() if len(v) >= 3)[:3]
+    rows = [(i, alike[i // 60] if i < 180 else None) for i in range(400)]
+    placed = S.even_shards(spark.createDataFrame([((k * 7) % 400, link) for k, link in rows], "node long, link string"), shards=4)
+    assert S.cut_links(placed).first()["cut"] == 0
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [100] * 4
+
+
+def test_rounds_bring_small_groups_together(spark):
+    # 300 groups of 4 that all hash to one of 8 shards, scattered at the start; they fill half of the room.
+    alike = max(_shard_by_hash(spark, [f"g{i}" for i in range(3000)], 8).values(), key=len)[:300]
+    rows = [(node, alike[i // 4] if i < 1200 else None) for i, node in enumerate(random.Random(3).sample(range(2400), 2400))]
+    nodes = spark.createDataFrame(rows, "node long, link string")
+    caps, links = [300] * 8, nodes.where("link IS NOT NULL")
+    cut = lambda labels: S.cut_links(links.join(labels, "node")).first()["cut"]
+    start, end = S._start(links, caps), S.propagate(links, caps)
+    assert cut(start) > 600 and cut(end) == 0
+    assert max(r["count"] for r in end.groupBy("shard").count().collect()) <= 300
+    assert S.cut_links(S.even_shards(nodes)).first()["cut"] == 0
+
+
+def test_swaps_go_on_when_every_shard_is_full(spark):
+    rows = [(node, f"p{i // 2}") for i, node in enumerate(random.Random(4).sample(range(800), 800))]
+    nodes = spark.createDataFrame(rows, "node long, link string")
+    placed = S.even_shards(nodes)
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [100] * 8
+    start = S.cut_links(nodes.join(S._start(nodes, [100] * 8), "node")).first()["cut"]
+    assert S.cut_links(placed).first()["cut"] < start / 2
