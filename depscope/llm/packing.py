@@ -1,11 +1,10 @@
 """Packing: length buckets with the least padding, and token-budget batches inside each.
 
-Lengths are counted into one global histogram of cells. A cell holds one length up to 2 ** PRECISION
-and above that the lengths that share their PRECISION leading bits, so there are at most
-2 ** (PRECISION - 1) cells per doubling of the length, however long texts are. A cell keeps its
-count, its sum and its largest length, so the cost of a bucket that ends at a cell is exact: the
-largest length times the documents, less their tokens. Dynamic programming over the cells finds
-the boundaries with the least padding among all that lie at cells.
+Lengths are counted into one global histogram with an entry per distinct length. All tokens are at
+least the sum of the distinct lengths, so there are at most sqrt(2 * tokens) + 1 entries. Dynamic
+programming over them finds the boundaries with the least padding of all. The cost of a bucket meets
+the quadrangle inequality, so best cuts grow with the bucket's end, and halving by that takes
+entries * log(entries) steps a bucket.
 
 Inside a bucket every batch has as many rows as its budget holds at the bucket's length. A document
 longer than the budget gets a batch of its own; nothing is cut or left out.
@@ -26,7 +25,7 @@ PRECISION = 7
 
 
 def cell_of(length: Column, precision: int = PRECISION) -> Column:
-    """The smallest length of the cell that holds this length."""
+    """The smallest length of the cell that holds this length: for coarse counts, where boundaries need not be exact."""
     bits = F.length(F.bin(F.greatest(length, F.lit(1)).cast("long")))
     drop = F.greatest(bits - precision, F.lit(0)).cast("int")
     shifted = F.call_function("shiftright", length.cast("long"), drop)
@@ -50,11 +49,20 @@ def best_bounds(counts: list[int], sums: list[int], largest: list[int], buckets:
     for _ in range(min(buckets, m)):
         new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
         new[0] = 0.0
-        for j in range(1, m + 1):
+        # (first and last end, first and last cut among which theirs lie)
+        spans = [(1, m, 0, m - 1)]
+        while spans:
+            first, last, low, high = spans.pop()
+            j = (first + last) // 2
             # The last bucket holds cells i .. j-1.
-            each = cost[:j] + top[j - 1] * (n[j] - n[:j]) - (tokens[j] - tokens[:j])
-            i = int(np.argmin(each))
-            new[j], cut[j] = each[i], i
+            i = slice(low, min(high, j - 1) + 1)
+            each = cost[i] + top[j - 1] * (n[j] - n[i]) - (tokens[j] - tokens[i])
+            at = int(np.argmin(each))
+            new[j], cut[j] = each[at], low + at
+            if first < j:
+                spans.append((first, j - 1, low, int(cut[j])))
+            if j < last:
+                spans.append((j + 1, last, int(cut[j]), high))
         cost = new
         totals.append(new[m])
         cuts.append(cut)
@@ -66,11 +74,10 @@ def best_bounds(counts: list[int], sums: list[int], largest: list[int], buckets:
     return bounds[::-1]
 
 
-def histogram(lengths: DataFrame, column: str, precision: int = PRECISION) -> list[tuple[int, int, int]]:
-    """(count, sum, largest) of every cell with documents, ascending."""
-    rows = lengths.groupBy(cell_of(F.col(column), precision).alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(column).alias("total"), F.max(column).alias("top")).collect()
-    return [(r["n"], r["total"], r["top"]) for r in sorted(rows, key=lambda r: r["cell"])]
+def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int, int]]:
+    """(count, sum, largest) of every distinct length, ascending."""
+    rows = lengths.groupBy(F.col(column).alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return [(r["n"], r["n"] * r["length"], r["length"]) for r in sorted(rows, key=lambda r: r["length"])]
 
 
 def pack(docs: DataFrame, length: str, order: list[str], buckets: int = 8, budget: int = 16384) -> DataFrame:

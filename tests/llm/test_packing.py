@@ -57,3 +57,27 @@ def test_null_blank_and_empty(spark):
     got = sorted((r.doc_id, r.n_tokens) for r in P.pack_documents(docs).collect())
     assert got == [(1, 0), (2, 0), (3, 2), (3, 2)]
     assert P.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_lengths_are_packed_with_the_least_padding(spark, seed):
+    # Neighbouring lengths far above 128, where leading bits do not tell them apart.
+    r = random.Random(seed)
+    lengths = [r.choice((r.randint(1000, 1023), r.randint(9000, 9100), r.randint(70_000, 70_200))) for _ in range(30)]
+    cells = sorted(set(lengths))
+    got = P.pack(spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "doc_id long, n long"), "n", ["doc_id"], buckets=5).collect()
+    best = min(_padding(lengths, [*inner, cells[-1]]) for k in range(5) for inner in itertools.combinations(cells[:-1], k))
+    assert sum(row.padding for row in got) == best
+
+
+def test_halving_finds_what_trying_all_cuts_finds():
+    r = random.Random(1)
+    cells = sorted(r.sample(range(20_000), 300))
+    counts = [r.randint(1, 50) for _ in cells]
+    cost = lambda i, j: sum(counts[x] * (cells[j - 1] - cells[x]) for x in range(i, j))
+    costs = [[cost(i, j) for i in range(j)] for j in range(len(cells) + 1)]
+    best = [0] + [float("inf")] * len(cells)
+    for _ in range(6):
+        best = [0] + [min(best[i] + costs[j][i] for i in range(j)) for j in range(1, len(cells) + 1)]
+    bounds = P.best_bounds(counts, [c * n for c, n in zip(cells, counts, strict=True)], cells, 6)
+    assert sum(n * (min(b for b in bounds if b >= c) - c) for c, n in zip(cells, counts, strict=True)) == best[-1]
