@@ -29,8 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from depscope.llm.common import fresh
 from depscope.scratch import materialize
 
 WORDS = 5
@@ -398,16 +399,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int) ->
     return materialize(verify(pairs, contents), "links")
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; the component is named by its least document."""
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+def _distinct(known: DataFrame) -> DataFrame:
+    """One row per set, so that copies weigh once from here on."""
+    return materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "distinct")
+
+
+def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of read_sets, and (key, component_id, head) of every set: the class's least document and the first set that it has."""
     known, slices = read_sets(docs, words)
-    # One row per set, so that copies weigh once from here on.
-    sets = materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "distinct")
+    sets = _distinct(known)
     labels = components(linked_sets(docs, sets, slices, words))
     joined = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = materialize(joined.join(named, "component").select("key", "component_id"), "classes")
+    named = joined.groupBy("component").agg(
+        F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key"))["key"].alias("head"))
+    return known, materialize(joined.join(named, "component").select("key", "component_id", "head"), "classes")
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the component is named by its least document."""
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    known, of_set = _classes(docs, words)
     blank = known.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.where("n > 0").join(of_set, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(blank)
 
@@ -416,14 +427,33 @@ def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def with_keys(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """Add the key of each text's set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            keys = [set_key(shingles(t.as_py(), words, hashes)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document that names it; blank documents stay, repeated rows leave one."""
-    classes = jaccard_classes(docs)
-    heads = classes.where("n_shingles > 0").select(F.col("component_id").alias("_head")).distinct()
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t-\r]*$")
+    """Pipeline stage: of each class one row, of the document that names it; blank documents stay, repeated rows leave one.
+
+    Rows are known by document and set, so different texts under one number, or under none, are
+    kept or dropped each for itself. Of several sets of the naming document in its class, and of
+    classes without a number, the set with the least key stays.
+    """
     columns = docs.columns
-    first = docs.where(~blank).join(heads, docs["doc_id"].eqNullSafe(F.col("_head"))).select(*columns)
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where(blank))
+    key, number, head = fresh(docs, "_key", "_number", "_head")
+    _, of_set = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), WORDS)
+    heads = of_set.where("key = head").select(F.col("component_id").alias(number), F.col("key").alias(head))
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t-\r]*$")
+    keyed = with_keys(docs.where(~blank), key)
+    first = keyed.join(heads, keyed["doc_id"].cast("long").eqNullSafe(F.col(number)) & (F.col(key) == F.col(head)))
+    return first.dropDuplicates([key]).select(*columns).unionByName(docs.where(blank))
 
 
 ORACLE = r"""

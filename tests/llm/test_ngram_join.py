@@ -117,3 +117,20 @@ def test_stage_keeps_one_of_each(spark):
     rows = [(1, "a b c d e f", "s", 7), (2, "A b c d e f", "s", 8), (2, "A b c d e f", "s", 8), (3, None, "s", 9), (4, "other words here", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n long")
     assert sorted(r.doc_id for r in J.keep_one_of_each(spark, docs, "").collect()) == [1, 3, 4]
+
+
+def test_stage_keeps_different_texts_under_one_number(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    a, b, c, d = map(text, "abcd")
+    rows = [(5, a), (5, b), (2, b), (None, c), (None, d), (None, c), (None, a), (7, " ".join(d.split()[:29])), (8, c + " end"), (None, text("e")), (None, text("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.keep_one_of_each(spark, docs, "").collect()), key=repr)
+    # Only a class without any number is left to a row without one.
+    assert got == sorted([(5, a), (2, b), (8, c + " end"), rows[7], (None, text("e")), (None, text("f"))], key=repr)
+
+
+def test_stage_keeps_one_of_two_near_copies_under_one_number(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a), (3, a + " end"), (3, a), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    got = list(map(tuple, J.keep_one_of_each(spark, docs, "").collect()))
+    assert len(got) == 2 and (None, "x y z") in got and sum(r[0] == 3 for r in got) == 1
