@@ -5,10 +5,16 @@ lose `__init__.py`. The tree is listed here folder level by folder level: each
 level is one job over the folders found by the level before, so a tree is walked
 by all executors. Contents are read in a second pass that is spread over the
 cluster by path, whatever the shape of the tree.
+
+Names that are gone, forbidden or unreachable over links are left out, and counted in the accumulator
+`skipped` if one is given (a task that is repeated counts again). Any other failure of a store, and a
+root that is missing or forbidden, is raised, so that Spark repeats the task and the job fails rather
+than lose files.
 """
 
 from __future__ import annotations
 
+import errno
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,7 +78,19 @@ def _file_system(root: str):
     return fs.FileSystem.from_uri(root)
 
 
-def _list_folder(root: str, folder: str, profile: ScanProfile) -> list[tuple]:
+# Failures that lie in the name itself, so that trying again finds nothing.
+_LEFT_OUT = (errno.ENOENT, errno.ENOTDIR, errno.EACCES, errno.EPERM, errno.ELOOP, errno.ENAMETOOLONG)
+
+
+def _leave_out(error: OSError, skipped) -> None:
+    """Count a name that is left out; other failures are raised."""
+    if error.errno not in _LEFT_OUT and not isinstance(error, (FileNotFoundError, PermissionError)):
+        raise error
+    if skipped is not None:
+        skipped.add(1)
+
+
+def _list_folder(root: str, folder: str, profile: ScanProfile, skipped=None) -> list[tuple]:
     from pyarrow import fs
 
     system, base = _file_system(root)
@@ -89,13 +107,18 @@ def _list_folder(root: str, folder: str, profile: ScanProfile) -> list[tuple]:
                         if not is_dir and not entry.is_file(follow_symlinks=profile.follow_links):
                             continue
                         info = entry.stat(follow_symlinks=profile.follow_links)
-                    except OSError:
+                    except OSError as error:
+                        _leave_out(error, skipped)
                         continue
                     found.append((entry.name, is_dir, info.st_size, info.st_mtime))
-        except OSError:
+        except OSError as error:
+            if not folder:
+                raise
+            # Entries read before a failure are not half a folder: it is left out as a whole.
+            _leave_out(error, skipped)
             return []
     else:
-        for info in system.get_file_info(fs.FileSelector(full, allow_not_found=True)):
+        for info in system.get_file_info(fs.FileSelector(full, allow_not_found=bool(folder))):
             if profile.visits(info.base_name):
                 modified = info.mtime.timestamp() if info.mtime else 0.0
                 found.append((info.base_name, info.type == fs.FileType.Directory, info.size or 0, modified))
@@ -106,7 +129,7 @@ def _list_folder(root: str, folder: str, profile: ScanProfile) -> list[tuple]:
     ]
 
 
-def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover") -> DataFrame:
+def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover", skipped=None) -> DataFrame:
     """(path, length, mtime) of the kept files below a folder; contents are not read."""
     rules = PROFILES[profile] if isinstance(profile, str) else profile
     run = scratch.new_folder(spark, "listing")
@@ -114,7 +137,7 @@ def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "dis
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for folder in batch["name"]:
-                rows = _list_folder(root, folder, rules)
+                rows = _list_folder(root, folder, rules, skipped)
                 if rows:
                     frame = pd.DataFrame(rows, columns=_ENTRY.names).astype({"name": object})
                     frame["mtime"] = pd.to_datetime(frame["mtime"])
@@ -137,9 +160,9 @@ def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "dis
 
 
 def read_contents(
-    listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 * 1024, task_bytes: int = 128 * 1024 * 1024
+    listing: DataFrame, root: str, batch_bytes: int = 32 * 1024 * 1024, task_bytes: int = 128 * 1024 * 1024, skipped=None
 ) -> DataFrame:
-    """Add the bytes of each listed file; files that cannot be read are left out.
+    """Add the bytes of each listed file; files that are gone or forbidden are left out.
 
     The number of tasks follows from the listed sizes, as the listing itself is small.
     """
@@ -166,7 +189,8 @@ def read_contents(
                     else:
                         with system.open_input_stream(full) as handle:
                             data = handle.read()
-                except OSError:
+                except OSError as error:
+                    _leave_out(error, skipped)
                     continue
                 rows.append((path, length, mtime, data))
                 size += len(data)
@@ -179,10 +203,10 @@ def read_contents(
     return listing.repartition(tasks, "path").mapInPandas(load, schema)
 
 
-def scan_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover") -> DataFrame:
+def scan_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover", skipped=None) -> DataFrame:
     """(path, content, length, mtime) of the readable UTF-8 files below a folder."""
     return (
-        read_contents(list_files(spark, root, profile), root)
+        read_contents(list_files(spark, root, profile, skipped), root, skipped=skipped)
         .where(F.is_valid_utf8(F.col("data").cast("string")))
         .select("path", F.col("data").cast("string").alias("content"), "length", "mtime")
     )

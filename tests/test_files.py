@@ -282,3 +282,45 @@ def test_rules(spark, edges, rows):
     with pytest.raises(LookupError, match="available: stale-files, untested-critical"):
         rules.find_rule(rules.SHIPPED_RULES, "none")
     assert rules.list_rules(rules.rules_table(spark, rules.SHIPPED_RULES)).count() == 2
+
+
+def test_only_names_that_are_gone_are_left_out(spark, tmp_path, monkeypatch):
+    import errno
+    import os
+
+    from depscope.sources import files as source
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.py").write_text("x")
+
+    class Count:
+        n = 0
+
+        def add(self, k):
+            self.n += k
+
+    real = os.scandir
+
+    def failing(code):
+        def scan(path):
+            if str(path).endswith("/sub"):
+                raise OSError(code, os.strerror(code), path)
+            return real(path)
+
+        return scan
+
+    count, root, rules = Count(), str(tmp_path), source.PROFILES["discover"]
+    monkeypatch.setattr(os, "scandir", failing(errno.ETIMEDOUT))
+    with pytest.raises(OSError, match="timed out"):
+        source._list_folder(root, "sub", rules, count)
+    for code in (errno.EACCES, errno.ENOENT):
+        monkeypatch.setattr(os, "scandir", failing(code))
+        assert source._list_folder(root, "sub", rules, count) == []
+    assert count.n == 2
+    monkeypatch.undo()
+    with pytest.raises(FileNotFoundError):
+        source._list_folder(f"{root}/lost", "", rules)
+    skipped = spark.sparkContext.accumulator(0)
+    listed = source.list_files(spark, root, "discover", skipped).localCheckpoint()
+    (tmp_path / "sub" / "a.py").unlink()
+    assert source.read_contents(listed, root, skipped=skipped).count() == 0 and skipped.value == 1
