@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact classes of documents whose word shingles overlap by 80 % or more.
+"""N-gram Jaccard join: exact classes and links of documents whose word shingles overlap by 80 % or more.
 
 Rare-first prefix filtering finds candidates. A set of n shingles is ordered by how often the bucket
 of each shingle's hash occurs over all documents, then by hash: one global order, known from a count
@@ -7,11 +7,15 @@ meet on those, and pairs go on if they pass the length filter, the positional fi
 be shared before and after the meeting point) and the suffix filter (bits of the parity of the sets'
 shingles by hash range differ at most as often as the sets do). Each pair left is verified once.
 
-Groups of copies do not become pairs. Equal sets are one set from the start. Each set is first paired
-with the first set of every prefix shingle list where it stands; components of verified links
-follow; and from then on only pairs across components are looked at, because a pair inside one can
-change nothing. The last round enumerates all of those, in blocks of a list, so what is left out
-is never a link between different components. The result is exact, whatever the group sizes.
+Groups of copies do not become pairs. Equal sets are one set from the start. In a round each set is
+paired with one set at most: of the heads of its prefix lists (a row each, another one every round) that
+lie in another component, the one it meets most often. Links found contract components, and lists
+within one component go. Rounds end when few pairs link; then all pairs across components that still meet are
+looked at, in blocks of a list, so that what is left out is never a link between different components. Links found
+this way are fewer than sets and rounds together.
+
+The number of links of a document covers all of them, also inside a component: sets of one component are compared in
+blocks of bounded bytes, and a task emits one number per set. `linked_pairs` gives the links themselves.
 
 Whole sets are read again, from the texts, for the sets of pairs that are left only. A bitmap of
 fixed size (one bit per hash range of the document) spares the other texts; it never grows, and
@@ -19,7 +23,8 @@ where it is full more sets are read than needed.
 
 Shingles are compared by 64-bit hashes. Defined results: null and blank texts have no shingles and
 link with nothing; texts of fewer words than a shingle are one shingle; repeated rows and equal
-texts are one class; a null document is in its class but never names it.
+texts are one class and link with each other; a null document is in its class but never names it; an empty table gives
+an empty result; columns of any other name do not matter.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from depscope.llm.common import fresh
-from depscope.scratch import materialize
+from depscope.llm.shingling import shingle_sets
+from depscope.scratch import discard, materialize, new_folder, store
 
 WORDS = 5
 # Links have NUM * intersection size >= DEN * (size + size): 100 i >= 80 u is 9 i >= 4 (a + b).
@@ -43,40 +49,10 @@ BUCKET_BITS, SLICES = 18, 64
 PARITY_WORDS, BLOCK = 8, 2048
 # Bits of the map of wanted documents: 4 MB.
 WANTED_BITS = 25
-_MEMO = 1 << 19
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-
-
-class _Hashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingles(text: str | None, words: int, hashes: _Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lowered."""
-    parts = (text or "").encode().translate(_LOWER).split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    if len(parts) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(parts), seed=len(parts))], dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    n = len(parts) - words + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(words):
-        # Mixed again after each word, so that the order counts and swapped differences do not cancel.
-        total = _mixed(total + h[k : k + n] * _FACTORS[k % len(_FACTORS)])
-    return np.unique(total)
+# Sets that one task remembers, to emit copies once; rows of an Arrow batch that a task makes at once.
+_SEEN, _ROWS = 1 << 16, 512
+# Rounds go on while one in so many proposed pairs links; what a task compares at once inside a component.
+WORTH, SETS_AT_ONCE, BYTES_AT_ONCE = 50, 1024, 4 << 20
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -117,30 +93,37 @@ def fewest_apart(x: bytes, y: bytes) -> int:
     return int(np.count_nonzero(a != b))
 
 
+def _batches(columns: list[str], rows: Iterator[tuple], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size."""
+    kept: list[tuple] = []
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], names=columns)
+    for row in rows:
+        kept.append(row)
+        if len(kept) >= _ROWS:
+            yield make()
+            kept.clear()
+    if kept:
+        yield make()
+
+
 def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, key, bits, wide) of every row, and (slice, counts) of the shingle buckets over all of them; one pass over the texts."""
+    names = ["slice", "doc_id", "n", "key", "bits", "wide"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = _Hashes(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["slice", "doc_id", "n", "key", "bits", "wide"]
-        for batch in batches:
-            sizes, keys, bits, wide = [], [], [], []
-            for value in batch.column("text"):
-                h = shingles(value.as_py(), words, hashes)
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+
+        def rows(batch):
+            for doc, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
                 np.add.at(counts, _bucket(h), 1)
-                sizes.append(len(h))
-                keys.append(set_key(h))
-                bits.append(parity(h))
-                wide.append(parity(h, wide_words(len(h))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()),
-                 pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
-                names=names)
+                yield None, doc, len(h), set_key(h), parity(h), parity(h, wide_words(len(h)))
+
+        for batch in batches:
+            yield from _batches(names, rows(batch), kinds)
         if counts.any():
-            parts = [p.tobytes() for p in counts.reshape(SLICES, -1)]
-            null = lambda kind: pa.nulls(SLICES, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), null(pa.int64()), null(pa.int32()), null(pa.int64()), pa.array(parts, pa.binary()), null(pa.binary())], names=names)
+            yield from _batches(names, ((i, None, None, None, part.tobytes(), None) for i, part in enumerate(counts.reshape(SLICES, -1))), kinds)
+        pa.default_memory_pool().release_unused()
 
     read = materialize(docs.mapInArrow(work, "slice int, doc_id long, n int, key long, bits binary, wide binary"), "sets")
     return read.where("slice IS NULL").drop("slice"), read.where("slice IS NOT NULL").select("slice", F.col("bits").alias("counts"))
@@ -171,16 +154,15 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order, seen = _Hashes(), sent.value, set()
+        order, seen, kept, held = sent.value, set(), [], 0
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names=["token", "key", "n", "pos"])
         for batch in batches:
-            tokens, keys, sizes, places = [], [], [], []
-            for value in batch.column("text"):
-                h = shingles(value.as_py(), words, hashes)
+            for h in shingle_sets(batch.column("text"), words):
                 n, key = len(h), set_key(h)
+                # Copies that one task meets give one set of rows; those of other tasks are harmless.
                 if not n or key in seen:
                     continue
-                # Copies that one task meets give one set of rows; those of other tasks are dropped later.
-                if len(seen) < _MEMO:
+                if len(seen) < _SEEN:
                     seen.add(key)
                 rank, p = order[_bucket(h)], prefix_size(n)
                 chosen = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
@@ -189,12 +171,15 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
                     edge = rank[chosen].max()
                     chosen = np.nonzero(rank <= edge)[0]
                 first = chosen[np.lexsort((h[chosen], rank[chosen]))][:p]
-                tokens.append(h[first].view(np.int64))
-                keys.append(np.full(p, key, dtype=np.int64))
-                sizes.append(np.full(p, n, dtype=np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, keys, sizes, places)], names=["token", "key", "n", "pos"])
+                kept.append((h[first].view(np.int64), np.full(p, key, dtype=np.int64), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32)))
+                held += p
+                if held >= 1 << 16:
+                    yield make()
+                    kept.clear()
+                    held = 0
+        if kept:
+            yield make()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(work, "token long, key long, n int, pos int")
 
@@ -207,21 +192,39 @@ def may_link(na, nb, ia, ib):
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Prefix rows of shingles that several sets have, each with the first row of its list (head_*).
-
-    Lists are in the order of the sets, the same everywhere, so sets that meet on many lists have few heads.
-    `more` tells whether the list is longer than two rows, so that not all its pairs have its head.
+    """Rows of prefix lists with more than one row. Lists are counted by partial sums, and a long list's rows are joined in many tasks."""
+    folder = new_folder(rows.sparkSession, "prefixes")
+    rows = store(rows, folder)
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
+    shared = materialize(rows.join(lists, "token"), "meetings")
+    discard(rows.sparkSession, folder)
+    return shared
+
+
+def mixed_lists(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, key, n, pos, component) of lists that hold several components; a set without a label is its own."""
+    rows = rows.select("token", "key", "n", "pos")
+    if labels is None:
+        rows = rows.withColumn("component", F.col("key"))
+    else:
+        rows = rows.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = materialize(rows, "rows")
+    lists = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return materialize(rows.join(lists, "token"), "mixed")
+
+
+def proposals(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: each set with one head at most, of the component-crossing heads that pass the filters the one it meets most often.
+
+    Heads are the first of their list by a hash that all lists share and that changes every turn.
     """
-    by = Window.partitionBy("token").orderBy("key")
-    head = lambda c: F.first(c).over(by)
-    near = lambda k: (F.lag("key", k) if k > 0 else F.lead("key", -k)).over(by)
-    out = rows.select(
-        "token", "key", "n", "pos", head("key").alias("head_key"), head("n").alias("head_n"), head("pos").alias("head_pos"),
-        near(1).alias("before"), near(-1).alias("after"), near(2).isNotNull().alias("two_before"), near(-2).isNotNull().alias("two_after"))
-    more = F.col("two_before") | F.col("two_after") | (F.col("before").isNotNull() & F.col("after").isNotNull())
-    # Rows of one set from several tasks stand side by side; the first stays.
-    out = out.where("(before IS NOT NULL OR after IS NOT NULL) AND NOT before <=> key")
-    return out.withColumn("more", more).drop("before", "after", "two_before", "two_after")
+    one = F.struct("key", "n", "pos", "component")
+    heads = rows.groupBy("token").agg(F.min_by(one, F.xxhash64("key", F.lit(turn))).alias("head"))
+    met = rows.join(heads, "token").where(F.col("component") != F.col("head.component"))
+    met = met.where(may_link(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
+    votes = met.groupBy("key", F.col("head.key").alias("other")).agg(F.count(F.lit(1)).alias("met"))
+    best = votes.groupBy("key").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
+    return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def _wanted_map(chosen: DataFrame) -> np.ndarray:
@@ -244,14 +247,14 @@ def set_contents(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_wanted_map(chosen))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, wanted = _Hashes(), sent.value
+        wanted = sent.value
         for batch in batches:
             at = batch.column("at").to_numpy()
             places = np.nonzero((wanted[at >> 6] >> (at & 63)) & 1)[0]
-            got = [shingles(t.as_py(), words, memo) for t in batch.column("text").take(pa.array(places))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int32()), pa.array([h.tobytes() for h in got], pa.binary())],
-                names=["key", "n", "hashes"])
+            for s in range(0, len(places), 64):
+                got = shingle_sets(batch.column("text").take(pa.array(places[s : s + 64])), words)
+                yield from _batches(["key", "n", "hashes"], ((set_key(h), len(h), h.tobytes()) for h in got), [pa.int64(), pa.int32(), pa.binary()])
+        pa.default_memory_pool().release_unused()
 
     read = docs.select(_range_of(F.col("doc_id")).alias("at"), "text").mapInArrow(work, "key long, n int, hashes binary")
     return read.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
@@ -299,19 +302,13 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
-def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of prefix lists that hold several components, with component, place on the list and the list's length."""
-    rows = shared.select("token", "key", "n", "pos").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    return rows.join(mixed.where("lo <> hi").select("token", "size"), "token")
-
-
 def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of different components that pass all filters; rows from _across.
+    """(a, b), a < b: pairs of different components that pass all filters; rows from mixed_lists.
 
     A list is cut into blocks by hash of the set, and each pair of blocks is a task's unit, so a
     list of any length spreads over many tasks.
     """
+    rows = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     cut = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -326,12 +323,15 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
         n, pos, wide = n.astype(np.int64), pos.astype(np.int64), t.column("wide").to_pylist()
         left = np.nonzero(mine == lo)[0]
         right = left if lo[0] == hi[0] else np.nonzero(mine == hi)[0]
+        # Most rows of a block may lie in one component: only the others need partners.
+        names, counts = np.unique(comp, return_counts=True)
+        stray = comp != names[counts.argmax()]
+        sides = [(left[stray[left]], right), (right[stray[right]], left[~stray[left]])]
         found_a, found_b = [], []
-        for start in range(0, len(left), 256):
-            i = left[start : start + 256]
-            ok = (comp[i][:, None] != comp[right][None, :]) & may_link(n[i][:, None], n[right][None, :], pos[i][:, None], pos[right][None, :])
+        for i, partners in ((side[s : s + 256], partners) for side, partners in sides for s in range(0, len(side), 256)):
+            ok = (comp[i][:, None] != comp[partners][None, :]) & may_link(n[i][:, None], n[partners][None, :], pos[i][:, None], pos[partners][None, :])
             x, y = np.nonzero(ok)
-            x, y = i[x], right[y]
+            x, y = i[x], partners[y]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             fits = NUM * apart <= n[x] + n[y]
             x, y = x[fits], y[fits]
@@ -339,28 +339,46 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
             sure = np.array([NUM * fewest_apart(wide[i], wide[j]) <= n[i] + n[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
             found_a.append(key[x[sure]])
             found_b.append(key[y[sure]])
+        if not found_a:
+            return
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         for start in range(0, len(pairs), 1 << 16):
             part = pairs[start : start + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], names=["a", "b"])
 
+    work = _by_group(["token", "lo", "hi"], compare)
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def _by_group(columns: list[str], each):
+    """A function for mapInArrow that hands rows standing side by side with equal `columns` to `each` as one table, across batches.
+
+    A group's rows are kept as they came until it ends, so groups must be of bounded size.
+    """
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one block pair are at most 2 blocks or so; they stand side by side and may span batches.
-        rest: pa.Table | None = None
+        last, parts = None, []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            token, lo, hi = (t.column(c).to_numpy() for c in ("token", "lo", "hi"))
-            new = np.nonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[0] + 1
-            starts = [0, *new.tolist()]
+            if not batch.num_rows:
+                continue
+            values = [batch.column(c).to_numpy() for c in columns]
+            changed = np.zeros(batch.num_rows - 1, dtype=bool)
+            for v in values:
+                changed |= v[1:] != v[:-1]
+            starts = [0, *(np.nonzero(changed)[0] + 1).tolist(), batch.num_rows]
             for s, e in zip(starts, starts[1:], strict=False):
-                yield from compare(t.slice(s, e - s))
-            rest = t.slice(starts[-1])
-        if rest is not None and rest.num_rows:
-            yield from compare(rest)
+                name = tuple(int(v[s]) for v in values)
+                if parts and name != last:
+                    yield from each(pa.Table.from_batches(parts).combine_chunks())
+                    parts = []
+                last = name
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield from each(pa.Table.from_batches(parts).combine_chunks())
+        pa.default_memory_pool().release_unused()
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return work
 
 
 def _suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -377,50 +395,177 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(work, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int) -> DataFrame:
-    """(a, b): links between different sets that connect all that link, directly or over others.
+def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(key, component) after more links (a, b): components become one row each, and only those rows are linked."""
+    if labels is None:
+        return components(links)
+    # What was a component's least key stands for it.
+    at = lambda name: labels.select(F.col("key").alias(name), F.col("component").alias(f"c{name}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    moved = components(between)
+    to = moved.select(F.col("key").alias("component"), F.col("component").alias("to"))
+    old = labels.join(to, "component", "left").select("key", F.coalesce("to", "component").alias("component"))
+    return materialize(old.union(moved.join(labels, "key", "left_anti")), "labels")
+
+
+class _Contents:
+    """Whole sets by key; those that pairs ask for are read once."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, words: int):
+        self.docs, self.sets, self.words, self.known = docs, sets, words, None
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        if self.known is not None:
+            ends = ends.join(self.known.select("key"), "key", "left_anti")
+        wanted = materialize(self.sets.join(ends, "key", "left_semi").select("key", "least"), "wanted")
+        new = materialize(set_contents(self.docs, wanted, self.words), "contents")
+        self.known = new if self.known is None else self.known.union(new)
+        return materialize(verify(pairs, self.known), "links")
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(key, component) of all sets that link, and the whole sets (key, n, hashes) of those and more.
 
     `sets` has (key, least, n, bits, wide), one row per set.
     """
-    shared = materialize(meetings(prefix_rows(docs, bucket_counts(slices), words)), "meetings")
-    col = F.col
-    star = shared.where((col("head_key") != col("key")) & may_link(col("n"), col("head_n"), col("pos"), col("head_pos")))
-    # The head of a list is its least set.
-    star = star.select(col("head_key").alias("a"), col("key").alias("b")).distinct()
-    star = materialize(_suffix_filter(star, sets), "star")
-    links = _verified(docs, star, sets, words)
-    rest = materialize(cross_pairs(_across(shared.where("more"), components(links)), sets).join(star, ["a", "b"], "left_anti"), "pairs")
-    return links.union(_verified(docs, rest, sets, words))
+    contents, labels, turn = _Contents(docs, sets, words), None, 0
+    rows = mixed_lists(meetings(prefix_rows(docs, bucket_counts(slices), words)), None)
+    while True:
+        asked = materialize(_suffix_filter(proposals(rows, turn), sets), "proposals")
+        links = contents.verified(asked)
+        labels = contracted(labels, links)
+        rows = mixed_lists(rows, labels)
+        turn += 1
+        if links.count() * WORTH <= asked.count():
+            break
+    links = contents.verified(materialize(cross_pairs(rows, sets), "pairs"))
+    return contracted(labels, links), contents.known
+
+
+def _blocks_of_components(labels: DataFrame, contents: DataFrame, copies: DataFrame) -> DataFrame:
+    """Sets of components of several, as rows (component, lo, hi, mine, key, n, hashes, copies) of pairs of blocks of bounded bytes."""
+    rows = labels.join(contents, "key").join(copies.select("key", "copies"), "key")
+    load = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("hashes")).alias("bytes")).where("size > 1")
+    load = load.select("component", F.greatest(F.ceil(F.col("size") / SETS_AT_ONCE), F.ceil(F.col("bytes") / BYTES_AT_ONCE)).cast("int").alias("blocks"))
+    rows = rows.join(load, "component").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "blocks")
+    keys = ["component", "lo", "hi"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of some sets shares with each of others."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets in (left, right):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64), owner))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for values, owner in sides:
+        at = np.searchsorted(both, values)
+        at[at == len(both)] = 0
+        hit = both[at] == values if len(both) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], owner[hit][order]))
+    for start in range(0, len(both), 1024):
+        parts = []
+        for (at, owner), sets in zip(placed, (left, right), strict=True):
+            s, e = np.searchsorted(at, (start, start + 1024))
+            part = np.zeros((len(sets), min(1024, len(both) - start)), dtype=np.float32)
+            part[owner[s:e], at[s:e] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left rows, right rows, linked, shared, n) of a pair of blocks."""
+    sets, n, mine = [np.frombuffer(h.as_py(), dtype=np.uint64) for h in t.column("hashes")], t.column("n").to_numpy().astype(np.int64), t.column("mine").to_numpy()
+    left = np.nonzero(mine == t.column("lo")[0].as_py())[0]
+    right = left if t.column("lo")[0].as_py() == t.column("hi")[0].as_py() else np.nonzero(mine == t.column("hi")[0].as_py())[0]
+    shared = _shared_counts([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+    linked = (NUM * shared >= DEN * (n[left][:, None] + n[right][None, :])) & (left[:, None] != right[None, :])
+    return left, right, linked, shared, n
+
+
+def link_counts(blocks: DataFrame) -> DataFrame:
+    """(key, linked_sets, linked_rows): how many other sets each set links with, and how many rows have them."""
+
+    def count(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right, linked, _, _ = _compared(t)
+        key, copies = t.column("key").to_numpy(), t.column("copies").to_numpy()
+        found = [(key[left], linked.sum(axis=1), linked @ copies[right])]
+        if right is not left:
+            found.append((key[right], linked.sum(axis=0), linked.T @ copies[left]))
+        yield from (pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in part], names=["key", "linked_sets", "linked_rows"]) for part in found)
+
+    parts = blocks.mapInArrow(_by_group(["component", "lo", "hi"], count), "key long, linked_sets long, linked_rows long")
+    return parts.groupBy("key").agg(F.sum("linked_sets").alias("linked_sets"), F.sum("linked_rows").alias("linked_rows"))
+
+
+def linked_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(a, b, shared, total): every link between different sets once, by the least documents that have them; total is the size of the union.
+
+    There are as many rows as links, so a group of near copies may give the square of its size. Copies of a document are not expanded.
+    """
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    known, slices = read_sets(docs, words)
+    sets = _distinct(known)
+    labels, contents = linked_sets(docs, sets, slices, words)
 
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right, linked, shared, n = _compared(t)
+        key = t.column("key").to_numpy()
+        x, y = np.nonzero(linked & (key[left][:, None] < key[right][None, :]) if right is left else linked)
+        for s in range(0, len(x), 1 << 16):
+            i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+            met = shared[i, j]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[left][i], key[right][j], met, n[left][i] + n[right][j] - met)], names=["a", "b", "shared", "total"])
 
-def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    contents = materialize(set_contents(docs, materialize(sets.join(ends, "key", "left_semi").select("key", "least"), "wanted"), words), "contents")
-    return materialize(verify(pairs, contents), "links")
+    found = _blocks_of_components(labels, contents, sets).mapInArrow(_by_group(["component", "lo", "hi"], pairs), "a long, b long, shared long, total long")
+    named = lambda name: sets.select(F.col("key").alias(name), F.col("least").alias(f"d{name}"))
+    found = found.join(named("a"), "a").join(named("b"), "b")
+    return found.select(F.least("da", "db").alias("a"), F.when(F.least("da", "db") == F.col("da"), F.col("db")).otherwise(F.col("da")).alias("b"), "shared", "total")
 
 
 def _distinct(known: DataFrame) -> DataFrame:
     """One row per set, so that copies weigh once from here on."""
-    return materialize(known.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "distinct")
+    return materialize(known.where("n > 0").groupBy("key", "n").agg(
+        F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("wide").alias("wide"), F.count(F.lit(1)).alias("copies")), "distinct")
+
 
+def _classes(docs: DataFrame, words: int, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of read_sets, and (key, component_id, head) of every set: the class's least document and the first set that it has.
 
-def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of read_sets, and (key, component_id, head) of every set: the class's least document and the first set that it has."""
+    With `count` also n_links: the other rows that a row of the set links with.
+    """
     known, slices = read_sets(docs, words)
     sets = _distinct(known)
-    labels = components(linked_sets(docs, sets, slices, words))
-    joined = sets.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labels, contents = linked_sets(docs, sets, slices, words)
+    joined = sets.select("key", "least", "copies").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = joined.groupBy("component").agg(
         F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key"))["key"].alias("head"))
-    return known, materialize(joined.join(named, "component").select("key", "component_id", "head"), "classes")
+    of_set = joined.join(named, "component").select("key", "component_id", "head", "copies")
+    if count:
+        linked = link_counts(_blocks_of_components(labels, contents, sets))
+        of_set = of_set.join(linked, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked_rows", F.lit(0)))
+    return known, materialize(of_set.drop("copies", "linked_sets", "linked_rows"), "classes")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; the component is named by its least document."""
+    """(doc_id, n_shingles, component_id, n_links) of every row; the component is named by its least document.
+
+    `n_links` is the number of other rows that the row links with, equal texts included.
+    """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    known, of_set = _classes(docs, words)
-    blank = known.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return known.where("n > 0").join(of_set, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(blank)
+    known, of_set = _classes(docs, words, count=True)
+    size = F.col("n").cast("long").alias("n_shingles")
+    blank = known.where("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return known.where("n > 0").join(of_set, "key").select("doc_id", size, "component_id", "n_links").union(blank)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -431,9 +576,8 @@ def with_keys(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
     """Add the key of each text's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            keys = [set_key(shingles(t.as_py(), words, hashes)) for t in batch.column("text")]
+            keys = [set_key(h) for h in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
@@ -475,6 +619,6 @@ WITH lowered AS (
 ), reach AS (
   WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON l.a = r.b) SELECT a, min(b) AS b FROM r GROUP BY a
 )
-SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(b, s.doc_id)) AS component_id
-FROM sets s LEFT JOIN reach ON a = s.doc_id
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(b, s.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM sets s LEFT JOIN reach ON a = s.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = s.doc_id
 """

@@ -38,7 +38,7 @@ def test_each_stage_decides_on_all_it_gets(spark, tmp_path):
         if name == "quality_rules":
             assert not {i for i in after if i >= 100}  # junk and blank documents are gone by now
         if name == "near_duplicates":
-            assert after == {least for _, n, least in _brute(list(before.items())) if n}
+            assert after == {least for _, n, least, _ in _brute(list(before.items())) if n}
     assert sizes[1] <= sizes[0] - 20 and sizes[3] < sizes[2] == 100 and sizes[4] == sizes[3]
     assert {r.bucket_length - r.padding for r in docs.collect()} == {len(rows[r.doc_id][1].split()) for r in docs.collect()}
 
