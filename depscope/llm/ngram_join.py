@@ -10,9 +10,9 @@ shingles by hash range differ at most as often as the sets do). Each pair left i
 Groups of copies do not become pairs. Equal sets are one set from the start. In a round each set is
 paired with one set at most: of the heads of its prefix lists (a row each, another one every round) that
 lie in another component, the one it meets most often. Links found contract components, and lists
-within one component go. Rounds end when few pairs link; then all pairs across components that still meet are
-looked at, in blocks of a list, so that what is left out is never a link between different components. Links found
-this way are fewer than sets and rounds together.
+within one component go. Rounds end when most pairs fail. Then rows of lists are compared in blocks: first each row keeps
+its closest partner in every other component, and after another contraction all pairs across components that still
+meet are looked at, so that what is left out is never a link between different components.
 
 The number of links of a document covers all of them, also inside a component: sets of one component are compared in
 blocks of bounded bytes, and a task emits one number per set. `linked_pairs` gives the links themselves.
@@ -51,8 +51,8 @@ PARITY_WORDS, BLOCK = 8, 2048
 WANTED_BITS = 25
 # Sets that one task remembers, to emit copies once; rows of an Arrow batch that a task makes at once.
 _SEEN, _ROWS = 1 << 16, 512
-# Rounds go on while one in so many proposed pairs links; what a task compares at once inside a component.
-WORTH, SETS_AT_ONCE, BYTES_AT_ONCE = 50, 1024, 4 << 20
+# Rounds go on while more than one in so many proposed pairs links; what a task compares at once inside a component.
+WORTH, SETS_AT_ONCE, BYTES_AT_ONCE = 3, 1024, 4 << 20
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -201,30 +201,30 @@ def meetings(rows: DataFrame) -> DataFrame:
     return shared
 
 
-def mixed_lists(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, key, n, pos, component) of lists that hold several components; a set without a label is its own."""
-    rows = rows.select("token", "key", "n", "pos")
-    if labels is None:
-        rows = rows.withColumn("component", F.col("key"))
-    else:
-        rows = rows.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = materialize(rows, "rows")
-    lists = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return materialize(rows.join(lists, "token"), "mixed")
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, key, n, pos, component); a set without a label is a component of its own."""
+    joined = rows.select("token", "key", "n", "pos").join(labels, "key", "left")
+    return materialize(joined.select("token", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "rows")
 
 
-def proposals(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: each set with one head at most, of the component-crossing heads that pass the filters the one it meets most often.
+def proposals(rows: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: each set with one head at most, of the heads in other components that have a fitting length the one it meets most often.
 
-    Heads are the first of their list by a hash that all lists share and that changes every turn.
+    Also the rows of lists that hold several components. The head of a list is the row whose key comes first under a mask
+    that all lists share and that changes every turn.
     """
-    one = F.struct("key", "n", "pos", "component")
-    heads = rows.groupBy("token").agg(F.min_by(one, F.xxhash64("key", F.lit(turn))).alias("head"))
-    met = rows.join(heads, "token").where(F.col("component") != F.col("head.component"))
-    met = met.where(may_link(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
-    votes = met.groupBy("key", F.col("head.key").alias("other")).agg(F.count(F.lit(1)).alias("met"))
-    best = votes.groupBy("key").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
-    return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    mask = F.lit(xxhash.xxh3_64_intdigest(b"heads", seed=turn) - (1 << 63))
+    lists = rows.groupBy("token").agg(
+        F.min(F.col("key").bitwiseXOR(mask)).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = materialize(rows.join(lists.where("lo <> hi").select("token", F.col("head").bitwiseXOR(mask).alias("other")), "token"), "mixed")
+    votes = mixed.groupBy("key", "n", "component", "other").agg(F.count(F.lit(1)).alias("met"))
+    if labels is None:
+        votes = votes.where("other <> key")
+    else:
+        of_other = labels.select(F.col("key").alias("other"), F.col("component").alias("there"))
+        votes = votes.join(of_other, "other", "left").where(F.coalesce("there", "other") != F.col("component"))
+    best = votes.groupBy("key").agg(F.max(F.struct("met", "other"))["other"].alias("other"))
+    return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), mixed.drop("other")
 
 
 def _wanted_map(chosen: DataFrame) -> np.ndarray:
@@ -302,13 +302,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of different components that pass all filters; rows from mixed_lists.
+def cross_pairs(rows: DataFrame, sets: DataFrame, best: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of different components that pass all filters.
+
+    With `best` only the closest one, by parities, of each row and other component in a block.
 
     A list is cut into blocks by hash of the set, and each pair of blocks is a task's unit, so a
     list of any length spreads over many tasks.
     """
-    rows = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+    rows = rows.join(lists.where("least <> most").select("token", "size"), "token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     cut = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -335,6 +338,11 @@ def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             fits = NUM * apart <= n[x] + n[y]
             x, y = x[fits], y[fits]
+            if best and len(x):
+                order = np.lexsort((apart[fits], comp[y], x))
+                x, y = x[order], y[order]
+                first = np.concatenate([[True], (x[1:] != x[:-1]) | (comp[y[1:]] != comp[y[:-1]])])
+                x, y = x[first], y[first]
             # The short parities of large sets are full; the wide ones are compared for what is left.
             sure = np.array([NUM * fewest_apart(wide[i], wide[j]) <= n[i] + n[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
             found_a.append(key[x[sure]])
@@ -392,6 +400,8 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(NUM * np.array(apart, dtype=np.int64) <= total)).select(["a", "b"])
 
     joined = pairs.join(half("a"), "a").join(half("b"), "b")
+    fits = ((NUM - DEN) * F.col("na") >= DEN * F.col("nb")) & ((NUM - DEN) * F.col("nb") >= DEN * F.col("na"))
+    joined = joined.where(fits)
     return joined.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(work, "a long, b long")
 
 
@@ -431,17 +441,21 @@ def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int)
     `sets` has (key, least, n, bits, wide), one row per set.
     """
     contents, labels, turn = _Contents(docs, sets, words), None, 0
-    rows = mixed_lists(meetings(prefix_rows(docs, bucket_counts(slices), words)), None)
+    rows = meetings(prefix_rows(docs, bucket_counts(slices), words)).withColumn("component", F.col("key"))
     while True:
-        asked = materialize(_suffix_filter(proposals(rows, turn), sets), "proposals")
+        asked, mixed = proposals(rows, labels, turn)
+        asked = materialize(_suffix_filter(asked, sets), "proposals")
         links = contents.verified(asked)
         labels = contracted(labels, links)
-        rows = mixed_lists(rows, labels)
-        turn += 1
+        rows, turn = labelled(mixed, labels), turn + 1
         if links.count() * WORTH <= asked.count():
             break
-    links = contents.verified(materialize(cross_pairs(rows, sets), "pairs"))
-    return contracted(labels, links), contents.known
+    for best in (True, False):
+        links = contents.verified(materialize(cross_pairs(rows, sets, best), "pairs"))
+        labels = contracted(labels, links)
+        if best:
+            rows = labelled(rows, labels)
+    return labels, contents.known
 
 
 def _blocks_of_components(labels: DataFrame, contents: DataFrame, copies: DataFrame) -> DataFrame:

@@ -153,7 +153,8 @@ def test_links_of_a_near_copy_group_stay_few(spark, monkeypatch):
             rows.append((doc, " ".join(words)))
         verified.clear()
         classes = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
-        assert classes.groupBy("component_id").count().agg({"count": "max"}).first()[0] > n * 0.9
+        assert classes.groupBy("component_id").count().agg({"count": "max"}).first()[0] > n * 0.8
+        print(n, verified)
         assert sum(verified) < 4 * n, verified
 
 
