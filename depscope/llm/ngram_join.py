@@ -10,9 +10,10 @@ shingles by hash range differ at most as often as the sets do). Each pair left i
 Groups of copies do not become pairs. Equal sets are one set from the start. In a round each set is
 paired with one set at most: of the heads of its prefix lists (a row each, another one every round) that
 lie in another component, the one it meets most often. Links found contract components, and lists
-within one component go. Rounds end when most pairs fail. Then rows of lists are compared in blocks: first each row keeps
-its closest partner in every other component, and after another contraction all pairs across components that still
-meet are looked at, so that what is left out is never a link between different components.
+within one component go. Rounds end when most pairs fail. Then the rest is gone through in whole: rows of short lists are
+joined, and pairs go on if they meet often enough; rows of long lists are compared in blocks, where first each row keeps its closest
+partner in every other component, and after another contraction all pairs that still cross components go on.
+What is left out is never a link between different components.
 
 The number of links of a document covers all of them, also inside a component: sets of one component are compared in
 blocks of bounded bytes, and a task emits one number per set. `linked_pairs` gives the links themselves.
@@ -34,11 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from depscope.llm.common import fresh
 from depscope.llm.shingling import shingle_sets
-from depscope.scratch import discard, materialize, new_folder, store
+from depscope.scratch import materialize
 
 WORDS = 5
 # Links have NUM * intersection size >= DEN * (size + size): 100 i >= 80 u is 9 i >= 4 (a + b).
@@ -51,6 +52,8 @@ PARITY_WORDS, BLOCK = 8, 2048
 WANTED_BITS = 25
 # Sets that one task remembers, to emit copies once; rows of an Arrow batch that a task makes at once.
 _SEEN, _ROWS = 1 << 16, 512
+# Rows of a prefix list whose pairs are joined at once; longer lists are compared in blocks.
+SHORT = 16
 # Rounds go on while more than one in so many proposed pairs links; what a task compares at once inside a component.
 WORTH, SETS_AT_ONCE, BYTES_AT_ONCE = 3, 1024, 4 << 20
 
@@ -68,6 +71,10 @@ def prefix_size(n: int) -> int:
     return n - (DEN * n + NUM - DEN - 1) // (NUM - DEN) + 1
 
 
+def prefix_column(n: Column) -> Column:
+    return n - F.floor((DEN * n + NUM - DEN - 1) / (NUM - DEN)) + 1
+
+
 def parity(hashes: np.ndarray, words: int = PARITY_WORDS) -> bytes:
     """Bit k: whether an odd number of shingles fall into hash range k, of 64 * words ranges (a power of two)."""
     bits = 64 * words
@@ -192,13 +199,10 @@ def may_link(na, nb, ia, ib):
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Rows of prefix lists with more than one row. Lists are counted by partial sums, and a long list's rows are joined in many tasks."""
-    folder = new_folder(rows.sparkSession, "prefixes")
-    rows = store(rows, folder)
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-    shared = materialize(rows.join(lists, "token"), "meetings")
-    discard(rows.sparkSession, folder)
-    return shared
+    """The prefix rows of lists with several sets. Lists are summed up in parts, and a long list's rows are joined in many tasks."""
+    lists = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
+    # Rows of one set may come from several tasks.
+    return materialize(materialize(rows.join(lists, "token"), "meetings").distinct(), "shared")
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -302,16 +306,43 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
+def sized_lists(rows: DataFrame) -> DataFrame:
+    """Rows of lists that hold several components, with the list's size."""
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return materialize(rows.join(lists.where("least <> most").select("token", "size"), "token"), "sized")
+
+
+def short_list_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of different components that meet on lists of at most SHORT rows and share enough prefix shingles.
+
+    All common prefix shingles of a pair are its m meetings here, and at most as many as either set has on longer lists.
+    After the last of them the smaller-ranked prefix has no common shingle left, so no more can be shared than the
+    rest of one set from there on and the part of the other behind its prefix.
+    """
+    short = rows.where(F.col("size") <= SHORT)
+    longer = rows.where(F.col("size") > SHORT).groupBy("key").agg(F.count(F.lit(1)).alias("unseen"))
+    side = lambda s: short.select("token", *[F.col(c).alias(c + s) for c in ("key", "n", "pos", "component")])
+    met = side("a").join(side("b"), "token").where("keya < keyb AND componenta <> componentb")
+    met = met.where(((NUM - DEN) * F.col("na") >= DEN * F.col("nb")) & ((NUM - DEN) * F.col("nb") >= DEN * F.col("na")))
+    pairs = met.groupBy("keya", "keyb", "na", "nb").agg(F.count(F.lit(1)).alias("m"), F.max("posa").alias("ia"), F.max("posb").alias("ib"))
+    for s in "ab":
+        pairs = pairs.join(longer.select(F.col("key").alias(f"key{s}"), F.col("unseen").alias(f"u{s}")), f"key{s}", "left")
+    unseen = F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
+    behind = lambda n: n - prefix_column(n)
+    na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ia", "ib"))
+    rest = F.greatest(F.least(behind(na), nb - 1 - ib), F.least(na - 1 - ia, behind(nb)))
+    # Meetings not seen here may lie behind the last one seen.
+    rest = F.when(unseen > 0, F.least(na, nb)).otherwise(rest)
+    return pairs.where(NUM * (F.col("m") + rest) >= DEN * (na + nb)).select(F.col("keya").alias("a"), F.col("keyb").alias("b"))
+
+
 def cross_pairs(rows: DataFrame, sets: DataFrame, best: bool = False) -> DataFrame:
-    """(a, b), a < b: pairs of different components that pass all filters.
+    """(a, b), a < b: pairs of different components that pass all filters; rows from sized_lists.
 
     With `best` only the closest one, by parities, of each row and other component in a block.
-
     A list is cut into blocks by hash of the set, and each pair of blocks is a task's unit, so a
     list of any length spreads over many tasks.
     """
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-    rows = rows.join(lists.where("least <> most").select("token", "size"), "token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     cut = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -409,6 +440,8 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(key, component) after more links (a, b): components become one row each, and only those rows are linked."""
     if labels is None:
         return components(links)
+    if links.isEmpty():
+        return labels
     # What was a component's least key stands for it.
     at = lambda name: labels.select(F.col("key").alias(name), F.col("component").alias(f"c{name}"))
     between = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
@@ -430,8 +463,9 @@ class _Contents:
         if self.known is not None:
             ends = ends.join(self.known.select("key"), "key", "left_anti")
         wanted = materialize(self.sets.join(ends, "key", "left_semi").select("key", "least"), "wanted")
-        new = materialize(set_contents(self.docs, wanted, self.words), "contents")
-        self.known = new if self.known is None else self.known.union(new)
+        if self.known is None or not wanted.isEmpty():
+            new = materialize(set_contents(self.docs, wanted, self.words), "contents")
+            self.known = new if self.known is None else self.known.union(new)
         return materialize(verify(pairs, self.known), "links")
 
 
@@ -450,11 +484,14 @@ def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int)
         rows, turn = labelled(mixed, labels), turn + 1
         if links.count() * WORTH <= asked.count():
             break
-    for best in (True, False):
-        links = contents.verified(materialize(cross_pairs(rows, sets, best), "pairs"))
-        labels = contracted(labels, links)
-        if best:
-            rows = labelled(rows, labels)
+    rows = sized_lists(rows)
+    long = F.col("size") > SHORT
+    short = _suffix_filter(short_list_pairs(rows), sets)
+    links = contents.verified(materialize(short.union(cross_pairs(rows.where(long), sets, best=True)).distinct(), "pairs"))
+    labels = contracted(labels, links)
+    rows = sized_lists(labelled(rows.where(long), labels))
+    links = contents.verified(materialize(cross_pairs(rows, sets), "pairs"))
+    labels = contracted(labels, links)
     return labels, contents.known
 
 
