@@ -134,16 +134,19 @@ plan AS (SELECT m.workspace, m.source AS name, CASE WHEN r.name IS NOT NULL THEN
   WHERE r.name IS NOT NULL OR b.name IS NOT NULL)"""
 _register("mount_plan", lambda s, d: catalog.mount_plan(*_workspaces(s, d), "/trees"), f'{_PLAN} SELECT workspace, name, backing_path, mount_at AS "at", writable, ord FROM plan')
 _register(
+    # Every customer's path, in the workspace of the customer's nation.
     "route_workspace",
     lambda s, d: resolve.route_workspace(
-        table(s, d, "customer").select(F.concat(F.lit("/m"), F.col("c_custkey") % 900, F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("/a/f"), "c_custkey")).otherwise("")).alias("path")),
-        catalog.mount_plan(*_workspaces(s, d), "/trees").where("workspace = 'w3'"),
+        table(s, d, "customer").select(
+            F.concat(F.lit("w"), "c_nationkey").alias("workspace"),
+            F.concat(F.lit("/m"), F.col("c_custkey") % 900, F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("/a/f"), "c_custkey")).otherwise("")).alias("path")),
+        catalog.mount_plan(*_workspaces(s, d), "/trees"),
     ),
-    f"""{_PLAN}, owners AS (SELECT regexp_extract(mount_at, '([^/]*)/*$', 1) AS segment, min(row(ord, name, backing_path, writable)) AS o FROM plan WHERE workspace = 'w3' GROUP BY 1),
-    asked AS (SELECT concat('m', c_custkey % 900) AS segment, CASE WHEN c_custkey % 5 > 0 THEN concat('a/f', c_custkey) END AS rest FROM customer)
-    SELECT concat('/', segment, CASE WHEN rest IS NULL THEN '' ELSE concat('/', rest) END) AS path, o[2] AS mount,
+    f"""{_PLAN}, owners AS (SELECT workspace, regexp_extract(mount_at, '([^/]*)/*$', 1) AS segment, min(row(ord, name, backing_path, writable)) AS o FROM plan GROUP BY 1, 2),
+    asked AS (SELECT concat('w', c_nationkey) AS workspace, concat('m', c_custkey % 900) AS segment, CASE WHEN c_custkey % 5 > 0 THEN concat('a/f', c_custkey) END AS rest FROM customer)
+    SELECT workspace, concat('/', segment, CASE WHEN rest IS NULL THEN '' ELSE concat('/', rest) END) AS path, o[2] AS mount,
     CASE WHEN o IS NULL THEN NULL WHEN rest IS NULL THEN o[3] WHEN o[3] LIKE '%/' THEN concat(o[3], rest) ELSE concat(o[3], '/', rest) END AS real_path,
-    o[4] AS writable FROM asked LEFT JOIN owners USING (segment)""",
+    o[4] AS writable FROM asked LEFT JOIN owners USING (workspace, segment)""",
 )
 _register(
     "validate_catalog", lambda s, d: catalog.validate_catalog(*[_workspaces(s, d)[i] for i in (1, 2, 0)]),
@@ -184,12 +187,12 @@ _register(
     """SELECT o_orderkey AS id, o_orderkey % 7 > 0 AND (o_orderkey % 5 = 0 OR greatest(1000 - o_custkey, 0) < o_orderkey % 5 * 100) AS fresh,
     o_orderkey % 3 = 0 OR greatest(1000 - o_custkey, 0) > o_orderkey % 4 * 250 AS needs_pull FROM orders""",
 )
-_BLOBS = "SELECT concat('/data/n', c_nationkey, '/c', c_custkey) AS path, concat('h', c_custkey % 13) AS hash, c_custkey % 99 AS uploaded_at FROM customer WHERE c_custkey % 3 = 0"
+_BLOBS = "SELECT concat('/data/n', c_nationkey, '/c', c_custkey) AS path, concat('h', c_custkey % 13) AS hash, c_custkey % 99 AS uploaded_at FROM customer"
 _register(
     "backend_status",
     lambda s, d: catalog.backend_status(
         view(s, d, "fx_mounted_paths"), _mounts(s, d), view(s, d, "fx_inventory"),
-        table(s, d, "customer").where("c_custkey % 3 = 0").select(
+        table(s, d, "customer").select(
             F.concat(F.lit("/data/n"), "c_nationkey", F.lit("/c"), "c_custkey").alias("path"),
             F.concat(F.lit("h"), F.col("c_custkey") % 13).alias("hash"), (F.col("c_custkey") % 99).alias("uploaded_at"),
         ), "/work", 1700001500,

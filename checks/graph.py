@@ -266,7 +266,7 @@ def _stale(s, d):
 
 def _untested(s, d):
     edges = edge_view(s, d)
-    imports = edges.where("rel = 'contains'").withColumn("rel", F.lit("imports"))
+    imports = edges.withColumn("rel", F.lit("imports"))
     tested = table(s, d, "part").where("p_size < 10").select(
         F.concat(F.lit("p:"), "p_partkey").alias("from"), F.lit("t").alias("to"), F.lit("tested_by").alias("rel")
     )
@@ -285,8 +285,8 @@ _register(
 )
 _register(
     "rule_untested_critical", _untested,
-    f"""{EDGES} SELECT dst AS file, count(*) AS dependents FROM fx_edges WHERE rel = 'contains'
-    AND dst NOT IN (SELECT concat('p:', p_partkey) FROM part WHERE p_size < 10) GROUP BY dst HAVING count(*) > 5""",
+    f"""{EDGES} SELECT dst AS file, count(*) AS dependents FROM fx_edges
+    WHERE dst NOT IN (SELECT concat('p:', p_partkey) FROM part WHERE p_size < 10) GROUP BY dst HAVING count(*) > 5""",
 )
 _register(
     "rule_check_all", _check_all,

@@ -178,7 +178,7 @@ SELECT CASE n_nationkey % 3 WHEN 0 THEN 's3' WHEN 1 THEN 'remote' ELSE 'local' E
        CASE WHEN n_nationkey % 4 <> 1 THEN '/cache' END AS cache,
        CAST(n_nationkey * 100 AS BIGINT) AS ttl,
        n_nationkey % 5 = 0 AS writable
-FROM nation WHERE n_nationkey <> 7
+FROM nation
 """
 FX_MOUNTED_PATHS = f"""
 SELECT concat(CASE WHEN c_custkey % 11 = 0 THEN '/other/n' ELSE '/data/n' END, {_text('c_nationkey')}, '/c', {_text('c_custkey')}) AS path

@@ -121,18 +121,22 @@ def to_backend_path(paths: DataFrame, at: str, root: str, inventory: DataFrame)
 def route_workspace(paths: DataFrame, plan: DataFrame) -> DataFrame:
     """Backing path of workspace paths by their first component; null outside every mount.
 
-    `plan` is a mount plan: (name, backing_path, at, writable, ord).
+    `plan` is a mount plan: (workspace, name, backing_path, at, writable, ord); paths are (workspace, path). A plan without
+    the column is one workspace's, and then so are the paths. Each path meets mounts of its own workspace only.
     """
     last = F.element_at(F.split(F.regexp_replace("at", "/+$", ""), "/"), -1)
+    own = ["workspace"] if "workspace" in plan.columns else []
+    if own and "workspace" not in paths.columns:
+        raise ValueError("the plan has several workspaces, so paths need the column workspace")
     owners = (
-        plan.select(last.alias("_segment"), F.struct("ord", "name", "backing_path", "writable").alias("owner"))
-        .groupBy("_segment").agg(F.min("owner").alias("owner"))
+        plan.select(*own, last.alias("_segment"), F.struct("ord", "name", "backing_path", "writable").alias("owner"))
+        .groupBy(*own, "_segment").agg(F.min("owner").alias("owner"))
     )
     clean = F.regexp_replace("path", "^/", "")
-    routed = paths.withColumn("_segment", F.element_at(F.split(clean, "/"), 1)).join(owners, "_segment", "left")
+    routed = paths.withColumn("_segment", F.element_at(F.split(clean, "/"), 1)).join(owners, [*own, "_segment"], "left")
     rest = F.when(clean.contains("/"), F.regexp_replace(clean, "(?s)^[^/]*/", ""))
     backing = F.col("owner.backing_path")
     real = F.when(rest.isNull(), backing).when(
         backing.endswith("/"), F.concat(backing, rest)
     ).otherwise(F.concat(backing, F.lit("/"), rest))
-    return routed.select("path", F.col("owner.name").alias("mount"), real.alias("real_path"), F.col("owner.writable").alias("writable"))
+    return routed.select(*own, "path", F.col("owner.name").alias("mount"), real.alias("real_path"), F.col("owner.writable").alias("writable"))

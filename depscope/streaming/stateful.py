@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from depscope.streaming.throttle import firing_times
@@ -17,24 +16,29 @@ class ThrottleProcessor(StatefulProcessor):
 
     Waiting makes the result independent of the order in which files or messages
     arrive: it equals the throttle of the same events as a table.
+
+    Held events are entries of a map by time, order and a number that tells equal ones apart. An
+    event is written once and removed once; those that go on waiting are not written again. Values stay
+    Python objects all along, so whole numbers beside nulls keep every digit.
     """
 
-    def __init__(self, keys, columns, held, window_ms, order):
-        self.keys, self.columns, self.held = keys, columns, held
+    def __init__(self, columns, place, payload, window_ms, order):
+        self.columns, self.place, self.payload = columns, place, payload
         self.window_ms, self.order = window_ms, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.LongType())]))
-        self.waiting = handle.getListState("waiting", self.held)
+        self.waiting = handle.getMapState("waiting", self.place, self.payload)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         earliest = None
-        for part in rows:
-            held = part[self.held.names]
-            self.waiting.appendList([tuple(_plain(v) for v in r) for r in held.itertuples(index=False, name=None)])
-            first = int(part["event_micros"].min())
-            earliest = first if earliest is None else min(earliest, first)
+        for row in rows:
+            micros, order, number = row["event_micros"], row[self.order], 0
+            while self.waiting.containsKey((micros, order, number)):
+                number += 1
+            self.waiting.updateValue((micros, order, number), tuple(row[n] for n in self.payload.names))
+            earliest = micros if earliest is None else min(earliest, micros)
         if earliest is not None:
             self._wake_after(earliest)
         return iter(())
@@ -42,38 +46,32 @@ class ThrottleProcessor(StatefulProcessor):
     def _wake_after(self, micros: int) -> None:
         self.handle.registerTimer((micros + 999) // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # No row up to the watermark can still arrive.
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.held.names)
-        ready = held[held["event_micros"] <= until].sort_values(["event_micros", self.order], kind="stable")
-        rest = held[held["event_micros"] > until]
-        if len(rest):
-            self.waiting.put([tuple(_plain(v) for v in r) for r in rest.itertuples(index=False, name=None)])
-            self._wake_after(int(rest["event_micros"].min()))
-        else:
-            self.waiting.clear()
-        if ready.empty:
+        places = [tuple(p) for p in self.waiting.keys()]
+        ready = sorted((p for p in places if p[0] <= until), key=lambda p: (p[0], p[1] is None, p[1] if p[1] is not None else 0, p[2]))
+        if len(ready) < len(places):
+            self._wake_after(min(p[0] for p in places if p[0] > until))
+        if not ready:
             return
+        held = {p: dict(zip(self.payload.names, self.waiting.getValue(p), strict=True)) for p in ready}
+        for p in ready:
+            self.waiting.removeKey(p)
         last = self.last.get()[0] if self.last.exists() else None
-        window = int(ready[self.window_ms].iat[0]) if isinstance(self.window_ms, str) else self.window_ms
-        times = ready["event_micros"].to_numpy(dtype=np.int64)
-        fired, last = firing_times(times, last, window * 1000) if window > 0 else (list(range(len(times))), None)
+        window = int(held[ready[0]][self.window_ms]) if isinstance(self.window_ms, str) else self.window_ms
+        times = np.array([p[0] for p in ready], dtype=np.int64)
+        fired, last = firing_times(times, last, window * 1000) if window > 0 else (range(len(ready)), None)
         if last is not None:
             self.last.update((last,))
-        out = ready.iloc[fired].copy()
-        for name, value in zip(self.keys, key):
-            out[name] = value
-        yield out[self.columns]
+        for i in fired:
+            place = ready[i]
+            yield Row(**dict(zip(self.columns, (*key, place[0], *(held[place][n] for n in self.payload.names)), strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    return value.item() if isinstance(value, np.generic) else value
-
-
 def throttle_stream(
     events: DataFrame, keys: Sequence[str], window_ms: int | str, watermark: str, order: str = "event_id", ts: str = "ts"
 ) -> DataFrame:
@@ -86,13 +84,12 @@ def throttle_stream(
     # The worker hands rows over as named tuples, which cannot have names that start with `_`.
     timed = events.withWatermark(ts, watermark).withColumn("event_micros", F.unix_micros(ts))
     payload = [n for n in events.columns if n not in keys and n != ts]
-    held = T.StructType([T.StructField("event_micros", T.LongType())] + [T.StructField(n, events.schema[n].dataType) for n in payload])
-    columns = [*keys, "event_micros", *payload]
-    out = T.StructType(
-        [T.StructField(n, events.schema[n].dataType) for n in keys] + list(held.fields)
-    )
-    fired = timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ThrottleProcessor(list(keys), columns, held, window_ms, order),
+    held = T.StructType([T.StructField(n, events.schema[n].dataType) for n in payload])
+    micros = T.StructField("event_micros", T.LongType())
+    place = T.StructType([micros, T.StructField("at", events.schema[order].dataType), T.StructField("number", T.LongType())])
+    out = T.StructType([T.StructField(n, events.schema[n].dataType) for n in keys] + [micros, *held.fields])
+    fired = timed.groupBy(*keys).transformWithState(
+        statefulProcessor=ThrottleProcessor(out.names, place, held, window_ms, order),
         outputStructType=out, outputMode="Append", timeMode="EventTime",
     )
     return fired.withColumn(ts, F.timestamp_micros("event_micros")).select(*events.columns)

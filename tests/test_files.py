@@ -324,3 +324,15 @@ def test_only_names_that_are_gone_are_left_out(spark, tmp_path, monkeypatch):
     listed = source.list_files(spark, root, "discover", skipped).localCheckpoint()
     (tmp_path / "sub" / "a.py").unlink()
     assert source.read_contents(listed, root, skipped=skipped).count() == 0 and skipped.value == 1
+
+
+def test_workspaces_do_not_take_each_others_mounts(spark, rows):
+    plan = spark.createDataFrame(
+        [("w1", "r", "/trees/r", "/mnt/m1", True, 1), ("w2", "b", "/mnt/b/", "/mnt/m1/", False, 1), ("w2", "c", "/mnt/c", "/x/m1", False, 2)],
+        "workspace string, name string, backing_path string, at string, writable boolean, ord int")
+    paths = spark.createDataFrame([("w1", "/m1/a"), ("w2", "/m1/a"), ("w3", "/m1/a"), ("w2", "m1")], "workspace string, path string")
+    assert rows(resolve.route_workspace(paths, plan)) == sorted([
+        ("w1", "/m1/a", "r", "/trees/r/a", True), ("w2", "/m1/a", "b", "/mnt/b/a", False), ("w2", "m1", "b", "/mnt/b/", False), ("w3", "/m1/a", None, None, None)], key=repr)
+    with pytest.raises(ValueError, match="workspace"):
+        resolve.route_workspace(paths.drop("workspace"), plan)
+    assert rows(resolve.route_workspace(paths.drop("workspace").limit(1), plan.where("workspace = 'w1'").drop("workspace"))) == [("/m1/a", "r", "/trees/r/a", True)]

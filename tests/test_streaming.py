@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -110,6 +111,21 @@ def test_stream_throttle_equals_table(spark, tmp_path):
     assert got == _brute(data, 700)
 
 
+def test_stream_keeps_every_digit_beside_nulls(spark, tmp_path):
+    schema = "path string, event_id long, ts timestamp, n long, small int, flag boolean, name string, size decimal(20, 2), day date, x double, raw binary, tags array<long>, at timestamp"
+    big, at = 2**53 + 1, lambda k: START + timedelta(seconds=k)
+    full = lambda i: (big + i, i, bool(i % 2), f"n{i}", Decimal(f"123456789012345678.{i:02d}"), START.date(), 0.1, b"\x00\xff", [big, None], at(i))
+    none = (None,) * 10
+    rows = [("k", big + i, at(10 * i), *(none if i % 3 == 1 else full(i))) for i in range(9)]
+    late = [("end", 0, START + timedelta(days=2), *none)]
+    for i, chunk in enumerate((rows[:4], rows[4:], late)):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"d{i}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = _run(stateful.throttle_stream(source, ["path"], 1, "1 hour"), tmp_path).where("path = 'k'").collect()
+    expected = spark.createDataFrame(rows, schema).collect()
+    assert sorted(got, key=lambda r: r.event_id) == expected
+
+
 def test_stream_debounce_equals_table(spark, tmp_path):
     # Includes a quiet time of exactly the gap.
     data = _random_events(4, 120, 200_000) + [(900, "edge", "write", START), (901, "edge", "write", START + timedelta(milliseconds=2500))]
