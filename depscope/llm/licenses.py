@@ -1,7 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-Every line of a text that has a licence word is compared with the templates, and so is the whole
-text of a file whose name says that it is a licence. Weights are log((1 + N) / (1 + df)) with the
+A text is cut into paragraphs at lines without words, such as empty ones or a lone comment mark. A paragraph that has
+a licence word is compared with the templates in three forms, without comment marks: all of it, its comment
+lines only, and each line with a licence word; so headers may be wrapped, and stand beside code. The whole
+text of a file whose name says that it is a licence is compared too, whatever its length. An SPDX line names its licence itself. Weights are log((1 + N) / (1 + df)) with the
 document frequency df of each template term over all files; terms outside the templates weigh as
 unseen ones, so that running text around a notice lowers its cosine. A file takes its best template
 if the cosine reaches the threshold.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,6 +62,11 @@ TEMPLATES = {
 ANCHORS = ("licen", "copyright", "permission", "redistribution", "public domain", "warrant")
 LICENSE_NAME = r"^(licen[cs]e|copying|notice|unlicense)([.\-].*)?$"
 NOT_TERM = "[^a-z0-9]+"
+# Patterns of both engines: what parts paragraphs, lines of comments, and SPDX lines.
+PARAGRAPH = r"\n[\s/*#;%!<>-]*\n"
+COMMENT = r"^\s*(//|/\*|\*|#|--|;|%|<!--|dnl\b|rem\b|REM\b)"
+OPENING = r"^\s*([^\n]*)"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)"
 THRESHOLD = 0.7
 
 
@@ -102,15 +110,31 @@ def weight_table(spark, total: int, frequencies: DataFrame) -> DataFrame:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(file, unit, text): licence lines, and whole texts of licence files as unit -1."""
+    """(file, unit, text): paragraphs with a licence word, their comment lines and their licence lines; whole texts of licence files."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("unit"), x.alias("text")))
     anchored = lambda x: _any_of([F.contains(F.lower(x), F.lit(a)) for a in ANCHORS])
-    chosen = F.filter(lines, lambda u: anchored(u["text"]))
-    whole = F.array(F.struct(F.lit(-1).alias("unit"), text.alias("text")))
-    listed = F.when(is_license_name(F.col("path")), F.concat(chosen, whole)).otherwise(chosen)
-    # The cheap test of the whole text spares most texts the split into lines.
-    return files.where(anchored(text) | is_license_name(F.col("path"))).select("file", F.explode(listed).alias("u")).select("file", "u.unit", "u.text")
+    listed = lambda found: F.transform(found, lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+    # The cheap test of the whole text spares most texts the split into paragraphs.
+    parts = files.where(anchored(text)).select("file", F.filter(F.split(text, PARAGRAPH), anchored).alias("parts"))
+    parts = parts.select("file", F.posexplode("parts").alias("part", "text"))
+    lines = F.split("text", "\n")
+    comments = F.filter(lines, lambda x: x.rlike(COMMENT))
+    # Marks at line ends would part words from their line's; terms ignore the rest of them.
+    forms = F.concat(
+        F.array(F.col("text")),
+        F.when((F.size(comments) > 0) & (F.size(comments) < F.size(lines)), F.array(F.array_join(comments, "\n"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(lines) > 1, F.filter(lines, anchored)).otherwise(F.array().cast("array<string>")))
+    cut = parts.select("file", "part", F.explode(listed(forms)).alias("u")).where(anchored(F.col("u.text")))
+    whole = files.where(is_license_name(F.col("path"))).select("file", F.struct(F.lit(-1).alias("part"), F.lit(0).alias("at")).alias("unit"), text.alias("text"))
+    return cut.select("file", F.struct("part", F.col("u.at").alias("at")).alias("unit"), "u.text").union(whole)
+
+
+def spdx_names(files: DataFrame) -> DataFrame:
+    """(file, license) of files with an SPDX line that names a licence of the templates; the first such line counts."""
+    # `-only`, `-or-later` and `+` say which versions; the templates do not tell them apart.
+    told = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+)$", "")
+    known = F.create_map(*[F.lit(x) for name in TEMPLATES for x in (name.lower(), name)])
+    return files.where(F.contains(F.lower("text"), F.lit("spdx-license"))).select("file", known[F.lower(told)].alias("license")).where("license IS NOT NULL")
 
 
 def _any_of(conditions: list[Column]) -> Column:
@@ -147,7 +171,8 @@ def best_templates(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sums = met.groupBy("file", "unit").agg(F.sum(tfidf * tfidf).alias("norm2"), *dots)
     cosine = lambda i: F.round(F.when(F.col("norm2") > 0, F.col(f"d{i}") / F.sqrt("norm2")).otherwise(0.0), 6)
     scores = F.array(*[F.struct((-cosine(i)).alias("less"), F.lit(name).alias("license")) for i, name in enumerate(names)])
-    best = sums.select("file", F.array_min(scores).alias("best")).groupBy("file").agg(F.min("best").alias("best"))
+    named = spdx_names(files).select("file", F.struct(F.lit(-1.0).alias("less"), "license").alias("best"))
+    best = sums.select("file", F.array_min(scores).alias("best")).union(named).groupBy("file").agg(F.min("best").alias("best"))
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.less")).alias("score")).where(F.col("score") >= threshold)
 
 
@@ -165,34 +190,33 @@ def inherit(scanned: DataFrame) -> DataFrame:
         *scanned.columns, F.coalesce("license", "near.found").alias("effective"), F.when(~own, F.col("near.above")).alias("inherited_from"))
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score, effective, inherited_from) of files (path, text), one row each."""
-    keyed = files.select("path", "text", F.struct("path", F.xxhash64("text").alias("hash")).alias("file"))
-    found = best_templates(keyed, threshold).withColumnRenamed("file", "of")
-    rows = keyed.select("path", "file").join(found, F.col("file").eqNullSafe(F.col("of")), "left").select("path", "license", "score")
+def scan(files: DataFrame, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., path, license, score, effective, inherited_from) of files (path, text), one row each."""
+    keyed = files.select(*keep, "path", "text", F.struct("path", F.xxhash64("text").alias("hash")).alias("file"))
+    # Rows with equal path and text are one file.
+    found = best_templates(keyed.select("path", "text", "file"), threshold).withColumnRenamed("file", "of")
+    rows = keyed.select(*keep, "path", "file").join(found, F.col("file").eqNullSafe(F.col("of")), "left").select(*keep, "path", "license", "score")
     return inherit(materialize(rows, "licenses"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents as files of their source and language, short notices as licence files.
+    """(doc_id, path, text): documents as files of their source and language; texts that open with a licence line are licence files.
 
-    A short text with a licence line is the LICENSE of its folder, or of its language if its number is even.
+    Such a text is the LICENSE of its folder, or of its language if its number is even. A null number is `none`.
     """
-    text = F.coalesce("text", F.lit(""))
-    notice = (F.length(text) <= 400) & F.contains(F.lower(text), F.lit("licen"))
-    folder = F.concat(F.lit("part-"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    opening = F.regexp_extract(F.coalesce("text", F.lit("")), OPENING, 1)
+    notice = F.contains(F.lower(opening), F.lit("licen"))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    folder = F.concat(F.lit("part-"), F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none")))
     top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
-    at = F.when(notice & (F.col("doc_id") % 2 == 0), top).otherwise(F.concat_ws("/", top, folder))
-    name = F.when(notice, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    at = F.when(notice & F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)), top).otherwise(F.concat_ws("/", top, folder))
+    name = F.when(notice, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
     return docs.select("doc_id", F.concat_ws("/", at, name).alias("path"), "text")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     """All documents with their own licence, and the one that holds for them."""
-    files = document_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    doc = F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1)
-    return scan(files.select("path", "text")).select(
-        F.when(doc != "", doc.cast("long")).alias("doc_id"), "path", "license", "score", "effective", "inherited_from")
+    return scan(document_paths(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=["doc_id"])
 
 
 def _values(rows: list[tuple]) -> str:
@@ -200,16 +224,17 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
+_ANCHORED = " OR ".join(f"contains(lower({{0}}), '{a}')" for a in ANCHORS)
 ORACLE = f"""
 WITH templates(license, no, body) AS (VALUES {_values([(k, i, t) for k, v in TEMPLATES.items() for i, t in enumerate(v)])}),
 template_terms AS (
   SELECT license, no, term, count(*) AS n
   FROM (SELECT license, no, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS term FROM templates) WHERE term <> '' GROUP BY ALL
 ), files AS (
-  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) <= 400 AND contains(lower(coalesce(text, '')), 'licen') AS notice,
+  SELECT doc_id, coalesce(text, '') AS text, contains(lower(regexp_extract(coalesce(text, ''), '{OPENING}', 1)), 'licen') AS notice,
     coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS top FROM documents
 ), placed AS (
-  SELECT doc_id, text, notice, CASE WHEN notice AND doc_id % 2 = 0 THEN top ELSE top || '/part-' || (doc_id // 1000) END AS dir,
+  SELECT doc_id, text, notice, CASE WHEN notice AND doc_id % 2 = 0 THEN top ELSE top || '/part-' || CAST(floor(doc_id / 1000) AS BIGINT) END AS dir,
     CASE WHEN notice THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM files
 ), total AS (SELECT count(*) AS n FROM documents),
 df AS (
@@ -219,11 +244,21 @@ df AS (
   SELECT term, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df, 0))) AS idf FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN df USING (term)
 ), weights AS (
   SELECT license, no, term, n * idf AS w, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY license, no)) AS norm FROM template_terms JOIN idf USING (term)
-), lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM placed
+), parts AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) AS body, generate_subscripts(regexp_split_to_array(text, '{PARAGRAPH}'), 1) AS part FROM placed
+), anchored AS (
+  SELECT doc_id, part, body, string_split(body, chr(10)) AS lines, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{COMMENT}')) AS comments
+  FROM parts WHERE {_ANCHORED.format("body")}
 ), units AS (
-  SELECT doc_id, unit, body FROM lines WHERE {" OR ".join(f"contains(lower(body), '{a}')" for a in ANCHORS)}
-  UNION ALL SELECT doc_id, -1, text FROM placed WHERE notice
+  SELECT doc_id, concat(part, '-a') AS unit, body FROM anchored
+  UNION ALL SELECT doc_id, concat(part, '-c'), array_to_string(comments, chr(10)) FROM anchored
+    WHERE len(comments) BETWEEN 1 AND len(lines) - 1 AND ({_ANCHORED.format("array_to_string(comments, chr(10))")})
+  UNION ALL SELECT doc_id, concat(part, '-', i), line FROM (
+    SELECT doc_id, part, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM anchored WHERE len(lines) > 1) WHERE {_ANCHORED.format("line")}
+  UNION ALL SELECT doc_id, 'whole', text FROM placed WHERE notice
+), spdx AS (
+  SELECT doc_id, license FROM (SELECT doc_id, lower(regexp_replace(regexp_extract(text, '{SPDX}', 1), '(-only|-or-later|\\+)$', '')) AS told FROM placed) s
+  JOIN (SELECT DISTINCT license FROM templates) t ON lower(t.license) = told
 ), unit_terms AS (
   SELECT doc_id, unit, term, count(*) AS n
   FROM (SELECT doc_id, unit, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS term FROM units) WHERE term <> '' GROUP BY ALL
@@ -234,7 +269,7 @@ cosines AS (
   SELECT doc_id, unit, license, no, round(sum(a.w * b.w / b.norm) / any_value(c.norm), 6) AS score
   FROM weighed a JOIN weights b USING (term) JOIN norms c USING (doc_id, unit) GROUP BY ALL
 ), own AS (
-  SELECT doc_id, license, score FROM cosines WHERE score >= {THRESHOLD}
+  SELECT doc_id, license, score FROM (SELECT doc_id, license, score FROM cosines UNION ALL SELECT doc_id, license, 1.0 FROM spdx) WHERE score >= {THRESHOLD}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
 ), scanned AS (SELECT doc_id, dir, dir || '/' || name AS path, notice, license, score FROM placed LEFT JOIN own USING (doc_id)),
 owned AS (
