@@ -7,7 +7,8 @@ their references are recorded beside the string. All of it is DataFrame function
 The template of one turn is TURN role TEXT body END. Roles and bodies are escaped so that no
 control string can occur inside them: the escape character is doubled, and an escape pair goes
 behind the first character of every control string. Reading replaces both in one pass, so the
-escape can always be undone.
+escape can always be undone. A mark that stands unescaped was therefore written by the template: reading back tells a
+placeholder from a text that spells one, and gives typed parts. The loss mask has a span per trained text part, so placeholders are never trained on.
 
 Defined results: null text is empty; null roles are empty; null types are text; unknown types
 give a placeholder of one token; turns that share a number are ordered by role, then body; a null
@@ -72,16 +73,24 @@ def _visit(part: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, conv: str, turn: str, role: str, parts: str) -> DataFrame:
-    """(conv, turn, role, body, attachments): every turn by itself, where it lies."""
+    """(conv, turn, role, body, spans, attachments): every turn by itself, where it lies; `spans` are its text parts in the body."""
     listed = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
     attachments = F.filter(
         F.transform(listed, lambda p, i: F.struct(
             i.alias("part"), p["type"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))),
         lambda a: F.coalesce(a["kind"], F.lit("text")) != "text",
     )
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    walk = F.aggregate(
+        F.transform(listed, lambda p: F.struct(F.length(_visit(p)).alias("length"), _is_text(p).alias("text"))),
+        F.struct(F.lit(0).alias("at"), none.alias("spans")),
+        lambda seen, p: F.struct(
+            (seen["at"] + p["length"]).alias("at"),
+            F.when(p["text"] & (p["length"] > 0), F.concat(seen["spans"], F.array(F.struct(seen["at"].alias("start"), p["length"].alias("length")))))
+            .otherwise(seen["spans"]).alias("spans")))
     return turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.array_join(F.transform(listed, _visit), "").alias("body"), attachments.alias("attachments"),
+        F.array_join(F.transform(listed, _visit), "").alias("body"), walk["spans"].alias("spans"), attachments.alias("attachments"),
     )
 
 
@@ -89,21 +98,18 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
                          trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv, n_turns, formatted, loss, attachments.
 
-    `loss` lists (turn, start, length) in code points: the turn's number from 0, where the trained
-    text begins behind that turn's mark, and its length. Attachments carry their turn and part.
+    `loss` lists (turn, start, length) in code points, a row per trained text part that is not empty: the turn's number from 0, where
+    the text begins behind that turn's mark, and its length. Attachments carry their turn and part.
     """
     done = format_turns(turns, conv, turn, role, parts)
-    kept = F.struct("turn", "role", "body", "attachments")
+    kept = F.struct("turn", "role", "body", "spans", "attachments")
     gathered = done.groupBy("conv").agg(F.array_sort(F.collect_list(kept)).alias("turns"))
     marked = F.transform(
         "turns", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT), t["body"], F.lit(END))
     )
-    spans = F.filter(
-        F.transform("turns", lambda t, i: F.struct(
-            i.alias("turn"), (F.length(escape(t["role"])) + len(TEXT)).alias("start"),
-            F.when(t["role"].isin(*trained), F.length(t["body"])).alias("length"))),
-        lambda s: s["length"].isNotNull(),
-    )
+    spans = F.flatten(F.transform("turns", lambda t, i: F.transform(
+        F.filter(t["spans"], lambda _: t["role"].isin(*trained)), lambda s: F.struct(
+            i.alias("turn"), (F.length(escape(t["role"])) + len(TEXT) + s["start"]).alias("start"), s["length"].alias("length")))))
     attached = F.flatten(F.transform("turns", lambda t, i: F.transform(
         t["attachments"], lambda a: F.struct(i.alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return gathered.select(
@@ -121,6 +127,30 @@ def read_back(formatted: Column) -> Column:
     ))
 
 
+def read_parts(formatted: Column) -> Column:
+    """The turns of a formatted string: array of (role, parts), with parts (type, text, tokens) in order.
+
+    Text parts that stood side by side come back as one, and empty ones not at all.
+    """
+    turns = F.slice(F.split(formatted, re.escape(TURN)), 2, 1 << 30)
+    null = lambda kind: F.lit(None).cast(kind)
+    words = lambda x: F.struct(F.lit("text").alias("type"), unescape(x).alias("text"), null("int").alias("tokens"))
+    held = lambda x: F.struct(
+        unescape(F.regexp_extract(x, r"(?s)^(.*)\|(\d+)$", 1)).alias("type"), null("string").alias("text"), F.regexp_extract(x, r"(?s)^(.*)\|(\d+)$", 2).cast("int").alias("tokens"))
+
+    def parts(body):
+        # Each piece behind an opening mark is an attachment, a closing mark, and text.
+        pieces = F.split(body, re.escape(ATTACH))
+        first = F.array(words(F.get(pieces, F.lit(0))))
+        rest = F.transform(F.slice(pieces, 2, 1 << 30), lambda x: F.array(
+            held(F.substring_index(x, CLOSE, 1)), words(F.substring_index(x, CLOSE, -1))))
+        return F.filter(F.concat(first, F.flatten(rest)), lambda p: ~(F.coalesce(p["text"], F.lit("x")) == ""))
+
+    return F.transform(turns, lambda p: F.struct(
+        unescape(F.substring_index(p, TEXT, 1)).alias("role"),
+        parts(F.substring_index(F.substring_index(p, TEXT, -1), END, 1)).alias("parts")))
+
+
 def under_loss(formatted: Column, loss: Column) -> Column:
     """All text under the mask, unescaped, in order."""
     pieces = F.split(formatted, re.escape(TURN))

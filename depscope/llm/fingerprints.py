@@ -45,7 +45,7 @@ def simhash(terms: DataFrame, keys: list[str], term: str, weight: Column) -> Dat
 
 
 def fingerprint_texts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, fingerprint) of whole texts; texts without words have 0. Rows with equal keys must have equal texts."""
+    """(keys, fingerprint) of whole texts; texts without words have 0. Keys tell rows apart."""
     word = fresh(texts, "_word")[0]
     # A row without words keeps one empty term of weight 0.
     words = F.concat(F.array_distinct(words_of(F.col(text))), F.array(F.lit("")))
@@ -124,7 +124,8 @@ def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = materialize(docs.select("key", "doc_id", F.length("text").cast("long").alias("n_chars")), "documents")
     order = followers(rows, ["doc_id", "key"], "key")
     order = materialize(order.join(rows.select("key", "n_chars").distinct(), "key"), "order")
-    edited = edit_from_next(docs.select("key", "text"), order)
+    # One row per document and text: copies of a row would add up their weights.
+    edited = edit_from_next(docs.select("key", "text"), order).dropDuplicates(["key"])
     kinds = F.array(
         F.struct(F.lit(False).alias("edited"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")),
         F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))

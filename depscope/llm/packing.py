@@ -17,21 +17,10 @@ table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from depscope.llm.common import fresh, ranked, words_of
 
-PRECISION = 7
-
-
-def cell_of(length: Column, precision: int = PRECISION) -> Column:
-    """The smallest length of the cell that holds this length: for coarse counts, where boundaries need not be exact."""
-    bits = F.length(F.bin(F.greatest(length, F.lit(1)).cast("long")))
-    drop = F.greatest(bits - precision, F.lit(0)).cast("int")
-    shifted = F.call_function("shiftright", length.cast("long"), drop)
-    return F.call_function("shiftleft", shifted, drop)
-
-
 def best_bounds(counts: list[int], sums: list[int], largest: list[int], buckets: int) -> list[int]:
     """Bucket ends (largest lengths, ascending) with the least padding, at most `buckets` of them.
 
@@ -81,10 +70,14 @@ def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int, int]]:
 
 
 def pack(docs: DataFrame, length: str, order: list[str], buckets: int = 8, budget: int = 16384) -> DataFrame:
-    """Add bucket, bucket_length, batch, place and padding to rows with a length.
+    """Add bucket, bucket_length, batch, place and padding to rows with a length, in place of columns of these names.
 
     `batch` counts from 0 in each bucket. `order` decides who shares a batch, after the length.
     """
+    made = ("bucket", "bucket_length", "batch", "place", "padding")
+    if taken := {length.lower(), *(o.lower() for o in order)} & set(made):
+        raise ValueError(f"the length and the order cannot be among the columns made here: {sorted(taken)}")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     cells = histogram(docs, length)
     bounds = best_bounds([c[0] for c in cells], [c[1] for c in cells], [c[2] for c in cells], buckets)
     bucket, wide, rank = fresh(docs, "bucket", "bucket_length", "_rank")

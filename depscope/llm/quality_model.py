@@ -6,9 +6,9 @@ labeller and class, how it votes (with a prior that it is better than chance), a
 that a text with a given pattern is good. Bad texts are several classes, one per kind, because a
 labeller of symbols says nothing of stutter. These posterior labels train a linear scorer on hashed
 class n-grams of the bytes and on word repetition. It is fitted on a uniform sample of documents,
-TRAIN_ROWS as expected (all, if there are fewer): their features are dealt evenly over TRAIN_TASKS
-tasks, whatever the order of the table, and the tasks' weights are averaged. The scorer then judges
-every text, by its whole length.
+TRAIN_ROWS as expected (all, if there are fewer), drawn and dealt over TRAIN_TASKS tasks by a hash of the row, so that neither
+the order of the table nor its partitions matter; rows of equal number and text count once there. The tasks' weights are averaged. The
+scorer then judges every text, by its whole length.
 
 Driver data: one count per vote pattern that occurs (at most 3 ** 10, whatever the input) and one
 weight vector per training task.
@@ -204,20 +204,20 @@ def train(docs: DataFrame, text: str, share: float, shares: np.ndarray, tables:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column(0):
+            for hashed, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row = feature_row(value.as_py())
                 if row is not None:
                     at = np.nonzero(row)[0]
                     v = np.array([list(votes(value.as_py()))])
-                    rows.append((at.astype(np.int32).tobytes(), row[at].tobytes(), float(chance_good(v, shares, tables)[0])))
-            at, value, y = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary()), pa.array(y, pa.float64())], names=["at", "value", "y"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A bounded number of rows: a task's part of the sample.
-        rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), y.as_py()) for b in batches for a, v, y in zip(*b.columns, strict=True)]
-        if not rows:
-            return
+                    rows.append((hashed, at.astype(np.int32).tobytes(), row[at].tobytes(), float(chance_good(v, shares, tables)[0])))
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["hashed", "at", "value", "y"])
+
+    def learn(t: pa.Table) -> pa.Table:
+        # A bounded number of rows, a task's part of the sample, in an order of its own.
+        t = t.sort_by("hashed")
+        rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), y.as_py()) for a, v, y in zip(t["at"], t["value"], t["y"], strict=True)]
         w, grad2, order = np.zeros(size, np.float32), np.full(size, 1e-6, np.float32), np.random.default_rng(SEED)
         for _ in range(max(PASSES, -(-STEPS * BATCH // max(len(rows), BATCH)))):
             mixed = order.permutation(len(rows))
@@ -230,11 +230,15 @@ def train(docs: DataFrame, text: str, share: float, shares: np.ndarray, tables:
                 g = x.T @ (p - y) / np.float32(len(chosen)) + np.float32(DECAY) * w
                 grad2 += g * g
                 w -= np.float32(RATE) * g / np.sqrt(grad2)
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary())], names=["n", "w"])
-
-    sample = docs.select(text) if share >= 1 else docs.where(F.rand(SEED) < share).select(text)
-    described = materialize(sample.mapInArrow(describe, "at binary, value binary, y double"), "sample")
-    parts = described.repartition(TRAIN_TASKS).mapInArrow(learn, "n long, w binary").collect()
+        return pa.table({"n": pa.array([len(rows)], pa.int64()), "w": pa.array([w.astype(np.float64).tobytes()], pa.binary())})
+
+    named = [c for c in docs.columns if c in ("doc_id", text)]
+    hashed = docs.select(F.xxhash64(F.lit(SEED), *named).alias("hashed"), text)
+    drawn = hashed.where(F.shiftrightunsigned("hashed", 32) < int(min(share, 1.0) * (1 << 32)))
+    described = drawn.mapInArrow(describe, "hashed long, at binary, value binary, y double")
+    described = materialize(described.dropDuplicates(["hashed"]), "sample")
+    dealt = described.groupBy(F.pmod("hashed", F.lit(TRAIN_TASKS)).alias("task"))
+    parts = sorted(dealt.applyInArrow(learn, "n long, w binary").collect(), key=lambda r: (r["n"], bytes(r["w"])))
     n = sum(r["n"] for r in parts)
     return sum((r["n"] * np.frombuffer(r["w"], dtype=np.float64) for r in parts), np.zeros(size)) / max(n, 1)
 

@@ -3,9 +3,13 @@
 Each text is reduced to counts by DataFrame functions in one pass, without a shuffle. The learner
 works on the counts of labelled texts only. It grows one rule at a time: the condition with the
 best information gain joins the conjunction until no good text is covered or nothing is gained.
-It then prunes the rule on texts held out for that, keeps it if it is still right there, takes the
+Edges are then set anew, each with the other conditions given.
+It prunes the rule on texts held out for that, keeps it if it is still right there, takes the
 texts it covers away and goes on. Every step is one Spark aggregate that returns a count per
-(statistic, interval, label), a table bounded by the fixed edges below. All labelled rows count.
+(statistic, interval, label), a table bounded by the edges. All labelled rows count. Edges come from the labelled
+statistics themselves: quantiles of good and of bad texts first, then ever finer ones around the best, until no value lies between.
+The threshold is the roundest number between the two values it parts. Neither rules nor their conditions are limited in number; a
+rule that fails on the held-out texts ends the list.
 
 The result is an ordered list of threshold conjunctions that reject, with "keep" at its end, and
 becomes one conditional expression.
@@ -31,9 +35,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
 
-# Edges of the intervals that conditions may use: about four per doubling, finer than any label needs.
-EDGES = (1, 2, 3, 5, 8, 12, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900, 1000, 1500, 2000, 3000, 5000, 10000)
-MAX_RULES, MAX_CONDITIONS = 8, 3
+# Quantiles of each kind of text that edges are taken from.
+QUANTILES = 32
 MIN_COVERED, MIN_PRECISION = 3, 0.9
 
 
@@ -139,16 +142,76 @@ def _entropy_gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _best(counts: dict[tuple[str, int], list[int]], names: Sequence[str]) -> tuple[float, Condition | None, int, int]:
+def edges_of(labelled: DataFrame, names: Sequence[str], bad: str) -> dict[str, list[int]]:
+    """Ascending edges of every statistic: QUANTILES of either kind of text."""
+    at = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    found: dict[str, set[int]] = {name: set() for name in names}
+    # Two rows.
+    for row in labelled.groupBy(bad).agg(*[F.percentile_approx(name, at, 10_000).alias(name) for name in names]).collect():
+        for name in names:
+            found[name] |= set(row[name] or ())
+    return {name: sorted(values) for name, values in found.items()}
+
+
+def _counted(rows: DataFrame, edges: dict[str, list[int]], bad: str) -> dict[tuple[str, int], list[int]]:
+    """Counts of (good, bad) by statistic and interval."""
+    interval = lambda n: F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges[n]]), lambda e: e <= F.col(n)))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), interval(n).alias("at")) for n in edges])
+    counts: dict[tuple[str, int], list[int]] = {}
+    for row in rows.select(bad, F.explode(listed).alias("x")).groupBy("x.name", "x.at", bad).count().collect():
+        counts.setdefault((row["name"], row["at"]), [0, 0])[row[bad]] = row["count"]
+    return counts
+
+
+def roundest(below: int, above: int) -> int:
+    """The roundest whole number of (below, above], nearest to their middle."""
+    step = 10 ** len(str(max(abs(below), abs(above), 1)))
+    while step > 1:
+        for size in (step, step // 2):
+            first, last = (below // size + 1) * size, above // size * size
+            if first <= last:
+                middle = (below + above) / 2
+                return min(max(round(middle / size) * size, first), last)
+        step //= 10
+    return min(max(-(-(below + above) // 2), below + 1), above)
+
+
+def _refined(rows: DataFrame, condition: Condition, edges: list[int], bad: str) -> Condition:
+    """The condition with its best edge among all values near the given one, moved to the roundest number that parts the rows alike."""
+    name, column, known = condition.feature, F.col(condition.feature), list(edges)
+    while True:
+        at = known.index(condition.edge)
+        low, high = known[at - 1] if at else None, known[at + 1] if at + 1 < len(known) else None
+        inside = rows.select(name)
+        inside = inside.where(column > low) if low is not None else inside
+        inside = inside.where(column < high) if high is not None else inside
+        values = [r[0] for r in inside.distinct().limit(2 * QUANTILES + 1).collect()]
+        whole = len(values) <= 2 * QUANTILES
+        if not whole:
+            steps = F.array(*[F.lit(i / (2 * QUANTILES)) for i in range(2 * QUANTILES + 1)])
+            values = inside.agg(F.percentile_approx(name, steps, 10_000)).first()[0]
+        known = sorted({*values, *(v for v in (low, condition.edge, high) if v is not None)})
+        found = _best(_counted(rows, {name: known}, bad), {name: known})[1]
+        settled = whole or found is None or (found.edge == condition.edge and set(values) <= {condition.edge, *edges})
+        condition, edges = found or condition, known
+        if settled:
+            break
+    near = rows.agg(F.max(F.when(column < condition.edge, column)), F.min(F.when(column >= condition.edge, column))).first()
+    if near[0] is None or near[1] is None:
+        return condition
+    return Condition(name, condition.least, roundest(near[0], near[1]))
+
+
+def _best(counts: dict[tuple[str, int], list[int]], edges: dict[str, list[int]]) -> tuple[float, Condition | None, int, int]:
     """The condition with most gain from counts of (good, bad) by statistic and interval; ties: the first."""
     found: tuple[float, Condition | None, int, int] = (1e-9, None, 0, 0)
-    for name in names:
-        cells = [counts.get((name, i), [0, 0]) for i in range(len(EDGES) + 1)]
+    for name, own in edges.items():
+        cells = [counts.get((name, i), [0, 0]) for i in range(len(own) + 1)]
         n0, p0 = (sum(c[k] for c in cells) for k in (0, 1))
         if not p0:
             continue
         n_low = p_low = 0
-        for i, edge in enumerate(EDGES):
+        for i, edge in enumerate(own):
             n_low, p_low = n_low + cells[i][0], p_low + cells[i][1]
             for least, n, p in ((True, n0 - n_low, p0 - p_low), (False, n_low, p_low)):
                 gain = _entropy_gain(p, n, p0, n0)
@@ -160,27 +223,28 @@ def _best(counts: dict[tuple[str, int], list[int]], names: Sequence[str]) -> tup
 def learn(labelled: DataFrame, names: Sequence[str], bad: str, held_out: str) -> DecisionList:
     """Rules for rows where `bad` is 1. Columns: the named statistics, bad (0 or 1), held_out (boolean)."""
     values = {name: F.col(name) for name in names}
-    interval = lambda c: sum(((c >= e).cast("int") for e in EDGES), F.lit(0))
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), interval(F.col(n)).alias("at")) for n in names])
+    edges = edges_of(labelled, names, bad)
     rules: list[tuple[Condition, ...]] = []
-    while len(rules) < MAX_RULES:
+    while True:
         left = labelled
         for rule in rules:
             left = left.where(~all_of(rule, values))
         rule: list[Condition] = []
-        while len(rule) < MAX_CONDITIONS:
-            rows = left.where(~F.col(held_out)).where(all_of(rule, values)).select(bad, F.explode(listed).alias("x"))
-            counts: dict[tuple[str, int], list[int]] = {}
-            for row in rows.groupBy("x.name", "x.at", bad).count().collect():
-                counts.setdefault((row["name"], row["at"]), [0, 0])[row[bad]] = row["count"]
-            _, condition, wrong, right = _best(counts, names)
+        while True:
+            rows = left.where(~F.col(held_out)).where(all_of(rule, values)).select(bad, *names)
+            _, condition, _, right = _best(_counted(rows, edges, bad), edges)
             if condition is None or right < MIN_COVERED:
                 break
+            condition = _refined(rows, condition, edges[condition.feature], bad)
             rule.append(condition)
-            if not wrong:
+            if not rows.where(condition.column(values)).where(F.col(bad) == 0).limit(1).count():
                 break
         if not rule:
             break
+        # An edge that was best before the others joined need not be now.
+        for k, condition in enumerate(rule if len(rule) > 1 else ()):
+            rows = left.where(~F.col(held_out)).where(all_of([c for i, c in enumerate(rule) if i != k], values)).select(bad, *names)
+            rule[k] = _refined(rows, condition, sorted({*edges[condition.feature], condition.edge}), bad)
         tried = [rule[: k + 1] for k in range(len(rule))]
         sums = [F.sum(F.when(all_of(r, values) & (F.col(bad) == y), 1).otherwise(0)) for r in tried for y in (1, 0)]
         got = [x or 0 for x in left.where(held_out).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]

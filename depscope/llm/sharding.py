@@ -145,10 +145,19 @@ def propagate(links: DataFrame, caps: list[int], rounds: int = 4) -> DataFrame:
 
 
 def even_shards(nodes: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
-    """Add shard and slot to (node, link, ...): counts differ by one at most, links stay together where they fit.
+    """Add shard and slot to (node, link, ...), in place of columns of these names: counts differ by one at most, links stay together where they fit.
 
-    `node` tells rows apart; a null link links with nothing.
+    `node` tells rows apart; a null link links with nothing. Other columns may have any names.
     """
+    others = [c for c in nodes.columns if c.lower() not in ("node", "link", "shard", "slot")]
+    held = {c: f"_kept{i}" for i, c in enumerate(others)}
+    placed = _even_shards(nodes.select("node", "link", *[F.col(c).alias(to) for c, to in held.items()]), shards, rounds)
+    names = {"node": "node", "link": "link", **held}
+    return placed.select(*[F.col(names[c]).alias(c) for c in nodes.columns if c in names], "shard", "slot")
+
+
+def _even_shards(nodes: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """even_shards for frames whose other columns are out of the way."""
     size = nodes.groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("link IS NOT NULL AND members > 1")
     links = materialize(nodes.join(size, "link").select("node", "link"), "links")
     small, more = divmod(nodes.count(), shards)  # the first `more` shards hold one document more

@@ -52,3 +52,21 @@ def test_read_back_with_nulls_ties_and_repeats(spark):
     assert [tuple(t) for t in got[None].read] == [("assistant", "<|turn|>x")] and got[None].m == "<|turn|>x"
     assert [tuple(t) for t in got[2].read] == [("user<|text|>", "y")]
     assert chat.format_conversations(turns.limit(0).withColumn("parts", chat.text_part(F.col("text")))).count() == 0
+
+
+def test_parts_come_back_typed_and_placeholders_are_not_trained(spark):
+    spelled = f"{chat.ATTACH}image|1{chat.CLOSE}"
+    rows = [
+        (1, 0, "assistant", [_part("text", spelled), _part("image", ref="a"), _part("text", "after"), _part("text", "")], "x"),
+        (1, 1, "user", [_part("a|b<|text|>", ref="c"), _part("text", "é")], "x"),
+        (1, 2, "assistant", [_part("audio", seconds=2.0)], "x"),
+        (1, 3, "assistant", [], "x"),
+    ]
+    done = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    got = done.select("loss", chat.read_parts(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("masked")).first()
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in got.turns] == [
+        ("assistant", [("text", spelled, None), ("image", None, 1), ("text", "after", None)]),
+        ("user", [("a|b<|text|>", None, 1), ("text", "é", None)]),
+        ("assistant", [("audio", None, 50)]), ("assistant", []),
+    ]
+    assert got.masked == spelled + "after" and [s.turn for s in got.loss] == [0, 0]

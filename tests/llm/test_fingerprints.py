@@ -64,3 +64,14 @@ def test_empty_and_single(spark, tmp_path):
     assert P.op9_document_fingerprints(spark, str(tmp_path / "none")).count() == 0
     row = P.op9_document_fingerprints(spark, str(tmp_path / "one")).collect()[0]
     assert row.edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest() and row.near_next == 1.0
+
+
+def test_long_rows_repeated_often_do_not_overflow(spark, tmp_path):
+    long = " ".join(f"{i}x{'y' * 200}" for i in range(5000))
+    once = spark.createDataFrame([(1, long), (2, "two words")], "doc_id long, text string")
+    many = once.where("doc_id = 1").crossJoin(spark.range(2200)).select("doc_id", "text").union(once)
+    once.write.parquet(str(tmp_path / "once" / "documents.parquet"))
+    many.repartition(8).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    one, all_ = (P.op9_document_fingerprints(spark, str(tmp_path / d)) for d in ("once", "many"))
+    shown = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert all_.count() == 2202 and sorted(map(tuple, all_.select(*shown).distinct().collect())) == sorted(map(tuple, one.select(*shown).collect()))

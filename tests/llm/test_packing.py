@@ -26,14 +26,6 @@ def test_bounds_are_optimal(seed):
         assert _padding(lengths, bounds) == best
 
 
-def test_cells_hold_neighbouring_lengths(spark):
-    lengths = [0, 1, 127, 128, 129, 255, 256, 257, 259, 10_000, 10_050, 10**9]
-    got = {r.n: r.c for r in spark.createDataFrame([(x,) for x in lengths], "n long").select("n", P.cell_of(F.col("n")).alias("c")).collect()}
-    assert [got[x] for x in lengths[:4]] == [0, 1, 127, 128]
-    assert got[128] == got[129] and got[256] == got[259] and got[255] == 254
-    assert all(c <= n < c * (1 + 2**-6) + 1 for n, c in got.items())
-
-
 def test_batches_hold_their_budget_and_every_row(spark):
     r = random.Random(9)
     rows = [(i, r.choice((0, 1, 5, 50, 700, 3000)), "b") for i in range(500)] + [(499, 5, "b"), (None, 5, "b")]
@@ -81,3 +73,14 @@ def test_halving_finds_what_trying_all_cuts_finds():
         best = [0] + [min(best[i] + costs[j][i] for i in range(j)) for j in range(1, len(cells) + 1)]
     bounds = P.best_bounds(counts, [c * n for c, n in zip(cells, counts, strict=True)], cells, 6)
     assert sum(n * (min(b for b in bounds if b >= c) - c) for c, n in zip(cells, counts, strict=True)) == best[-1]
+
+
+def test_columns_made_here_are_replaced(spark):
+    names = ["bucket", "Batch", "place", "padding", "bucket_length", "_rank"]
+    docs = spark.createDataFrame([(i, i % 7, *(["old"] * 6)) for i in range(50)], "doc_id long, n long, " + ", ".join(f"{c} string" for c in names))
+    got = P.pack(docs, "n", ["doc_id"], 3, 20)
+    assert got.columns == ["doc_id", "n", "_rank", "bucket", "bucket_length", "batch", "place", "padding"]
+    plain = P.pack(docs.select("doc_id", "n"), "n", ["doc_id"], 3, 20)
+    assert sorted(map(tuple, got.drop("_rank").collect())) == sorted(map(tuple, plain.collect()))
+    with pytest.raises(ValueError, match="place"):
+        P.pack(docs, "place", ["doc_id"])

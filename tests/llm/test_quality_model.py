@@ -51,3 +51,15 @@ def test_stage_keeps_all_columns_and_blank_documents(spark):
     assert [r.chance for r in got.where("doc_id < 3").collect()] == [1.0] * 3
     assert Q.keep_good(spark, docs.limit(0), "").count() == 0
     assert Q.keep_good(spark, docs, "").columns == docs.columns
+
+
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 300)
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(["an", "er", "tion", "st"], size=2))
+    rows = [(i, " ".join(word() + ("!!" if i % 5 == 0 else "") for _ in range(40))) for i in range(1200)] + [(5000, "same text here")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [Q.fit(docs.repartition(n)) for n in (2, 7)]
+    assert models[0].weights == models[1].weights
+    scores = [sorted(map(tuple, Q.scored(docs, m).select("doc_id", "score").collect())) for m in models]
+    assert scores[0] == scores[1]

@@ -74,3 +74,44 @@ def test_stage_keeps_columns_and_clean_documents(spark):
     kept = Q.keep_by_rules(spark, docs.withColumn("stats", docs.doc_id), "/root/testdata/sf0.001")
     assert kept.columns == [*docs.columns, "stats"]
     assert 0.6 * docs.count() < kept.count() < docs.count()
+
+
+def test_lists_of_many_rules_and_conditions(spark):
+    r = random.Random(9)
+    names = list("abcdefghij")
+    rows = []
+    for i in range(6000):
+        v = [r.randint(0, 1000) for _ in names]
+        rows.append((*v, int(any(x >= 970 for x in v) or (v[0] < 500 and v[1] < 500 and v[2] < 500 and v[3] < 500)), i % 3 == 0))
+    table = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names) + ", bad int, held boolean")
+    rules = Q.learn(table, names, "bad", "held")
+    values = {n: table[n] for n in names}
+    # More than eight rules, and one of four conditions.
+    assert len(rules.rules) >= 11 and max(map(len, rules.rules)) >= 4, str(rules)
+    assert table.where(rules.keeps(values) == (table.bad == 1)).count() < 200
+
+
+def test_one_rule_equals_exhaustive_search(spark):
+    r = random.Random(12)
+    rows = [(r.randint(0, 30), r.randint(0, 30), i % 3 == 0) for i in range(400)]
+    rows = [(a, b, int(a >= 22), held) for a, b, held in rows]
+    table = spark.createDataFrame(rows, "a long, b long, bad int, held boolean")
+    rules = Q.learn(table, ["a", "b"], "bad", "held")
+    # Of all single thresholds over either statistic only one kind parts the table without a fault.
+    right = {(n, least, e) for n, k in (("a", 0), ("b", 1)) for least in (True, False) for e in range(32)
+             if all((row[k] >= e if least else row[k] < e) == bool(row[2]) for row in rows)}
+    assert len(rules.rules) == 1 and len(rules.rules[0]) == 1
+    c = rules.rules[0][0]
+    assert (c.feature, c.least, c.edge) in right
+    assert table.where(rules.keeps({n: table[n] for n in "ab"}) == (table.bad == 1)).count() == 0
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    docs = spark.createDataFrame([(1, "w " * 30, 5), (1, "w " * 30, 5), (None, None, 5)], "doc_id long, text string, stats int")
+    counted = Q.with_statistics(docs, stats="found")
+    assert [Q.judged(counted, Q.DecisionList(()), "found")[1] is not None, counted.count()] == [True, 3]
+    assert counted.select("found").distinct().count() == 2
+
+
+def test_roundest_number_between():
+    assert [Q.roundest(*p) for p in ((699, 702), (20, 60), (5, 6), (0, 1), (149, 151), (-3, 2), (12, 14), (98, 1003))] == [700, 50, 6, 1, 150, 0, 13, 1000]

@@ -1,6 +1,7 @@
 """Shards: even counts, gapless slots, links kept together."""
 
 import random
+import zlib
 
 from depscope.llm import sharding as S
 
@@ -87,3 +88,33 @@ def test_swaps_go_on_when_every_shard_is_full(spark):
     assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [100] * 8
     start = S.cut_links(nodes.join(S._start(nodes, [100] * 8), "node")).first()["cut"]
     assert S.cut_links(placed).first()["cut"] < start / 2
+
+
+def test_clashing_columns_do_not_matter(spark):
+    rows = [(i, f"l{i % 9}", *range(6)) for i in range(80)]
+    nodes = spark.createDataFrame(rows, "node long, link string, place long, near long, shard long, turn long, Slot long, piece long")
+    got = S.even_shards(nodes, 4)
+    assert got.columns == ["node", "link", "place", "near", "turn", "piece", "shard", "slot"]
+    assert {tuple(r)[2:6] for r in got.collect()} == {(0, 1, 3, 5)}
+    assert sorted(r["shard"] for r in got.groupBy("shard").count().collect()) == [0, 1, 2, 3]
+
+
+def test_query_equals_plain_arithmetic(spark, tmp_path):
+    r = random.Random(3)
+    texts = [None, "", "é", "x" * 5000] + ["".join(r.choice("abé ") for _ in range(r.randint(0, 6))) for _ in range(200)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(7, texts[7], "s"), (None, "abc", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, shard string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op6_sharding(spark, str(tmp_path)).collect()
+    plain = lambda t: (t or "").encode()
+    assert sorted(((g.doc_id, g.size, g.text_crc32) for g in got), key=repr) == sorted(((i, len(plain(t)) + 1, zlib.crc32(plain(t))) for i, t, _ in rows), key=repr)
+    for s in range(8):
+        slots = sorted(g.slot for g in got if g.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 8, len(rows) // 8 + 1)
+
+
+def test_cut_links_equal_pairs(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, "a", "b", "c", "d"]), r.randrange(3)) for _ in range(60)]
+    got = S.cut_links(spark.createDataFrame(rows, "link string, shard int")).first()
+    pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[0] is not None and x[0] == y[0]]
+    assert tuple(got) == (len(pairs), sum(x[1] != y[1] for x, y in pairs))
