@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -77,4 +79,23 @@ def store(df: DataFrame, folder: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    return store(df, new_folder(df.sparkSession, label))
+    folder = new_folder(df.sparkSession, label)
+    out = store(df, folder)
+    _folders[out] = folder
+    return out
+
+
+def drop(*stored: DataFrame) -> None:
+    """Remove what frames made by `materialize` hold, once no later step reads them; other frames are left alone."""
+    for df in stored:
+        folder = _folders.pop(df, None)
+        if folder:
+            discard(df.sparkSession, folder)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: its cleaner acts when the driver collects what referred to them.
+
+    Long chains of jobs otherwise keep all of them until the driver happens to need memory.
+    """
+    spark._jvm.System.gc()
