@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from depscope.llm.common import fresh
 from depscope.llm.shingling import shingle_sets
-from depscope.scratch import materialize
+from depscope.scratch import drop, materialize, release_shuffles
 
 WORDS = 5
 # Links have NUM * intersection size >= DEN * (size + size): 100 i >= 80 u is 9 i >= 4 (a + b).
@@ -201,8 +201,12 @@ def may_link(na, nb, ia, ib):
 def meetings(rows: DataFrame) -> DataFrame:
     """The prefix rows of lists with several sets. Lists are summed up in parts, and a long list's rows are joined in many tasks."""
     lists = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
+    met = materialize(rows.join(lists, "token"), "meetings")
+    release_shuffles(rows.sparkSession)
     # Rows of one set may come from several tasks.
-    return materialize(materialize(rows.join(lists, "token"), "meetings").distinct(), "shared")
+    shared = materialize(met.distinct(), "shared")
+    drop(met)
+    return shared
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,7 +218,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def proposals(rows: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """(a, b), a < b: each set with one head at most, of the heads in other components that have a fitting length the one it meets most often.
 
-    Also the rows of lists that hold several components. The head of a list is the row whose key comes first under a mask
+    Also the rows of lists that hold several components, stored. The head of a list is the row whose key comes first under a mask
     that all lists share and that changes every turn.
     """
     mask = F.lit(xxhash.xxh3_64_intdigest(b"heads", seed=turn) - (1 << 63))
@@ -228,7 +232,7 @@ def proposals(rows: DataFrame, labels: DataFrame | None, turn: int) -> tuple[Dat
         of_other = labels.select(F.col("key").alias("other"), F.col("component").alias("there"))
         votes = votes.join(of_other, "other", "left").where(F.coalesce("there", "other") != F.col("component"))
     best = votes.groupBy("key").agg(F.max(F.struct("met", "other"))["other"].alias("other"))
-    return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), mixed.drop("other")
+    return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), mixed
 
 
 def _wanted_map(chosen: DataFrame) -> np.ndarray:
@@ -475,23 +479,32 @@ def linked_sets(docs: DataFrame, sets: DataFrame, slices: DataFrame, words: int)
     `sets` has (key, least, n, bits, wide), one row per set.
     """
     contents, labels, turn = _Contents(docs, sets, words), None, 0
-    rows = meetings(prefix_rows(docs, bucket_counts(slices), words)).withColumn("component", F.col("key"))
+    shared = meetings(prefix_rows(docs, bucket_counts(slices), words))
+    rows = shared.withColumn("component", F.col("key"))
     while True:
         asked, mixed = proposals(rows, labels, turn)
+        drop(shared if turn == 0 else rows)
         asked = materialize(_suffix_filter(asked, sets), "proposals")
         links = contents.verified(asked)
         labels = contracted(labels, links)
         rows, turn = labelled(mixed, labels), turn + 1
+        drop(mixed)
+        release_shuffles(docs.sparkSession)
         if links.count() * WORTH <= asked.count():
             break
-    rows = sized_lists(rows)
-    long = F.col("size") > SHORT
-    short = _suffix_filter(short_list_pairs(rows), sets)
-    links = contents.verified(materialize(short.union(cross_pairs(rows.where(long), sets, best=True)).distinct(), "pairs"))
+    sized = sized_lists(rows)
+    drop(rows)
+    long = sized.where(F.col("size") > SHORT)
+    short = _suffix_filter(short_list_pairs(sized), sets)
+    links = contents.verified(materialize(short.union(cross_pairs(long, sets, best=True)).distinct(), "pairs"))
     labels = contracted(labels, links)
-    rows = sized_lists(labelled(rows.where(long), labels))
-    links = contents.verified(materialize(cross_pairs(rows, sets), "pairs"))
+    rows = labelled(long, labels)
+    left = sized_lists(rows)
+    drop(sized, rows)
+    links = contents.verified(materialize(cross_pairs(left, sets), "pairs"))
     labels = contracted(labels, links)
+    drop(left)
+    release_shuffles(docs.sparkSession)
     return labels, contents.known
 
 
@@ -642,13 +655,15 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes without a number, the set with the least key stays.
     """
     columns = docs.columns
-    key, number, head = fresh(docs, "_key", "_number", "_head")
+    key, number = fresh(docs, "_key", "_number")
     _, of_set = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), WORDS)
-    heads = of_set.where("key = head").select(F.col("component_id").alias(number), F.col("key").alias(head))
+    named = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("none"))
+    heads = of_set.where("key = head").select(named(F.col("component_id")).alias(number), F.col("key").alias(key))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t-\r]*$")
-    keyed = with_keys(docs.where(~blank), key)
-    first = keyed.join(heads, keyed["doc_id"].cast("long").eqNullSafe(F.col(number)) & (F.col(key) == F.col(head)))
-    return first.dropDuplicates([key]).select(*columns).unionByName(docs.where(blank))
+    keyed = with_keys(docs.where(~blank), key).withColumn(number, named(F.col("doc_id")))
+    # Rows are dealt once, by number and set: copies of a text lie in many tasks, and repeated rows in one.
+    first = keyed.join(heads, [number, key], "left_semi").dropDuplicates([number, key])
+    return first.select(*columns).unionByName(docs.where(blank))
 
 
 ORACLE = r"""
