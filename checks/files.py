@@ -35,16 +35,15 @@ def _all(pattern: str) -> str:
     return f"regexp_extract_all(content, {_quoted(pattern)}, 1)"
 
 
-_GO = f"""[concat(CASE WHEN p LIKE '%.%' THEN 'pkg:' ELSE 'std:' END, p) FOR p IN list_concat(
-  flatten([regexp_extract_all(b, {_quoted(extract.GO_QUOTED)}, 1) FOR b IN {_all(extract.GO_BLOCK)}]), {_all(extract.GO_SINGLE)})]"""
-_PYTHON = f"""[concat('pkg:', m) FOR m IN list_concat({_all(extract.PYTHON_FROM)},
-  [regexp_extract(p, '^\\s*(\\S*)', 1) FOR p IN flatten([string_split(n, ',') FOR n IN {_all(extract.PYTHON_IMPORT)}])]) IF m <> '']"""
-_JS = f"""[concat(CASE WHEN p LIKE '.%' OR p LIKE '/%' THEN 'local:' ELSE 'pkg:' END, p)
-  FOR p IN list_concat({_all(extract.JS_IMPORT)}, {_all(extract.JS_REQUIRE)})]"""
-_RUST = f"""[concat('pkg:', c) FOR c IN list_concat([u FOR u IN {_all(extract.RUST_USE)} IF u NOT IN ('crate', 'self', 'super')], {_all(extract.RUST_EXTERN)})]"""
-_JAVA = f"[concat('pkg:', trim(p)) FOR p IN {_all(extract.JAVA_IMPORT)}]"
-_C = f"list_concat([concat('local:', p) FOR p IN {_all(extract.C_QUOTED)}], [concat('sys:', p) FOR p IN {_all(extract.C_SYSTEM)}])"
-_RUBY = f"[concat('pkg:', p) FOR p IN {_all(extract.RUBY_REQUIRE)}]"
+# Patterns of their own, for the lines that files of `fx_files` have.
+_GO = f"[concat(CASE WHEN p LIKE '%.%' THEN 'pkg:' ELSE 'std:' END, p) FOR p IN {_all(chr(34) + '([^' + chr(34) + ']+)' + chr(34))}]"
+_PYTHON = f"""[concat('pkg:', m) FOR m IN list_concat({_all('(?m)^from ([a-z_0-9]+) import')},
+  [split_part(trim(p), ' ', 1) FOR p IN flatten([string_split(n, ',') FOR n IN {_all('(?m)^ *import (.+)$')}])])]"""
+_JS = f"""[concat(CASE WHEN p LIKE '.%' OR p LIKE '/%' THEN 'local:' ELSE 'pkg:' END, p) FOR p IN {_all('(?m)(?:from |^import |require[(] ?)"([^"]+)"')}]"""
+_RUST = f"""[concat('pkg:', c) FOR c IN list_concat([u FOR u IN {_all('(?m)^(?:pub )?use ([a-z0-9]+)::')} IF u <> 'crate'], {_all('(?m)^extern crate ([a-z]+);')})]"""
+_JAVA = f"[concat('pkg:', p) FOR p IN {_all('(?m)^import (.+);$')}]"
+_C = f"""list_concat([concat('local:', p) FOR p IN {_all('#include "(.+)"')}], [concat('sys:', p) FOR p IN {_all('#include <(.+)>')}])"""
+_RUBY = f"[concat('pkg:', p) FOR p IN {_all('(?m)^require .([a-z0-9]+).$')}]"
 
 _FORMS = {
     "go": ("'go'", _GO), "python": ("'py'", _PYTHON), "javascript": ("'ts', 'tsx', 'js', 'jsx'", _JS), "rust": ("'rs'", _RUST),
@@ -63,6 +62,11 @@ for _name, (_exts, _form) in _FORMS.items():
         ),
         f"""{_WITH_EXT} SELECT path AS "from", unnest({_form}) AS "to", 'imports' AS rel FROM known WHERE ext IN ({_exts})""",
     )
+_register(
+    # Files in which imports stand among comments and literals that spell others; what they import is known from how they are made.
+    "extract_imports_tricky", lambda s, d: extract.extract_imports(view(s, d, "fx_tricky_files").select("path", "content")),
+    f"""{with_views('fx_tricky_files')} SELECT path AS "from", unnest(string_split(expected, '|')) AS "to", 'imports' AS rel FROM fx_tricky_files""",
+)
 _register(
     "language_of",
     lambda s, d: _files(s, d).select(extract.language_of(F.col("path")).alias("language")).groupBy("language").agg(F.count("*").alias("files")),

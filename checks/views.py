@@ -121,6 +121,45 @@ UNION ALL
 SELECT concat(folder, {_TEST_NAME}) AS path, 'x' AS content FROM {_ORDERS} WHERE o_orderkey % 5 = 0
 """
 
+# Per language: an extension, a text in which `{n}` is the customer's number and `~` a line break, and the targets it imports (`_` is a space).
+_TRICKY = [
+    ("go", """package m~x := `~import "fake"~`~// import "fake"~/* import "fake"~*/ import "fmt"; import "example.org/p{n}"~s := "x; import (fake)"~c := '"'~import (~y "os" // "fake"~)~""",
+     "std:fmt pkg:example.org/p{n} std:os"),
+    ("py", """s = "x; import fake"~t = 'a: import fake'~u = \"\"\"~import fake~\"\"\"~# import fake~import m{n} as q, os; from lib{n} import (a,~b)~v = f"{{x}}; import fake"~if x: import late~""",
+     "pkg:m{n} pkg:os pkg:lib{n} pkg:late"),
+    ("ts", """const t = `~import a from "fake"~${{ f({{ k: "}}", g: `}} ${{1}}` }}) }}~import b from "fake"~`~// import c from 'fake'~import d from "./m{n}"~import {{~e,~}} from 'lib{n}'; import 'side'~const u = "import f from 'fake'"~""",
+     "local:./m{n} pkg:lib{n} pkg:side"),
+    ("js", """/* require('fake') */ const a = require("lib{n}"), b = require( '/abs' )~const s = "require('fake')", t = `${{x}} require('fake')`~""", "pkg:lib{n} local:/abs"),
+    ("rs", """use {{a{n}::b, c::{{d, e::{{f}}}}, self::g}};~use ::std::io;~/* /* use fake; */ use fake; */~let s = r#"~use fake;~"x" "#;~let c = '"'; use d{n}::x;~let t = "~use fake;~";~fn f<'a>(x: &'a str) {{}}~pub(crate) use h::{{i,~j}};~extern crate libc;~""",
+     "pkg:a{n} pkg:c pkg:std pkg:d{n} pkg:h pkg:libc"),
+    ("java", """import a.B{n}; import c.D; // import fake.X;~String s = "~import fake.Y;~";~String t = \"\"\"~import fake.Z;~\"\"\";~char c = '"';~import static e.F.*;~""".replace('"~import fake.Y;~"', '"import fake.Y;"'),
+     "pkg:a.B{n} pkg:c.D pkg:static_e.F.*"),
+    ("c", """/*~#include <fake.h>~*/~#include <stdio.h> // "x~char c = '"';~#include "h{n}.h"~char *s = "\\~#include <no>";~""".replace('"\\\\~#include <no>"', '"#include <no>"'), "sys:stdio.h local:h{n}.h"),
+    ("cpp", """auto s = R"x(~#include <fake>~)" )x";~#include <vector>~  #  include "h{n}.hpp"~""", "sys:vector local:h{n}.hpp"),
+    ("rb", """=begin~require 'fake'~=end~require 'json'~x = <<~~T~require 'fake'~T~# require 'fake'~require "gem{n}"~s = "#{{y}}; require 'fake'"~__END__~require 'fake'~""", "pkg:json pkg:gem{n}"),
+]
+
+
+def _tricky_case(pick) -> str:
+    def sql(text: str) -> str:
+        lines = text.replace("~~", chr(1)).replace("~", chr(10)).replace(chr(1), "~").replace("{{", "{").replace("}}", "}")
+        # The engines read quotes and backslashes in literals differently.
+        for mark in ("'", "\\", chr(10)):
+            lines = lines.replace(mark, f"{chr(2)}{ord(mark)}{chr(3)}")
+        joined = f", {_text('o_custkey')}, ".join(f"'{part}'" for part in lines.split("{n}"))
+        joined = joined.replace(chr(2), "', chr(").replace(chr(3), "), '")
+        return f"concat({joined})"
+
+    return " ".join(f"WHEN {k} THEN {sql(pick(row))}" for k, row in enumerate(_TRICKY))
+
+
+FX_TRICKY_FILES = f"""
+SELECT concat('src/t', {_text('o_orderkey')}, '.', CASE o_orderkey % 9 {" ".join(f"WHEN {k} THEN '{row[0]}'" for k, row in enumerate(_TRICKY))} END) AS path,
+       CASE o_orderkey % 9 {_tricky_case(lambda row: row[1])} END AS content,
+       CASE o_orderkey % 9 {_tricky_case(lambda row: row[2].replace(' ', '|').replace('_', ' '))} END AS expected
+FROM orders
+"""
+
 FX_EVENTS = f"""
 SELECT event_id,
        concat('src/m', {_text('user_id % 10')}, '/f', {_text('user_id')},
@@ -215,7 +254,7 @@ FROM customer
 """
 
 VIEWS = {
-    "fx_edges": FX_EDGES, "fx_ring": FX_RING, "fx_cross_repo": FX_CROSS_REPO, "fx_files": FX_FILES, "fx_events": FX_EVENTS,
+    "fx_edges": FX_EDGES, "fx_ring": FX_RING, "fx_cross_repo": FX_CROSS_REPO, "fx_files": FX_FILES, "fx_tricky_files": FX_TRICKY_FILES, "fx_events": FX_EVENTS,
     "fx_registry": FX_REGISTRY, "fx_metadata": FX_METADATA, "fx_updates": FX_UPDATES, "fx_paths": FX_PATHS,
     "fx_mounts": FX_MOUNTS, "fx_mounted_paths": FX_MOUNTED_PATHS, "fx_inventory": FX_INVENTORY,
     "fx_repos": FX_REPOS, "fx_backends": FX_BACKENDS, "fx_workspace_mounts": FX_WORKSPACE_MOUNTS,

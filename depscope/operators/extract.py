@@ -1,7 +1,9 @@
 """Import statements of source files as edges.
 
-One projection per file: comments go, then the language picks a set of expressions, each of which
-yields an array of targets from the whole text. Nothing is shuffled.
+One projection per file. A scan of the text by one pattern per language takes comments and literals as whole
+tokens, in the order in which they open, and leaves code only; a short plain string stays where a language names
+imports by strings. Then the language picks a set of expressions, each of which yields an array of targets. Loops of the
+patterns are possessive, so they run without a stack and do not go back. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,42 +21,78 @@ IMPORT_LANGUAGES = {
 # Classification also reads C headers and ignores the case of an extension.
 CLASSIFIED_LANGUAGES = {**IMPORT_LANGUAGES, "h": "c"}
 
-# Import statements, one pattern per form (the subset of syntax Java and RE2 share).
-GO_BLOCK = r"(?m)^[ \t]*import[ \t]*\(([^)]*)\)"
+# Import statements, one pattern per form, on code without comments and foreign literals.
+GO_BLOCK = r"(?m)(?:^|(?<=;))[ \t]*import[ \t]*\(([^)]*)\)"
 GO_QUOTED = r'"([^"\n]+)"'
-GO_SINGLE = r'(?m)^[ \t]*import[ \t]+(?:[\w.]+[ \t]+)?"([^"\n]+)"'
+GO_SINGLE = r'(?m)(?:^|(?<=;))[ \t]*import[ \t]+(?:[\w.]+[ \t]+)?"([^"\n]+)"'
 PYTHON_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+(\S+)[ \t]+import\b"
 PYTHON_IMPORT = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^#;\n]+)"
 # Only names in braces may stand on several lines.
-JS_IMPORT = r"""(?m)^[ \t]*import\b\s*(?:[^'"();\n]*(?:\{[^{}'"();]*\}[^'"();\n]*)?\s*\bfrom\s*)?['"]([^'"\n]+)['"]"""
+JS_IMPORT = r"""(?m)(?:^|(?<=;))[ \t]*import\b\s*(?:[^'"();\n]*(?:\{[^{}'"();]*\}[^'"();\n]*)?\s*\bfrom\s*)?['"]([^'"\n]+)['"]"""
 JS_REQUIRE = r"""\brequire\([ \t]*['"]([^'"\n]+)['"][ \t]*\)"""
-RUST_USE = r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?use[ \t]+([A-Za-z_]\w*)"
-RUST_EXTERN = r"(?m)^[ \t]*(?:pub[ \t]+)?extern[ \t]+crate[ \t]+(\w+)"
-JAVA_IMPORT = r"(?m)^[ \t]*import[ \t]+([^;\n]+);"
+RUST_USE = r"(?m)(?:^|(?<=[;{}]))[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?use\s+([^;]+);"
+RUST_EXTERN = r"(?m)(?:^|(?<=[;{}]))[ \t]*(?:pub[ \t]+)?extern[ \t]+crate[ \t]+(\w+)"
+JAVA_IMPORT = r"(?m)(?:^|(?<=;))[ \t]*import\s+([^;\n]+);"
 C_QUOTED = r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"\n]+)"'
 C_SYSTEM = r"(?m)^[ \t]*#[ \t]*include[ \t]*<([^>\n]+)>"
 RUBY_REQUIRE = r"""(?m)^[ \t]*require[ \t]+['"]([^'"\n]+)['"]"""
 RUBY_RELATIVE = r"""(?m)^[ \t]*require_relative[ \t]+['"]([^'"\n]+)['"]"""
 
+# Tokens. Plain strings can name an import: no escapes, and nothing in them that ends a statement or opens a call.
+_PLAIN_DOUBLE, _PLAIN_SINGLE = r'"[^"\\\n;`()\']*+"', r"""'[^'\\\n;`()"]*+'"""
+_DOUBLE, _SINGLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+_CHARACTER = r"'(?:[^'\\\n]|\\[^\n'][^'\n]*+|\\')'"
+_LONG_DOUBLE = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
+_LONG_SINGLE = r"""\'\'\'(?:[^'\\]++|\\[\s\S]|'(?!''))*+\'\'\'"""
+_BLOCK = r"/\*(?:[^*]++|\*(?!/))*+\*/"
+_LINE, _HASH = r"//[^\n]*+", r"#[^\n]*+"
+_BACKQUOTED = r"`[^`]*+`"
 
-# Texts without comments: strings stand first and stay, so that a comment mark inside one does not count.
-_STRINGS = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`"""
-_SLASHES = r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
-_HASH = r"#[^\n]*+"
-_TRIPLE = r'''"""(?:[^"]|"(?!""))*+"""|''' + r"""'''(?:[^']|'(?!''))*+'''"""
+
+def _nested(open_: str, close: str, plain: str, depth: int) -> str:
+    """Pattern of text between marks that may hold itself, `depth` times over; `plain` is one piece without marks."""
+    inner = f"{open_}(?:{plain})*+{close}"
+    for _ in range(depth):
+        inner = f"{open_}(?:{plain}|{inner})*+{close}"
+    return inner
+
+
+# Block comments within one another, and expressions in template literals that hold braces, strings and templates.
+_RUST_BLOCK = _nested(r"/\*", r"\*/", r"[^*/]++|\*(?!/)|/(?!\*)", 6)
+_RUST_RAW = r'\bb?r(?<hashes>#*+)"(?:(?!"\k<hashes>)[\s\S])*+"\k<hashes>'
 _RUST_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+_CPP_RAW = r'\bR"(?<mark>[^()\\\s"]{0,16})\((?:(?!\)\k<mark>")[\s\S])*+\)\k<mark>"'
+_BRACES = _nested(r"\{", r"\}", rf"[^{{}}`'\"/]++|/(?![/*])|{_DOUBLE}|{_SINGLE}|{_BLOCK}|{_LINE}|`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{))*+`", 4)
+_TEMPLATE = rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|\${_BRACES})*+`"
+_RUBY_BLOCK = r"^=begin\b[\s\S]*?(?:^=end\b[^\n]*+|\z)"
+_RUBY_REST = r"^__END__$[\s\S]*+"
+_RUBY_HERE = r"<<[~-]?(?<quote>['\"]?)(?<name>[A-Z_]\w*+)\k<quote>[^\n]*+\n(?:(?!^[ \t]*\k<name>$)[^\n]*+\n)*+[ \t]*\k<name>$"
 
 
-def without_comments(language: Column, text: Column) -> Column:
-    """The text without comments, docstrings and line continuations; other strings stay."""
-    kept = lambda strings, gone: F.regexp_replace(text, f"({strings})|{gone}", "$1")
-    plain = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
-    python = F.regexp_replace(F.regexp_replace(text, f"{_TRIPLE}|({plain})|{_HASH}", "$1"), r"\\\r?\n", " ")
+def code_only(language: Column, text: Column) -> Column:
+    """The text without comments, line continuations and literals, but for plain strings of languages that import by them."""
+    def scan(kept: str | None, *gone: str) -> Column:
+        return F.regexp_replace(text, "(?m)" + "|".join([f"({kept})" if kept else "(?!)()", *gone]), "$1")
+
+    slashes = (_BLOCK, _LINE)
     return (
-        F.when(language == "python", python)
-        .when(language == "rust", kept(_RUST_STRING, _SLASHES))
-        .when(language == "ruby", kept(plain, _HASH))
-        .otherwise(kept(_STRINGS, _SLASHES))
+        F.when(language == "python", F.regexp_replace(scan(None, _LONG_DOUBLE, _LONG_SINGLE, _DOUBLE, _SINGLE, _HASH), r"\\\r?\n", " "))
+        .when(language == "java", scan(None, _LONG_DOUBLE, _DOUBLE, _CHARACTER, *slashes))
+        .when(language == "rust", scan(None, _RUST_RAW, _RUST_STRING, _CHARACTER, _RUST_BLOCK, _LINE))
+        .when(language == "go", scan(_PLAIN_DOUBLE, _DOUBLE, _CHARACTER, _BACKQUOTED, *slashes))
+        .when(language == "ruby", scan(f"{_PLAIN_DOUBLE}|{_PLAIN_SINGLE}", _DOUBLE, _SINGLE, _RUBY_BLOCK, _RUBY_REST, _RUBY_HERE, _HASH))
+        .when(language.isin("c", "cpp"), scan(_PLAIN_DOUBLE, _CPP_RAW, _DOUBLE, _CHARACTER, *slashes))
+        .otherwise(scan(f"{_PLAIN_DOUBLE}|{_PLAIN_SINGLE}", _DOUBLE, _SINGLE, _TEMPLATE, *slashes))
+    )
+
+
+def may_import(language: Column, text: Column) -> Column:
+    """Whether a text has a word without which it cannot import anything; most work is spared by it."""
+    return (
+        F.when(language == "rust", text.contains("use") | text.contains("extern"))
+        .when(language.isin("c", "cpp"), text.contains("include"))
+        .when(language == "ruby", text.contains("require"))
+        .otherwise(text.contains("import") | text.contains("require"))
     )
 
 
@@ -96,8 +134,15 @@ def _javascript(text: Column) -> Column:
 
 
 def _rust(text: Column) -> Column:
-    used = F.filter(_all(text, RUST_USE), lambda c: ~c.isin("crate", "self", "super"))
-    return _prefixed(F.concat(used, _all(text, RUST_EXTERN)), "pkg:")
+    def crates(tree: Column) -> Column:
+        # What lies behind `::{` does not name a crate.
+        for _ in range(6):
+            tree = F.regexp_replace(tree, r"::\s*\{[^{}]*\}", "")
+        items = F.split(F.regexp_replace(tree, r"^\s*(?:::)?\s*\{|\}\s*$", ""), ",")
+        return F.array_distinct(F.transform(items, lambda x: F.regexp_extract(x, r"^\s*(?:::)?\s*(?:r#)?([A-Za-z_]\w*)", 1)))
+
+    used = F.flatten(F.transform(_all(text, RUST_USE), crates))
+    return _prefixed(F.concat(F.filter(used, lambda c: ~c.isin("crate", "self", "super", "")), _all(text, RUST_EXTERN)), "pkg:")
 
 
 def _java(text: Column) -> Column:
@@ -129,7 +174,8 @@ def import_targets(language: Column, text: Column, ruby_relative: bool = False)
 def extract_imports(files: DataFrame, ruby_relative: bool = False) -> DataFrame:
     """One `imports` edge per imported name of each file."""
     known = files.select("path", "content", language_of(F.col("path")).alias("_language")).where("_language is not null")
-    bare = known.withColumn("content", without_comments(F.col("_language"), F.col("content")))
+    known = known.where(may_import(F.col("_language"), F.col("content")))
+    bare = known.withColumn("content", code_only(F.col("_language"), F.col("content")))
     return bare.select(
         F.col("path").alias("from"),
         F.explode(import_targets(F.col("_language"), F.col("content"), ruby_relative)).alias("to"),

@@ -336,3 +336,30 @@ def test_workspaces_do_not_take_each_others_mounts(spark, rows):
     with pytest.raises(ValueError, match="workspace"):
         resolve.route_workspace(paths.drop("workspace"), plan)
     assert rows(resolve.route_workspace(paths.drop("workspace").limit(1), plan.where("workspace = 'w1'").drop("workspace"))) == [("/m1/a", "r", "/trees/r/a", True)]
+
+
+@pytest.mark.parametrize("path, text, expected", [
+    ("a.go", 'package m\nvar s = `\nimport "fake"\n`\nimport "fmt"\n', ["std:fmt"]),
+    ("a.py", 's = "x; import fake"\nimport os\n', ["pkg:os"]),
+    ("a.ts", "const t = `\nimport x from 'fake'\n`\nimport y from 'lib'\n", ["pkg:lib"]),
+    ("a.rs", "use {a::b, c::d};\nuse ::std::x;\n/* /* use e; */ use f; */\n", ["pkg:a", "pkg:c", "pkg:std"]),
+    ("a.java", "import a.B; import c.D;\n", ["pkg:a.B", "pkg:c.D"]),
+    ("a.rb", "=begin\nrequire 'fake'\n=end\nrequire 'json'\n", ["pkg:json"]),
+])
+def test_imports_inside_comments_and_literals_do_not_count(spark, path, text, expected):
+    files = spark.createDataFrame([(path, text)], "path string, content string")
+    assert sorted(r["to"] for r in extract.extract_imports(files).collect()) == expected
+
+
+def test_very_long_tokens_need_no_stack(spark):
+    n = 300_000
+    rows = [
+        ("a.js", f"const t = `{'a${ {b: 1} }' * (n // 12)}`\nimport 'x'\n", "pkg:x"), ("b.js", f"/*{'* /' * (n // 3)}*/\nimport 'x'\n", "pkg:x"),
+        ("c.rs", f"let s = r#\"{'\" ' * (n // 2)}\"#;\nuse x::y;\n", "pkg:x"), ("d.rs", "/*" * 3 + "a*b/c" * (n // 5) + "*/" * 3 + "\nuse x::y;\n", "pkg:x"),
+        ("e.py", f"s = \"\"\"{'\"a\\\\' * (n // 4)}\"\"\"\nimport x\n", "pkg:x"), ("f.c", f"char *s = \"{'a\\\\n' * (n // 3)}\";\n#include <x>\n", "sys:x"),
+        ("g.rb", f"=begin\n{'require 1' * (n // 9)}\n=end\nrequire 'x'\n", "pkg:x"), ("h.go", f"s := `{'a' * n}`\nimport \"x\"\n", "std:x"),
+        ("i.rb", f"x = <<~EOS\n{'line\n' * (n // 5)}EOS\nrequire 'x'\n", "pkg:x"), ("j.java", f"String s = \"{'x' * n}\"; import x;\n", "pkg:x"),
+        ("k.cpp", f"auto s = R\"({'a)b' * (n // 3)})\";\n#include <x>\n", "sys:x"), ("l.js", "`" + "a" * n + "\nimport 'x'\n", "pkg:x"),
+    ]
+    got = extract.extract_imports(spark.createDataFrame([r[:2] for r in rows], "path string, content string")).collect()
+    assert sorted((r["from"], r["to"]) for r in got) == [(p, t) for p, _, t in rows]
