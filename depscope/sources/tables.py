@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -45,9 +46,11 @@ def query_inventory(spark: SparkSession, sql: str, args: dict | None = None, **t
     """User SQL over named inventory tables, joins across them included.
 
     The names hold in this text only: the frames get names of their own while it is
-    analysed, so users of one session do not overwrite each other's views. The text
-    becomes a subquery, so an order it asks for holds only with a limit.
+    analysed, so users of one session do not overwrite each other's views. Semicolons at the
+    end are left out. The text runs as it is, so its order holds; one that begins with
+    WITH becomes a subquery, where an order holds only with a limit.
     """
+    sql = re.sub(r"(?:\s*;)+\s*$", "", sql)
     if not tables:
         return spark.sql(sql, args or {})
     views = {name: f"_{name}_{uuid.uuid4().hex}" for name in tables}
@@ -55,7 +58,9 @@ def query_inventory(spark: SparkSession, sql: str, args: dict | None = None, **t
         table.createOrReplaceTempView(views[name])
     try:
         named = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
-        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql}\n)", args or {})
+        if re.match(r"(?is)(?:\s|--[^\n]*\n|/\*.*?\*/)*with\b", sql):
+            sql = f"SELECT * FROM (\n{sql}\n)"
+        return spark.sql(f"WITH {named}\n{sql}", args or {})
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)

@@ -363,3 +363,10 @@ def test_very_long_tokens_need_no_stack(spark):
     ]
     got = extract.extract_imports(spark.createDataFrame([r[:2] for r in rows], "path string, content string")).collect()
     assert sorted((r["from"], r["to"]) for r in got) == [(p, t) for p, _, t in rows]
+
+
+def test_rule_texts_may_end_in_semicolons_and_keep_their_order(spark):
+    e = spark.createDataFrame([(f"n{i * 7 % 20:02d}", "x", "r") for i in range(20)], EDGE).repartition(7)
+    for text in ("SELECT `from` FROM edges ORDER BY `from` DESC;", "-- newest first\nSELECT `from` FROM edges ORDER BY `from` DESC ;\n; "):
+        assert [r[0] for r in tables.query_inventory(spark, text, edges=e).collect()] == [f"n{i:02d}" for i in reversed(range(20))]
+    assert tables.query_inventory(spark, "WITH a AS (SELECT 1 AS x FROM edges) SELECT count(*) AS n FROM a;", edges=e).first().n == 20
