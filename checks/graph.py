@@ -185,6 +185,12 @@ _register(
     "impact_wide_steps", lambda s, d: traverse.walk(edge_view(s, d, "fx_ring"), "r:1", 5).rows.drop("root"),
     f"SELECT path, relation, depth FROM ({_IMPACT})",
 )
+# As many levels as there are orders; the keys are gapless, so a depth is a difference of keys.
+_register(
+    "impact_deep", lambda s, d: traverse.impact(edge_view(s, d, "fx_deep"), "q:0", 1 << 30),
+    """SELECT concat('q:', o_orderkey + 1) AS path, 'follows' AS relation, CAST(o_orderkey + 1 AS INTEGER) AS depth FROM orders
+    UNION ALL SELECT DISTINCT concat('l:', l_orderkey, ':', l_linenumber), 'in', CAST(l_orderkey + 1 AS INTEGER) FROM lineitem""",
+)
 _register(
     "impact_on_layout",
     lambda s, d: traverse.impact(write_layout(edge_view(s, d, "fx_ring"), scratch.new_folder(s, "layout"), "to", 16), "r:1", 3),

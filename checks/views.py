@@ -41,6 +41,13 @@ UNION ALL
 SELECT concat('r:', {_text('r_regionkey')}), concat('r:', {_text('(r_regionkey + 1) % 5')}), 'next' FROM region
 """
 
+# A deep graph: each order file follows the one before, and line files hang on both their order and the next.
+FX_DEEP = f"""
+SELECT concat('q:', {_text('o_orderkey + 1')}) AS src, concat('q:', {_text('o_orderkey')}) AS dst, 'follows' AS rel FROM orders
+UNION ALL SELECT concat('l:', {_text('l_orderkey')}, ':', {_text('l_linenumber')}), concat('q:', {_text('l_orderkey')}), 'in' FROM lineitem
+UNION ALL SELECT concat('l:', {_text('l_orderkey')}, ':', {_text('l_linenumber')}), concat('q:', {_text('l_orderkey + 1')}), 'after' FROM lineitem
+"""
+
 # Paths in repositories: an order file refers to its customer's file, in another repository as an external target.
 FX_CROSS_REPO = f"""
 SELECT DISTINCT src, dst, rel FROM (
@@ -254,7 +261,7 @@ FROM customer
 """
 
 VIEWS = {
-    "fx_edges": FX_EDGES, "fx_ring": FX_RING, "fx_cross_repo": FX_CROSS_REPO, "fx_files": FX_FILES, "fx_tricky_files": FX_TRICKY_FILES, "fx_events": FX_EVENTS,
+    "fx_edges": FX_EDGES, "fx_ring": FX_RING, "fx_deep": FX_DEEP, "fx_cross_repo": FX_CROSS_REPO, "fx_files": FX_FILES, "fx_tricky_files": FX_TRICKY_FILES, "fx_events": FX_EVENTS,
     "fx_registry": FX_REGISTRY, "fx_metadata": FX_METADATA, "fx_updates": FX_UPDATES, "fx_paths": FX_PATHS,
     "fx_mounts": FX_MOUNTS, "fx_mounted_paths": FX_MOUNTED_PATHS, "fx_inventory": FX_INVENTORY,
     "fx_repos": FX_REPOS, "fx_backends": FX_BACKENDS, "fx_workspace_mounts": FX_WORKSPACE_MOUNTS,

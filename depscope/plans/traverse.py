@@ -10,6 +10,16 @@ small enough, and prune the folders of an edge layout by it; otherwise the step
 a shuffled join whose hot keys are split at run time. Edges are read where they
 lie, three columns a level, and never copied. An edge table that is walked often,
 or that is costly to derive, should be stored first, best as a layout.
+
+A walk that is still growing after PLAIN_LEVELS doubles its reach instead. The k-th
+power of the hops holds (a, b) where b lies at the end of exactly 2^k hops from a. The
+beginning of a shortest path is itself shortest, so every name with a depth in
+(d, d + 2^k] ends 2^k hops that begin at a name with a depth in (d - 2^k, d]: one join
+with the power finds them all, and their smallest depth. A walk of n levels then takes
+about 3 log2(n) jobs. Powers can grow where many hops cross (a power of a dense graph
+holds all pairs), so the next one is built only while the join that makes it has at most
+POWER_GROWTH times as many rows as there are hops; until the walk ends it goes on by the
+last power. That choice changes the number of jobs and never the rows.
 """
 
 from __future__ import annotations
@@ -24,6 +34,8 @@ from depscope.schemas import WALK
 from depscope.sources.layout import EdgeLayout
 
 DEFAULT_DEPTH = 5
+PLAIN_LEVELS = 6
+POWER_GROWTH = 4
 
 
 @dataclass(frozen=True)
@@ -77,6 +89,85 @@ def _step(frontier, hops, layout, external):
     )
 
 
+def _first_power(hops: DataFrame, newest: DataFrame, external: bool) -> DataFrame:
+    """The hops as distinct pairs of names."""
+    if not external:
+        return hops.sparkSession.sql("SELECT DISTINCT at AS a, next AS b FROM {hops} WHERE next IS NOT NULL AND at IS NOT NULL", hops=hops)
+    return hops.sparkSession.sql(
+        f"""
+        WITH names AS (SELECT next AS path FROM {{hops}} WHERE next IS NOT NULL UNION SELECT path FROM {{newest}}),
+        n AS (SELECT path, {_EXTERNAL_NAMES} AS at FROM names)
+        SELECT DISTINCT n.path AS a, h.next AS b FROM {{hops}} h JOIN n ON h.at = n.at WHERE h.next IS NOT NULL
+        """,
+        hops=hops, newest=newest,
+    )
+
+
+# Rows of the join of a power with itself, before they are made distinct.
+_NEXT_POWER_ROWS = """
+    SELECT coalesce(sum(CAST(e.n AS DOUBLE) * s.n), 0)
+    FROM (SELECT b AS mid, count(*) AS n FROM {power} GROUP BY b) e JOIN (SELECT a AS mid, count(*) AS n FROM {power} GROUP BY a) s ON e.mid = s.mid
+"""
+
+
+def _reach(run: str, hops: DataFrame, known: DataFrame, base: int, max_depth: int, external: bool, one_root: bool) -> DataFrame:
+    """(root, path, depth) of the names beyond depth `base`, stored step by step below `run`.
+
+    `known` has every name found so far with its depth, and the starts if they cannot return.
+    """
+    spark = hops.sparkSession
+    newest = known.where(F.col("depth") == base)
+    power = _first_power(hops, newest, external)
+    if one_root:
+        # Shortest paths to new names leave the newest depth and never touch a name found earlier.
+        behind = known.where(F.col("depth") < base)
+        power = power.join(behind.select(F.col("path").alias("a")), "a", "left_anti")
+        power = power.join(known.select(F.col("path").alias("b")), "b", "left_anti").select("a", "b")
+    power = scratch.materialize(power, "power")
+    most = POWER_GROWTH * power.count()
+    folder, depth, span, step, growing = f"{run}/reach", base, 1, 0, True
+    schema = "root string, path string, depth int"
+    found = spark.createDataFrame([], schema)
+    while depth < max_depth:
+        window = newest.unionByName(found).where(F.col("depth") > depth - span)
+        grown = spark.sql(
+            f"""
+            SELECT w.root, p.b AS path, cast(min(w.depth) + {span} AS int) AS depth
+            FROM {{window}} w JOIN {{power}} p ON w.path = p.a WHERE w.depth + {span} <= {max_depth} GROUP BY w.root, p.b
+            """,
+            window=window, power=power,
+        )
+        before = known.unionByName(found).select("root", "path")
+        step += 1
+        added = scratch.store(grown.join(before, ["root", "path"], "left_anti").select("root", "path", "depth"), f"{folder}/step={step}")
+        last, next_rows = spark.sql(f"SELECT (SELECT max(depth) FROM {{added}}), ({_NEXT_POWER_ROWS})", added=added, power=power).first()
+        found = spark.read.schema(schema).parquet(folder).select("root", "path", "depth")
+        depth += span
+        if last is None or last < depth:
+            break
+        if growing := growing and next_rows <= most and depth < max_depth:
+            doubled = spark.sql("SELECT DISTINCT l.a, r.b FROM {power} l JOIN {power} r ON l.b = r.a", power=power)
+            doubled = scratch.materialize(doubled, "power")
+            scratch.drop(power)
+            power, span = doubled, 2 * span
+    scratch.drop(power)
+    return found
+
+
+def _with_relations(found: DataFrame, newest: DataFrame, hops: DataFrame, external: bool) -> DataFrame:
+    """The smallest relation of the edges that lead to each name from the depth before."""
+    names = _EXTERNAL_NAMES if external else _EXACT_NAME
+    return hops.sparkSession.sql(
+        f"""
+        WITH f AS (SELECT root, depth, {names} AS at FROM {{parents}})
+        SELECT n.root, n.path, min(h.rel) AS relation, n.depth
+        FROM f JOIN {{hops}} h ON h.at = f.at JOIN {{found}} n ON n.root <=> f.root AND n.path = h.next AND n.depth = f.depth + 1
+        GROUP BY n.root, n.path, n.depth
+        """,
+        parents=newest.unionByName(found), hops=hops, found=found,
+    )
+
+
 def walk(
     edges: DataFrame | EdgeLayout,
     root: str | DataFrame,
@@ -116,8 +207,8 @@ def walk(
     # Stored like every later depth, so that the first step prunes and broadcasts by its size too.
     seeds = scratch.store(seeds.distinct(), f"{run}/seeds")
     newest, before = seeds, None if start_can_return else seeds
-    depth, total, at_limit = 0, 0, False
-    while depth < max_depth:
+    depth, total, added, at_limit = 0, 0, 0, False
+    while depth < min(max_depth, PLAIN_LEVELS):
         grown = _step(newest.where(F.col("depth") == depth), hops, layout, external)
         if before is not None:
             grown = grown.join(before.select("root", "path"), ["root", "path"], "left_anti")
@@ -130,6 +221,14 @@ def walk(
             break
         reached = spark.read.schema(WALK).parquet(found).select(*WALK.names)
         before = reached if start_can_return else seeds.unionByName(reached)
+    if depth == PLAIN_LEVELS < max_depth and added:
+        known = before.select("root", "path", "depth")
+        deeper = _reach(run, hops, known, depth, max_depth, external, isinstance(root, str))
+        related = _with_relations(deeper, known.where(F.col("depth") == depth), hops, external)
+        deep = scratch.store(related.select(*WALK.names), f"{found}/step={depth + 1}")
+        added, last = deep.agg(F.count("*"), F.max("depth")).first()
+        total, at_limit = total + added, last == max_depth
+        scratch.discard(spark, f"{run}/reach")
     rows = spark.read.schema(WALK).parquet(found).select(*WALK.names) if depth else spark.createDataFrame([], WALK)
     return Walk(rows, total, at_limit)
 

@@ -108,6 +108,53 @@ def test_deep_chain(spark):
     assert traverse.impact(chain, "f40", 40).agg(F.count("*"), F.max("depth")).first()[:] == (40, 40)
 
 
+def _layers(rng, levels, width, back):
+    """A deep graph: hops lead to the next layer, and `back` of them to any earlier one."""
+    out = []
+    for level in range(1, levels):
+        for i in range(width):
+            to = level - 1 if rng.random() >= back else rng.randrange(level)
+            out.append((f"v{level}.{i}", f"v{to}.{rng.randrange(width) if level > 1 else 0}", rng.choice("xyz")))
+            out.append((f"v{to}.{i}", f"v{level}.{i}", rng.choice("xyz")) if rng.random() < back else out[-1])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "width", "back", "growth"), [(1, 2, 0.1, 4), (2, 3, 0.05, 64), (3, 3, 0.0, 0)])
+def test_deep_walks_equal_plain_search(spark, rows, monkeypatch, seed, width, back, growth):
+    # With growth 0 the walk keeps to single hops; the rows stay the same.
+    monkeypatch.setattr(traverse, "POWER_GROWTH", growth)
+    rng = random.Random(seed)
+    data = _layers(rng, 12 if growth == 0 else 30, width, back)
+    e = spark.createDataFrame(data, "`from` string, `to` string, rel string")
+    assert rows(traverse.impact(e, "v0.0", 99)) == _brute(data, "v0.0", 99)
+    done = traverse.walk(e, "v0.0", 12)
+    expected = _brute(data, "v0.0", 12)
+    assert (done.total, done.max_depth_reached) == (len(expected), any(r[2] == 12 for r in expected))
+    many = traverse.impact_many(e, spark.createDataFrame([("v0.0",), ("v3.0",)], "path string"), 99)
+    assert rows(many.select("root", "path", "relation", "depth")) == sorted(
+        ((r, *row) for r in ("v0.0", "v3.0") for row in _brute(data, r, 99)), key=repr
+    )
+
+
+def test_deep_walks_across_repositories_on_layouts_and_round_cycles(spark, rows):
+    ring = [(f"r/f{(i + 1) % 21}", f"external:r:f{i}" if i % 2 else f"r/f{i}", "imports") for i in range(21)]
+    e = spark.createDataFrame(ring, "`from` string, `to` string, rel string")
+    assert [r[2] for r in sorted(rows(traverse.impact(e, "r/f0", 99, external=True)), key=lambda r: r[2])] == list(range(1, 21))
+    plain = [(f"f{(i + 1) % 21}", f"f{i}", "imports") for i in range(21)]
+    e = spark.createDataFrame(plain, "`from` string, `to` string, rel string")
+    assert sorted(r[1] for r in rows(traverse.transitive_chain(e, "f0", 99))) == list(range(1, 22))
+    layout = write_layout(e, f"{spark.conf.get('spark.checkpoint.dir')}/ring", "to", 4)
+    assert rows(traverse.impact(layout, "f0", 15)) == _brute(plain, "f0", 15)
+
+
+def test_a_long_chain_takes_few_steps(spark, monkeypatch):
+    steps, store = [], traverse.scratch.store
+    monkeypatch.setattr(traverse.scratch, "store", lambda df, folder: (steps.append(folder), store(df, folder))[1])
+    chain = spark.range(300).select(F.format_string("f%d", "id").alias("from"), F.format_string("f%d", F.col("id") + 1).alias("to"), F.lit("x").alias("rel"))
+    assert traverse.walk(chain, "f300", 300).total == 300
+    assert len(steps) <= 30
+
+
 def test_stats(edges, rows):
     e = edges(("a.go", "fmt"), ("b.go", "fmt"), ("c.go", "os"))
     assert graph.graph_stats(e).first()[:3] == (3, 3, 2)
