@@ -36,6 +36,18 @@ _register(
     "compute_mode_files", lambda s, d: access.compute_mode(view(s, d, "fx_files").select("path"), RULES).groupBy("mode").agg(F.count("*").alias("files")),
     f"""{with_views('fx_files')} SELECT CASE WHEN path LIKE '%/vendor/%' THEN 292 ELSE 420 END AS mode, count(*) AS files FROM fx_files GROUP BY 1""",
 )
+_register(
+    "compute_mode_by_table",
+    lambda s, d: access.compute_mode_by_table(
+        _paths(s, d), view(s, d, "fx_rules").select("ord", F.array("glob").alias("paths"), "mode", "allow_delete")
+    ),
+    f"""{with_views('fx_paths', 'fx_rules')}, asked AS (SELECT DISTINCT path, regexp_replace(path, '^(\\./)+', '') AS p FROM fx_paths),
+    hit AS (SELECT path, arg_min(mode, ord) AS mode, arg_min(allow_delete, ord) AS allow_delete FROM asked JOIN fx_rules ON CASE form
+      WHEN 0 THEN p = concat('docs/p', n, '.go') WHEN 1 THEN starts_with(p, concat('src/p', n)) WHEN 2 THEN p = concat('p', n, '.sum') OR ends_with(p, concat('/p', n, '.sum'))
+      WHEN 3 THEN starts_with(p, concat('vendor/p', n, '.')) OR contains(p, concat('/vendor/p', n, '.')) ELSE p IN (concat('api/p', n, '.go'), concat('api/p', n, 'xgo')) END
+      GROUP BY path)
+    SELECT f.path, coalesce(h.mode, 420) AS mode, h.allow_delete FROM fx_paths f LEFT JOIN hit h USING (path)""",
+)
 _register(
     "apply_rule",
     lambda s, d: access.apply_rule(_paths(s, d), access.AccessRule(("src/**", "docs/p[0-4]*"), 0o444)).select("path", "permission.*"),

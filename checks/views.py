@@ -212,6 +212,16 @@ SELECT concat(CASE p_partkey % 14
 FROM part
 """
 
+# A rule per order: whole paths, beginnings, ends, inner parts, and a class of characters.
+FX_RULES = f"""
+SELECT o_orderkey AS ord, o_orderkey % 5 AS form, {_text('o_orderkey % 20011')} AS n, CAST(256 + o_custkey % 256 AS INTEGER) AS mode,
+       o_custkey % 2 = 0 AS allow_delete,
+       CASE o_orderkey % 5 WHEN 0 THEN concat('docs/p', {_text('o_orderkey % 20011')}, '.go') WHEN 1 THEN concat('src/p', {_text('o_orderkey % 20011')}, '*')
+         WHEN 2 THEN concat('**/p', {_text('o_orderkey % 20011')}, '.sum') WHEN 3 THEN concat('**/vendor/p', {_text('o_orderkey % 20011')}, '.*')
+         ELSE concat('api/p', {_text('o_orderkey % 20011')}, '[.x]go') END AS glob
+FROM orders
+"""
+
 # Mounts over nations; /data/n1 is also a string prefix of /data/n12.
 FX_MOUNTS = f"""
 SELECT CASE n_nationkey % 3 WHEN 0 THEN 's3' WHEN 1 THEN 'remote' ELSE 'local' END AS kind,
@@ -262,7 +272,7 @@ FROM customer
 
 VIEWS = {
     "fx_edges": FX_EDGES, "fx_ring": FX_RING, "fx_deep": FX_DEEP, "fx_cross_repo": FX_CROSS_REPO, "fx_files": FX_FILES, "fx_tricky_files": FX_TRICKY_FILES, "fx_events": FX_EVENTS,
-    "fx_registry": FX_REGISTRY, "fx_metadata": FX_METADATA, "fx_updates": FX_UPDATES, "fx_paths": FX_PATHS,
+    "fx_registry": FX_REGISTRY, "fx_metadata": FX_METADATA, "fx_updates": FX_UPDATES, "fx_paths": FX_PATHS, "fx_rules": FX_RULES,
     "fx_mounts": FX_MOUNTS, "fx_mounted_paths": FX_MOUNTED_PATHS, "fx_inventory": FX_INVENTORY,
     "fx_repos": FX_REPOS, "fx_backends": FX_BACKENDS, "fx_workspace_mounts": FX_WORKSPACE_MOUNTS,
 }

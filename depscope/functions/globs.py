@@ -50,6 +50,29 @@ def glob_to_regex(pattern: str) -> str | None:
     return "(?s)^" + "".join(out) + "$"
 
 
+_WILDCARD = re.compile(r"\*\*/|\*+|\?|\[!?.[^\]]*\]", re.DOTALL)
+
+
+def anchor(pattern: str) -> str:
+    """A text that a path must contain for a valid glob to match, after a mark for its place.
+
+    `=` is the whole path, `^` its beginning, `$` its end, `~` anywhere; `*` alone is a glob without literal text.
+    The longest literal piece is taken; inside a path, its first 2^k characters, so that few lengths occur.
+    """
+    pieces = _WILDCARD.split(pattern)
+    if len(pieces) == 1:
+        return "=" + pattern
+    longest = max(range(len(pieces)), key=lambda i: len(pieces[i]))
+    text = pieces[longest]
+    if not text:
+        return "*"
+    if longest == 0:
+        return "^" + text
+    if longest == len(pieces) - 1:
+        return "$" + text
+    return "~" + text[: 1 << (len(text).bit_length() - 1)]
+
+
 def _char_class(body: str, negated: bool) -> str:
     ranges, i = [], 0
     while i < len(body):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from depscope.functions.globs import matches_any
+from depscope import scratch
+from depscope.functions.globs import anchor, glob_to_regex, matches_any
 from depscope.functions.paths import strip_leading_dot_slash
 
 DEFAULT_FILE_MODE = 0o644
@@ -86,6 +88,68 @@ OPERATIONS = {
 }
 
 
+def _with_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        frame = frame.assign(regex=frame["glob"].map(glob_to_regex))
+        frame = frame[frame["regex"].notna()]
+        yield frame.assign(anchor=frame["glob"].map(anchor).astype(object))[["anchor", "regex", "ord", "mode", "allow_delete"]]
+
+
+def index_rules(rules: DataFrame) -> DataFrame:
+    """Rules of a table (ord, paths, mode, allow_delete) by the text their globs require: (anchor, regex, rule), stored.
+
+    Null and invalid globs match nothing and are left out. Of equal globs the first rule counts.
+    """
+    globs = rules.select(F.explode("paths").alias("glob"), "ord", "mode", "allow_delete").where("glob IS NOT NULL")
+    # The smallest rule per glob, before any Python.
+    first = globs.groupBy("glob").agg(F.min(F.struct("ord", "mode", "allow_delete")).alias("r")).select("glob", "r.*")
+    made = first.mapInPandas(_with_anchors, "anchor string, regex string, ord long, mode int, allow_delete boolean")
+    return scratch.materialize(made.select("anchor", "regex", F.struct("ord", "mode", "allow_delete").alias("rule")), "rules")
+
+
+def _lengths(index: DataFrame, mark: str) -> Column:
+    """The lengths of one kind of anchor: no more than the longest glob has characters."""
+    of_kind = index.where(F.col("anchor").startswith(mark))
+    return of_kind.agg(F.array_sort(F.collect_set(F.length("anchor") - 1)).alias("n")).scalar()
+
+
+def first_rules(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, rule) for each distinct path that some rule of `index_rules` matches; the smallest `ord` wins.
+
+    Paths meet rules by an equi join on anchors: a path looks up itself, its beginnings and ends of the lengths that
+    occur, and its substrings of the few lengths of inner anchors. Only those candidates are tested by their regex.
+    """
+    clean = F.col("clean")
+    fitting = lambda mark: F.filter(F.col(f"n{ord(mark)}"), lambda n: n <= F.length(clean))
+    inner = F.flatten(F.transform(fitting("~"), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(clean) - n + 1), lambda i: F.concat(F.lit("~"), F.substring(clean, i, n))
+    )))
+    anchors = F.array_distinct(F.concat(
+        F.array(F.concat(F.lit("="), clean), F.lit("*")),
+        F.transform(fitting("^"), lambda n: F.concat(F.lit("^"), F.substring(clean, F.lit(1), n))),
+        F.transform(fitting("$"), lambda n: F.concat(F.lit("$"), F.substring(clean, F.length(clean) - n + 1, n))),
+        inner,
+    ))
+    asked = paths.select("path").where("path IS NOT NULL").distinct().select("path", strip_leading_dot_slash(F.col("path")).alias("clean"))
+    asked = asked.select("*", *[_lengths(index, mark).alias(f"n{ord(mark)}") for mark in "^$~"])
+    candidates = asked.select("path", "clean", F.explode(anchors).alias("anchor")).join(index, "anchor")
+    return candidates.where(F.rlike("clean", F.col("regex"))).groupBy("path").agg(F.min("rule").alias("rule"))
+
+
+def compute_mode_by_table(paths: DataFrame, rules: DataFrame, default: int = DEFAULT_FILE_MODE) -> DataFrame:
+    """`compute_mode` for rules given as a table, of any number; also `allow_delete`, null where no rule matches.
+
+    A null path gets the default mode. Rules of equal `ord` are taken by smaller mode. Columns `mode` and
+    `allow_delete` of the paths are replaced.
+    """
+    found = first_rules(paths, index_rules(rules)).select(F.col("path").alias("_path"), F.col("rule").alias("_rule"))
+    return (
+        paths.drop("mode", "allow_delete").join(found, F.col("path") == F.col("_path"), "left")
+        .withColumn("mode", F.coalesce("_rule.mode", F.lit(default))).withColumn("allow_delete", F.col("_rule.allow_delete"))
+        .drop("_path", "_rule")
+    )
+
+
 def compute_mode(paths: DataFrame, rules: Sequence[AccessRule], default: int = DEFAULT_FILE_MODE) -> DataFrame:
     return paths.withColumn("mode", mode_of(F.col("path"), rules, default))
 

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,18 @@ def test_rule_texts_may_end_in_semicolons_and_keep_their_order(spark):
     for text in ("SELECT `from` FROM edges ORDER BY `from` DESC;", "-- newest first\nSELECT `from` FROM edges ORDER BY `from` DESC ;\n; "):
         assert [r[0] for r in tables.query_inventory(spark, text, edges=e).collect()] == [f"n{i:02d}" for i in reversed(range(20))]
     assert tables.query_inventory(spark, "WITH a AS (SELECT 1 AS x FROM edges) SELECT count(*) AS n FROM a;", edges=e).first().n == 20
+
+
+def test_rules_of_a_table_equal_rules_in_order(spark, rows):
+    globs = [
+        "src/**", "**/*.go", "**/vendor/**", "a/**/b.go", "*", "[ab]/?", "x.py", "lib/*test*/[!q]*.rs", "***", "a**", "[z", "**/é*x/**", "docs/ab.md", "", "**", "?",
+    ]
+    paths = ["src/a.go", "./src/b.c", "vendor/q", "k/vendor/q/r", "a/b.go", "a/c/d/b.go", "b/x", "x.py", "lib/mytests/w.rs", "lib/mytests/q.rs", "éax/y", "m/éx/y", "docs/ab.md", "", "z", "a\nb"]
+    asked = spark.createDataFrame([(p, 7) for p in [*paths, "x.py", None]], "path string, mode int")
+    rng = random.Random(4)
+    for count in (0, 1, 6, len(globs)):
+        chosen = [access.AccessRule((g, rng.choice(globs)), 0o400 + i, i % 2 == 0) for i, g in enumerate(rng.sample(globs, count))]
+        got = access.compute_mode_by_table(asked, access.rules_table(spark, chosen))
+        expected = access.compute_mode(asked, chosen).withColumn("allow_delete", access.deletable(F.col("path"), chosen))
+        assert rows(got.select("path", "mode", "allow_delete")) == rows(expected.select("path", "mode", "allow_delete"))
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
