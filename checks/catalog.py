@@ -8,6 +8,7 @@ from checks.views import table, view, with_views
 from depscope import scratch
 from depscope.functions import globs, paths
 from depscope.operators import access, catalog, resolve
+from depscope.plans import folders
 from depscope.sources import tables
 
 QUERIES, ORACLES = {}, {}
@@ -122,6 +123,14 @@ _register(
     SELECT string_split(rest, '/')[1] AS name, CASE WHEN max(contains(rest, '/')::INT) = 1 THEN 'directory' ELSE 'file' END AS entry_type,
     CASE WHEN max(contains(rest, '/')::INT) = 0 THEN CAST(sum(n) AS BIGINT) END AS size FROM below GROUP BY 1""",
 )
+_register(
+    "folder_totals",
+    lambda s, d: folders.folder_totals(view(s, d, "fx_files").withColumn("length", F.length("content"))),
+    f"""{with_views('fx_files')}, above AS (SELECT path, length(content) AS n, string_split(path, '/') AS parts FROM fx_files),
+    inside AS (SELECT path, n, array_to_string(parts[1:i], '/') AS folder, array_to_string(parts[1:i + 1], '/') AS child, i + 1 = len(parts) AS own
+      FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM above))
+    SELECT folder, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes, count(*) FILTER (own) + count(DISTINCT child) FILTER (NOT own) AS children FROM inside GROUP BY folder""",
+)
 _register(
     "to_backend_path",
     lambda s, d: resolve.to_backend_path(view(s, d, "fx_mounted_paths"), "/data/n0", "/cache", view(s, d, "fx_inventory")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depscope.functions import globs, paths
 from depscope.operators import access, associate, catalog, classify, extract, hooks, metadata, resolve
-from depscope.plans import discover, rules
+from depscope.plans import discover, folders, rules
 from depscope.schemas import EDGE, METADATA, MOUNT
 from depscope.sources import edges as edge_tables
 from depscope.sources import files as file_source
@@ -386,3 +386,12 @@ def test_rules_of_a_table_equal_rules_in_order(spark, rows):
         expected = access.compute_mode(asked, chosen).withColumn("allow_delete", access.deletable(F.col("path"), chosen))
         assert rows(got.select("path", "mode", "allow_delete")) == rows(expected.select("path", "mode", "allow_delete"))
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_folder_totals(spark, rows):
+    data = [("/a/b/c/x", 5), ("a/b/y", 2), ("a/b/y", 2), ("z", None), ("a/d/w", 1), ("é/ü/v", 9), (None, 4)]
+    files = spark.createDataFrame(data, "path string, length long")
+    assert rows(folders.folder_totals(files)) == [
+        ("", 6, 19, 3), ("a", 4, 10, 2), ("a/b", 3, 9, 3), ("a/b/c", 1, 5, 1), ("a/d", 1, 1, 1), ("é", 1, 9, 1), ("é/ü", 1, 9, 1),
+    ]
+    assert rows(folders.folder_totals(files.limit(0))) == []
