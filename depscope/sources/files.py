@@ -129,8 +129,17 @@ def _list_folder(root: str, folder: str, profile: ScanProfile, skipped=None) ->
     ]
 
 
-def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover", skipped=None) -> DataFrame:
-    """(path, length, mtime) of the kept files below a folder; contents are not read."""
+def _folder_of(prefix: str) -> str:
+    """The deepest folder that holds every name with a prefix; the root where the prefix is no plain path."""
+    folder = prefix.rpartition("/")[0]
+    return "" if any(part in ("", ".", "..") for part in folder.split("/")) else folder
+
+
+def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "discover", skipped=None, prefix: str = "") -> DataFrame:
+    """(path, length, mtime) of the kept files below a folder; contents are not read.
+
+    With a prefix, only files whose path starts with it: the listing begins at the folder it names and enters no other.
+    """
     rules = PROFILES[profile] if isinstance(profile, str) else profile
     run = scratch.new_folder(spark, "listing")
 
@@ -144,17 +153,20 @@ def list_files(spark: SparkSession, root: str, profile: str | ScanProfile = "dis
                     yield frame
 
     found = spark.read.schema(T.StructType(_ENTRY.fields + [T.StructField("level", T.IntegerType())]))
-    folders, level = spark.createDataFrame([("",)], "name string"), 0
+    folders, level = spark.createDataFrame([(_folder_of(prefix),)], "name string"), 0
+    inside = F.concat(F.col("name"), F.lit("/"))
     while True:
         folders.select("name").mapInPandas(expand, _ENTRY).write.parquet(f"{run}/level={level}")
         below = found.option("basePath", run).parquet(run).where((F.col("level") == level) & F.col("is_dir"))
+        if prefix:
+            below = below.where(inside.startswith(prefix) | F.lit(prefix).startswith(inside))
         count = below.count()
         if not count:
             break
         # A given number: adaptive execution would merge rows this small into one task.
         folders, level = below.repartition(min(count, 4 * spark.sparkContext.defaultParallelism), "name"), level + 1
     return (
-        found.option("basePath", run).parquet(run).where(~F.col("is_dir"))
+        found.option("basePath", run).parquet(run).where(~F.col("is_dir") & F.col("name").startswith(prefix))
         .select(F.col("name").alias("path"), "length", "mtime")
     )
 
@@ -226,7 +238,4 @@ def select_scanned(paths: DataFrame, profile: str = "discover") -> DataFrame:
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """(key, length, mtime) of every object whose key starts with a prefix."""
-    return (
-        list_files(spark, root, "all").where(F.col("path").startswith(prefix))
-        .withColumnRenamed("path", "key")
-    )
+    return list_files(spark, root, "all", prefix=prefix).withColumnRenamed("path", "key")

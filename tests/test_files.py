@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from depscope import scratch
 from depscope.functions import globs, paths
 from depscope.operators import access, associate, catalog, classify, extract, hooks, metadata, resolve
 from depscope.plans import discover, folders, rules
@@ -322,7 +323,7 @@ def test_only_names_that_are_gone_are_left_out(spark, tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError):
         source._list_folder(f"{root}/lost", "", rules)
     skipped = spark.sparkContext.accumulator(0)
-    listed = source.list_files(spark, root, "discover", skipped).localCheckpoint()
+    listed = scratch.materialize(source.list_files(spark, root, "discover", skipped), "listed")
     (tmp_path / "sub" / "a.py").unlink()
     assert source.read_contents(listed, root, skipped=skipped).count() == 0 and skipped.value == 1
 
@@ -395,3 +396,13 @@ def test_folder_totals(spark, rows):
         ("", 6, 19, 3), ("a", 4, 10, 2), ("a/b", 3, 9, 3), ("a/b/c", 1, 5, 1), ("a/d", 1, 1, 1), ("é", 1, 9, 1), ("é/ü", 1, 9, 1),
     ]
     assert rows(folders.folder_totals(files.limit(0))) == []
+
+
+def test_a_prefix_enters_its_own_folder_only(spark, tmp_path, monkeypatch):
+    for name in ("a/b/c1", "a/b/c2/d", "a/bc/e", "a/x/f", "z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    listed = lambda prefix: sorted(r["key"] for r in file_source.list_objects(spark, str(tmp_path), prefix).collect())
+    assert listed("a/b") == ["a/b/c1", "a/b/c2/d", "a/bc/e"]
+    assert listed("a/b/c") == ["a/b/c1", "a/b/c2/d"] and listed("a/b/c2/") == ["a/b/c2/d"]
+    assert len(listed("")) == 5 and listed("none/x") == listed("a//b") == listed("a/b/c1/") == listed("../") == []
