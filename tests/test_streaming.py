@@ -152,6 +152,18 @@ def test_triggers(spark, rows):
     assert [r["command"] for r in actions.collect()] == ["run a/b.go"]
 
 
+def test_triggers_are_sent_to_the_events_and_not_the_events_to_them(spark, tmp_path):
+    spark.createDataFrame([(i, "a/b.go", "write", START) for i in range(50)], EVENT).write.parquet(str(tmp_path / "events"))
+    triggers = [events.Trigger("all", on_success=events.TriggerAction("set_xattr", "k", "v")), events.Trigger("go", "*.go")]
+    matched = events.match_triggers(spark.read.parquet(str(tmp_path / "events")), triggers)
+    outcomes = spark.read.parquet(str(tmp_path / "events")).select(F.lit("all").alias("trigger"), "path", (F.col("event_id") > 9).alias("success"))
+    updates = events.action_metadata(outcomes, triggers, 1)
+    for frame, count in ((matched, 100), (updates, 40)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning" not in plan
+        assert frame.count() == count
+
+
 def _keeper(spark, store, texts):
     """A function that applies a batch of (path, kind) events; files have the texts of that moment."""
     def batch(number, *happened):
