@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F, types as T
 
 from depscope.operators import targets
 from depscope.plans import discover
@@ -111,6 +111,47 @@ def test_stream_throttle_equals_table(spark, tmp_path):
     assert got == _brute(data, 700)
 
 
+class _Calls:
+    """State of one key in memory, counting the calls to it."""
+
+    def __init__(self):
+        self.map, self.value, self.calls, self.timers = {}, None, 0, []
+
+    def __getattr__(self, name):
+        made = {
+            "getValueState": lambda *_: self, "getMapState": lambda *_: self, "registerTimer": self.timers.append,
+            "containsKey": lambda k: k in self.map, "updateValue": self.map.__setitem__, "getValue": self.map.__getitem__, "removeKey": self.map.pop,
+            "keys": lambda: list(self.map), "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+        }[name]
+
+        def call(*args):
+            self.calls += 1
+            return made(*args)
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_calls_to_the_state_do_not_follow_the_events():
+    held = T.StructType([T.StructField("event_micros", T.LongType()), T.StructField("event_id", T.LongType())])
+    calls = {}
+    for n in (10, 1000):
+        state = _Calls()
+        throttler = stateful.ThrottleProcessor(["path", "event_micros", "event_id"], held, 1, "event_id")
+        throttler.init(state)
+        data, fired = [Row(event_micros=500 * i, event_id=i) for i in range(n)] + [Row(event_micros=None, event_id=-1)], []
+        random.Random(1).shuffle(data)
+        throttler.handleInputRows(("k",), iter(data), state)
+        # The watermark stops inside what came together; the rest fires later, and nothing twice.
+        for state.watermark in (n // 4, n // 4, n):
+            fired += [r.event_id for r in throttler.handleExpiredTimer(("k",), state, None)]
+        assert fired == list(range(0, n, 2)) and not state.map
+        calls[n] = state.calls
+    assert calls[10] == calls[1000] < 30
+
+
 def test_stream_keeps_every_digit_beside_nulls(spark, tmp_path):
     schema = "path string, event_id long, ts timestamp, n long, small int, flag boolean, name string, size decimal(20, 2), day date, x double, raw binary, tags array<long>, at timestamp"
     big, at = 2**53 + 1, lambda k: START + timedelta(seconds=k)
