@@ -155,6 +155,24 @@ def test_a_long_chain_takes_few_steps(spark, monkeypatch):
     assert len(steps) <= 30
 
 
+def test_powers_leave_out_names_where_hops_end(spark, monkeypatch):
+    # A chain of 40 names, and six others on each of them, some by an edge without a relation.
+    data = [(f"v{i + 1}", f"v{i}", "follows") for i in range(40)]
+    data += [(f"leaf{i}-{k}", f"v{i}", rel) for i in range(40) for k in range(6) for rel in ([None, "in"] if k else ["on", "in"])]
+    stored, materialize = [], traverse.scratch.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        stored.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(traverse.scratch, "materialize", counted)
+    got = traverse.impact(spark.createDataFrame(data, "`from` string, `to` string, rel string"), "v0", 1 << 30).collect()
+    expected = [(f"v{i + 1}", "follows", i + 1) for i in range(40)] + [(f"leaf{i}-{k}", "in", i + 1) for i in range(40) for k in range(6)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert len(stored) > 3 and all(label == "power" and n <= 40 for label, n in stored)
+
+
 def test_stats(edges, rows):
     e = edges(("a.go", "fmt"), ("b.go", "fmt"), ("c.go", "os"))
     assert graph.graph_stats(e).first()[:3] == (3, 3, 2)
