@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from depscope import scratch
-from depscope.functions.globs import anchor, glob_to_regex, matches_any
+from depscope.functions.globs import anchors, glob_to_regex, matches_any
 from depscope.functions.paths import strip_leading_dot_slash
 
 DEFAULT_FILE_MODE = 0o644
@@ -92,19 +92,26 @@ def _with_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         frame = frame.assign(regex=frame["glob"].map(glob_to_regex))
         frame = frame[frame["regex"].notna()]
-        yield frame.assign(anchor=frame["glob"].map(anchor).astype(object))[["anchor", "regex", "ord", "mode", "allow_delete"]]
+        yield frame.assign(anchors=frame["glob"].map(anchors).astype(object))[["glob", "anchors", "regex", "ord", "mode", "allow_delete"]]
 
 
 def index_rules(rules: DataFrame) -> DataFrame:
-    """Rules of a table (ord, paths, mode, allow_delete) by the text their globs require: (anchor, regex, rule), stored.
+    """Rules of a table (ord, paths, mode, allow_delete) by a text their globs require: (anchor, regex, rule), stored.
 
-    Null and invalid globs match nothing and are left out. Of equal globs the first rule counts.
+    Of the texts that a glob requires, the one that the fewest globs require counts, so that globs which share a
+    folder or an ending are not all candidates of every path there. Null and invalid globs match nothing and are
+    left out. Of equal globs the first rule counts.
     """
     globs = rules.select(F.explode("paths").alias("glob"), "ord", "mode", "allow_delete").where("glob IS NOT NULL")
     # The smallest rule per glob, before any Python.
     first = globs.groupBy("glob").agg(F.min(F.struct("ord", "mode", "allow_delete")).alias("r")).select("glob", "r.*")
-    made = first.mapInPandas(_with_anchors, "anchor string, regex string, ord long, mode int, allow_delete boolean")
-    return scratch.materialize(made.select("anchor", "regex", F.struct("ord", "mode", "allow_delete").alias("rule")), "rules")
+    made = first.mapInPandas(_with_anchors, "glob string, anchors array<string>, regex string, ord long, mode int, allow_delete boolean")
+    made = scratch.materialize(made.select("glob", F.explode("anchors").alias("anchor"), "regex", F.struct("ord", "mode", "allow_delete").alias("rule")), "globs")
+    crowd = made.groupBy("anchor").agg(F.count("*").alias("_globs"))
+    best = F.min_by(F.struct("anchor", "regex", "rule"), F.struct("_globs", -F.length("anchor"), "anchor")).alias("best")
+    index = scratch.materialize(made.join(crowd, "anchor").groupBy("glob").agg(best).select("best.*"), "rules")
+    scratch.drop(made)
+    return index
 
 
 def _lengths(index: DataFrame, mark: str) -> Column:

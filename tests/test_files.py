@@ -389,6 +389,12 @@ def test_rules_of_a_table_equal_rules_in_order(spark, rows):
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
 
 
+def test_rules_that_share_a_folder_are_not_candidates_of_every_path_in_it(spark):
+    shared = [f"**/vendor/p{n}.*" for n in range(300)] + [f"src/vendor/**/x{n}" for n in range(300)]
+    index = access.index_rules(access.rules_table(spark, [access.AccessRule((g,), 0o444) for g in shared]))
+    assert index.count() == 600 and index.groupBy("anchor").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_folder_totals(spark, rows):
     data = [("/a/b/c/x", 5), ("a/b/y", 2), ("a/b/y", 2), ("z", None), ("a/d/w", 1), ("é/ü/v", 9), (None, 4)]
     files = spark.createDataFrame(data, "path string, length long")
