@@ -404,6 +404,19 @@ def test_folder_totals(spark, rows):
     assert rows(folders.folder_totals(files.limit(0))) == []
 
 
+def test_a_flat_folder_leaves_a_task_in_slices(spark, tmp_path, monkeypatch):
+    for i in range(25):
+        (tmp_path / f"f{i}.go").write_bytes(b"x" * i)
+    monkeypatch.setattr(file_source, "LISTED_ROWS", 4)
+    frames = list(file_source._listed(str(tmp_path), [""], file_source.PROFILES["all"]))
+    assert [len(f) for f in frames] == [4] * 6 + [1] and len({n for f in frames for n in f["name"]}) == 25
+    # Contents leave in batches of bounded size too.
+    listing = file_source.list_files(spark, str(tmp_path))
+    got = file_source.read_contents(listing, str(tmp_path), batch_bytes=7).collect()
+    assert sorted((r.path, r.length, bytes(r.data)) for r in got) == sorted((f"f{i}.go", i, b"x" * i) for i in range(25))
+    assert sorted(r.mtime for r in got) == sorted(r.mtime for r in listing.collect())
+
+
 def test_a_prefix_enters_its_own_folder_only(spark, tmp_path, monkeypatch):
     for name in ("a/b/c1", "a/b/c2/d", "a/bc/e", "a/x/f", "z"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
