@@ -265,6 +265,20 @@ def test_compaction_survives_repeats_and_new_queries(spark, tmp_path, rows):
     assert rows(store.edges()) == rows(_discovered(spark, texts)) and store.generation() == 3
 
 
+def test_a_target_is_a_few_rows_and_means_what_its_candidates_mean(spark, rows):
+    named = ["./d", "../c/d", ".", "..", "./", "d/.", "./x/../d", "/q", "d.ts", "m//d", "", "../../../d", "d\n"]
+    found = ["a/c/d.ts", "a/c/d.js", "a/c/d", "a/c/d/index.ts", "a/c/index.js", "a/c", "a", "a/c.rb", "/q.ts", "a/c/d.ts.tsx", "a/c/m/d.ts", "../d.ts", "a/c/.ts",
+             "a/c/os.py", "os.py", "os/__init__.py", "os/__init__/__init__.py", "a/c/d\n.ts", "local:./d"]
+    edges = [("a/c/x.ts", f"local:{n}", "i") for n in named] + [("a/c/x.py", f"pkg:{n}", "i") for n in ("os", "os.__init__", ".", "c..os")] + [("a/x.go", "pkg:os", "i")]
+    edges = spark.createDataFrame(edges, "`from` string, `to` string, rel string")
+    files = spark.createDataFrame([(f,) for f in found] + [(None,)], "path string")
+    plain = edges.select("from", "rel", F.explode(targets.candidates(F.col("from"), F.col("to"))).alias("to")).join(files.select(F.col("path").alias("to")), "to", "left_semi")
+    resolved = targets.resolved_edges(edges, files)
+    assert rows(resolved) == rows(plain.select("from", "to", "rel").distinct()) and resolved.count() > 12
+    common = edges.where(~F.col("to").rlike(r"[./]$|:$|\.\.")).select(F.max(F.size(targets._keys(F.col("from"), F.col("to"))))).first()[0]
+    assert common <= 2
+
+
 def test_targets_mean_files(spark, rows):
     files = spark.createDataFrame([("a/b.h",), ("a/c/d.ts",), ("a/m/__init__.py",), ("q.py",)], "path string")
     e = spark.createDataFrame([
