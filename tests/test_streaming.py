@@ -265,6 +265,26 @@ def test_compaction_survives_repeats_and_new_queries(spark, tmp_path, rows):
     assert rows(store.edges()) == rows(_discovered(spark, texts)) and store.generation() == 3
 
 
+def _exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_current_edges_are_read_as_they_lie_while_nothing_replaced_them(spark, tmp_path, rows):
+    store, texts = upkeep.EdgeStore(spark, str(tmp_path / "store")), {"a.py": "import x\n", "b.py": "import a\n", "test_a.py": ""}
+    batch = _keeper(spark, store, texts)
+    batch(0, *[(p, "create") for p in texts])
+    assert _exchanges(store.edges()) == 0
+    # All files are of this batch: what it adds is what it wrote, and nothing else depends on it.
+    assert rows(store.changes().select("from", "to", "rel")) == rows(store.edges()) and store.impacted().count() == 0
+    texts["a.py"] = "import y\n"
+    batch(1, ("a.py", "write"))
+    store.compact()
+    assert _exchanges(store.edges()) == 0 and rows(store.edges()) == rows(_discovered(spark, texts))
+    # Edges of a batch that broke off before its files were written are not seen.
+    store.write("edges", store.edges().withColumn("part", F.lit("imports")), 7)
+    assert rows(store.edges()) == rows(_discovered(spark, texts))
+
+
 def test_a_target_is_a_few_rows_and_means_what_its_candidates_mean(spark, rows):
     named = ["./d", "../c/d", ".", "..", "./", "d/.", "./x/../d", "/q", "d.ts", "m//d", "", "../../../d", "d\n"]
     found = ["a/c/d.ts", "a/c/d.js", "a/c/d", "a/c/d/index.ts", "a/c/index.js", "a/c", "a", "a/c.rb", "/q.ts", "a/c/d.ts.tsx", "a/c/m/d.ts", "../d.ts", "a/c/.ts",
