@@ -133,6 +133,10 @@ def test_scalar_functions(spark):
     assert value(paths.repo_folder_name(F.lit("git@host.org:a/b.git"))) == "host_org_a_b_git"
     assert value(paths.cache_path(F.lit("/c"), F.lit("b"), F.lit("/k/v"))) == "/c/b/k/v"
     assert [value(paths.extension(F.lit(p))) for p in ("a/b.tar.gz", ".bashrc", "a.b/c", "x.")] == ["gz", "", "", ""]
+    odd = ("a/.bashrc", "..", "a/..b", ".a.py", "a.b/c.", "", "/", "a/b", "x.y/.z.w", "a\n.py\n", "a./", ".")
+    assert [value(paths.extension(F.lit(p))) for p in odd] == ["", "", "b", "py", "", "", "", "", "w", "py\n", "", ""]
+    assert [value(paths.parent_prefix(F.lit(p))) for p in odd] == ["a/", "", "a/", "", "a.b/", "", "/", "a/", "x.y/", "", "a./", ""]
+    assert [value(paths.file_name(F.lit(p))) for p in odd] == [p.rpartition("/")[2] for p in odd]
 
 
 def test_content_hash(spark):

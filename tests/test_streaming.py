@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F, types as T
 
-from depscope.operators import targets
+from depscope.operators import extract, graph, targets
 from depscope.plans import discover
 from depscope.streaming import debounce, events, firing, stateful, upkeep
 from depscope.streaming.throttle import SegmentTable, firing_times, throttle
@@ -285,6 +285,58 @@ def test_current_edges_are_read_as_they_lie_while_nothing_replaced_them(spark, t
     assert rows(store.edges()) == rows(_discovered(spark, texts))
 
 
+def test_what_a_batch_changed_takes_one_shuffle_of_the_edges(spark, tmp_path, rows):
+    store = upkeep.EdgeStore(spark, str(tmp_path / "store"))
+    # Per batch the files and parts it touched, and the edges it wrote for them. The last one meets edges of both parts that the second replaced.
+    batches = [
+        ({"a", "b", "c"}, {"a", "b"}, [("a", "x", "imports"), ("a", "k", "imports"), ("b", "x", "imports"), ("a", "t", "tests"), ("b", "u", "tests")]),
+        ({"a"}, {"a"}, [("a", "y", "imports"), ("a", "k", "imports")]),
+        ({"a", "c"}, {"a", "b"}, [("a", "x", "imports"), ("a", "k", "imports"), ("a", "t", "tests")]),
+    ]
+    for number, (imports, tests, edges) in enumerate(batches):
+        files = [(p, False, "imports") for p in imports] + [(p, False, "tests") for p in tests]
+        store.write("edges", spark.createDataFrame([(*e, "imports" if e[2] == "imports" else "tests") for e in edges], "`from` string, `to` string, rel string, part string"), number)
+        store.write("files", spark.createDataFrame(files, "path string, deleted boolean, part string"), number)
+    assert rows(store.difference(1)) == [("a", "t", "tests", "removed"), ("a", "x", "imports", "removed"), ("a", "y", "imports", "added")]
+    assert rows(store.difference(2)) == [("a", "t", "tests", "added"), ("a", "x", "imports", "added"), ("a", "y", "imports", "removed"), ("b", "u", "tests", "removed")]
+    assert rows(store.edges()) == [("a", "k", "imports"), ("a", "t", "tests"), ("a", "x", "imports"), ("b", "x", "imports")]
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(store.difference(2)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_last_events_are_hashed_and_not_sorted(spark, rows):
+    at = lambda k: None if k is None else START + timedelta(seconds=k)
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", "c", "d", "e", "f", None]), rng.choice(["write", "delete", None]), at(rng.choice([None, 1, 2]))) for _ in range(40)]
+    data += [("g", None, None), ("h", "delete", None), ("h", "write", None), ("i", None, at(1)), ("j", "delete", at(1)), ("j", None, at(2))]
+    frame = spark.createDataFrame(data, "path string, event_type string, ts timestamp")
+    low = lambda x: (x is not None, x or 0)
+    last = {}
+    for path, kind, ts in data:
+        gone = None if kind is None else kind == "delete"
+        mine = (ts is not None, ts or START, *low(gone))
+        if path not in last or mine > last[path][0]:
+            last[path] = mine, (path, gone, ts)
+    got = upkeep.net_changes(frame)
+    assert rows(got) == sorted([row for _, row in last.values()], key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_texts_are_made_once_and_behind_the_join(spark, tmp_path, rows):
+    spark.createDataFrame([("a.py", "import xx\n"), ("b.py", "import y\n"), ("c.md", "import z\n")], "path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    made = files.withColumn("content", F.regexp_replace("content", "xx", "swapped")).join(files.select("path"), "path", "left_semi")
+    imports = extract.extract_imports(made)
+    assert rows(imports.select("from", "to")) == [("a.py", "pkg:swapped"), ("b.py", "pkg:y")]
+    filters = [line for line in imports._jdf.queryExecution().executedPlan().toString().splitlines() if " Filter " in line]
+    assert filters and not any("regexp_replace" in line.partition("FileScan")[0] or "Contains(content" in line for line in filters)
+
+
 def test_a_target_is_a_few_rows_and_means_what_its_candidates_mean(spark, rows):
     named = ["./d", "../c/d", ".", "..", "./", "d/.", "./x/../d", "/q", "d.ts", "m//d", "", "../../../d", "d\n"]
     found = ["a/c/d.ts", "a/c/d.js", "a/c/d", "a/c/d/index.ts", "a/c/index.js", "a/c", "a", "a/c.rb", "/q.ts", "a/c/d.ts.tsx", "a/c/m/d.ts", "../d.ts", "a/c/.ts",
